@@ -1,6 +1,6 @@
 """Packing of tokenized documents into sequences by cutting-stock column generation.
 
-A document is cut into full pieces and one rest. The lengths of all pieces form a histogram of at most
+A document is cut into full pieces and a rest. The lengths of all pieces form a histogram of at most
 max_tokens entries, whatever the size of the corpus; only it reaches the driver. There a linear program over
 packing patterns is solved by column generation: the dual prices of the lengths go into a knapsack dynamic
 program whose best pattern enters the basis until none pays. Pattern counts are rounded down, what is left is
@@ -101,7 +101,8 @@ def encoder(ranks_path: str) -> ByteBpe:
 
 
 def cut_pieces(docs: DataFrame, ranks_path: str, max_tokens: int = MAX_TOKENS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Pieces of every document: full ones and the rest. An empty or null text is the end id alone."""
+    """Pieces of every document: full ones and the rest, which is cut once more if over half a sequence, since
+    long rests seldom have partners. An empty or null text is the end id alone."""
     grain = max(1, max_tokens // CLASSES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +112,10 @@ def cut_pieces(docs: DataFrame, ranks_path: str, max_tokens: int = MAX_TOKENS, t
                 out = []
                 for key_, ids in zip(part.column("key").to_pylist(), bpe.batch(part.column("text")), strict=True):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                    for at in range(0, len(ids), max_tokens):
-                        piece = ids[at : at + max_tokens]
+                    whole = len(ids) // max_tokens * max_tokens
+                    cuts = [*range(0, whole, max_tokens), *range(whole, len(ids), max_tokens // 2), len(ids)]
+                    for at, to in zip(cuts, cuts[1:], strict=False):
+                        piece = ids[at:to]
                         out.append((key_, at, len(piece), zlib.crc32(piece), len(ids), -(-len(piece) // grain), zlib.crc32(f"{key_} {at}".encode())))
                 columns = list(zip(*out, strict=True)) or [()] * 7
                 types = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
@@ -150,7 +153,7 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     uses = inverse @ demand
-    for i in range(rounds):
+    for _ in range(rounds):
         value, column = knapsack(sizes, np.maximum(inverse.sum(0), 0), capacity)
         total = uses.sum()
         if value <= 1 + 1e-7 or total - total / value < max(0.5, gap * total):
@@ -167,9 +170,6 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: fl
         inverse[out] = row
         uses = np.maximum(uses - step * ratio[out], 0)
         uses[out] = max(ratio[out], 0)
-        if i % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            uses = np.maximum(inverse @ demand, 0)
     return basis[:, :n], uses
 
 
