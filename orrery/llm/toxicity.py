@@ -1,7 +1,8 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
-Words (ASCII lower-cased letters and digits) are hashed into two embedding tables whose rows are put side by
-side, so that two words are confused only if both hashes collide. Filters of several widths run over the word
+Words (ASCII lower-cased letters and digits) are hashed into three embedding tables, by the whole word and by
+its first 4 and 6 bytes, whose rows are put side by side: inflected forms share what their stem has
+learnt, and two words are confused only if all hashes collide. Filters of several widths run over the word
 vectors, each filter keeps its greatest response in the whole text (max pooling), and a logistic layer scores
 them. Training reads at most max_train labelled documents (drawn by a hash of their id) on the
 driver; a share of them is held back to place the score's midpoint and, by language, the thresholds above
@@ -19,18 +20,29 @@ from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
 
-BITS, SIZE, WIDTHS, FILTERS = 16, 8, (1, 2, 3), 16
+#: Each table has 2 ** BITS rows of SIZE numbers.
+BITS, SIZE, WIDTHS, FILTERS = 17, 6, (1, 2, 3), 16
+STEMS = (None, 4, 6)
+DIM = SIZE * len(STEMS)
 MAX_TRAIN = 6000
 #: Document visits in training, and the longest text (in words) that training reads.
-VISITS, TRAIN_WORDS = 30_000, 4000
+VISITS, TRAIN_WORDS = 14_000, 4000
 RUN = 1 << 15
 
 
+def word_rows(column: pa.Array) -> list[np.ndarray]:
+    """For each text, its words' rows in the tables."""
+    words = K.words_of(column, K.ALNUM, lower=True)
+    stems = [words.hashes, *(K.word_hashes(words.data, words.starts, np.minimum(words.ends, words.starts + n)) for n in STEMS[1:])]
+    rows = (np.stack(stems, 1) >> np.uint64(64 - BITS)).astype(np.int32)
+    return [rows[a:b] for a, b in zip(words.first, words.first[1:], strict=False)]
+
+
 class Cnn:
     def __init__(self, seed: int = 5):
         rng = np.random.default_rng(seed)
-        d = 2 * SIZE
-        self.embed = rng.normal(0, 0.3, (2, 1 << BITS, SIZE)).astype(np.float32)
+        d = DIM
+        self.embed = rng.normal(0, 0.3, (len(STEMS), 1 << BITS, SIZE)).astype(np.float32)
         self.filters = [rng.normal(0, 0.3 / np.sqrt(w), (w * d, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
         self.out = rng.normal(0, 0.3, FILTERS * len(WIDTHS)).astype(np.float32)
@@ -38,21 +50,16 @@ class Cnn:
         self.thresholds: dict[str | None, float] = {}
         self.seen: dict[int, np.ndarray] = {}
 
-    def rows(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mask = np.uint64((1 << BITS) - 1)
-        return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
-
-    def vectors(self, hashes: np.ndarray) -> np.ndarray:
-        a, b = self.rows(hashes)
-        return np.concatenate([self.embed[0][a], self.embed[1][b]], 1)
+    def vectors(self, rows: np.ndarray) -> np.ndarray:
+        return np.concatenate([table[rows[:, k]] for k, table in enumerate(self.embed)], 1)
 
-    def pooled(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pooled(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greatest response of each filter and where it begins; a text shorter than a filter has response 0."""
-        d = 2 * SIZE
+        d = DIM
         values, places = [np.zeros(FILTERS, np.float32) for _ in WIDTHS], [np.full(FILTERS, -1) for _ in WIDTHS]
         widest = max(WIDTHS)
-        for at in range(0, len(hashes), RUN):
-            x = self.vectors(hashes[at : at + RUN + widest - 1])
+        for at in range(0, len(words), RUN):
+            x = self.vectors(words[at : at + RUN + widest - 1])
             for i, w in enumerate(WIDTHS):
                 n = min(RUN, len(x) - w + 1)
                 if n <= 0:
@@ -66,23 +73,23 @@ class Cnn:
                 values[i], places[i] = np.where(better, value, values[i]), np.where(better, place + at, places[i])
         return np.concatenate(values), np.concatenate(places)
 
-    def logit(self, hashes: np.ndarray) -> float:
-        return float(self.pooled(hashes)[0] @ self.out + self.base)
+    def logit(self, words: np.ndarray) -> float:
+        return float(self.pooled(words)[0] @ self.out + self.base)
 
-    def score(self, hashes: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.logit(hashes), -30, 30))))
+    def score(self, words: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.logit(words), -30, 30))))
 
     def _step(self, name, rows, grad: np.ndarray, target: np.ndarray, rate: float) -> None:
         memory = self.seen.setdefault(name, np.full(target.shape, 1e-3, np.float32))
         memory[rows] += grad * grad
         target[rows] -= rate * grad / np.sqrt(memory[rows])
 
-    def learn(self, hashes: np.ndarray, label: int, weight: float, rate: float) -> None:
+    def learn(self, words: np.ndarray, label: int, weight: float, rate: float) -> None:
         """One Adagrad step on one document; pooling sends the gradient to the winning positions only."""
-        pooled, place = self.pooled(hashes)
+        pooled, place = self.pooled(words)
         error = np.float32((1 / (1 + np.exp(-np.clip(pooled @ self.out + self.base, -30, 30))) - label) * weight)
         back = error * self.out * (pooled > 0)
-        d = 2 * SIZE
+        d = DIM
         touched, grads = [], []
         for i, w in enumerate(WIDTHS):
             at = slice(i * FILTERS, (i + 1) * FILTERS)
@@ -91,7 +98,7 @@ class Cnn:
                 continue
             g, p = back[at][live], place[at][live]
             window = p[:, None] + np.arange(w)
-            x = self.vectors(hashes[window.ravel()]).reshape(len(live), w * d)
+            x = self.vectors(words[window.ravel()]).reshape(len(live), w * d)
             touched.append(window.ravel())
             grads.append((g[:, None] * self.filters[i][:, live].T).reshape(-1, d))
             self._step(f"f{i}", (slice(None), live), (x * g[:, None]).T, self.filters[i], rate)
@@ -99,10 +106,10 @@ class Cnn:
         self._step("out", slice(None), error * pooled, self.out, rate)
         self.base -= np.float32(rate * 0.1) * error
         if touched:
-            rows = self.rows(hashes[np.concatenate(touched)])
+            rows = words[np.concatenate(touched)]
             grad = np.concatenate(grads)
-            for k in (0, 1):
-                each, at = np.unique(rows[k], return_inverse=True)
+            for k in range(len(STEMS)):
+                each, at = np.unique(rows[:, k], return_inverse=True)
                 total = np.zeros((len(each), SIZE), np.float32)
                 np.add.at(total, at, grad[:, k * SIZE : (k + 1) * SIZE])
                 self._step(f"e{k}", each, total, self.embed[k], rate)
@@ -137,8 +144,7 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, visits: int = VISITS,
         return model
     texts = []
     for batch in got.to_batches():
-        words = K.words_of(batch.column("text"), K.ALNUM, lower=True)
-        texts += [h.copy() for _, h in K.per_doc(words)]
+        texts += [r for part in K.slices(batch) for r in word_rows(part.column("text"))]
     lang = got.column("lang").to_pylist()
     rng = np.random.default_rng(seed)
     held = np.arange(len(label)) % 7 == 3
@@ -176,8 +182,7 @@ def score_texts(docs: DataFrame, model: Cnn, text: str = "text", lang: str | Non
         batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.large_string())], ["text"])
         out = []
         for part in K.slices(batch, limit=1 << 22):
-            words = K.words_of(part.column("text"), K.ALNUM, lower=True)
-            out += [shared.value.score(h) for _, h in K.per_doc(words)]
+            out += [shared.value.score(rows) for rows in word_rows(part.column("text"))]
         return pd.Series(out, dtype=float)
 
     docs = docs.withColumn("score", scores(F.col(f"`{text}`")))
