@@ -4,8 +4,8 @@ Anchor phrases that occur more than once in the corpus are confirmed by a count
 dealt into shards of some megabytes; each shard compiles an Aho-Corasick automaton of the recurring phrases that
 it contains (words coded as a few letters each, so the automaton compares whole words) and streams its documents
 through it to locate every occurrence. Windows whose anchor phrase recurs are the candidates: they are
-compared across shards by a 128-bit hash, the first in a shard speaking for the others, and every window but the
-earliest of its kind is removed.
+compared across shards by a 96-bit hash, the first in a shard speaking for the others, and every window but the
+earliest of its kind is removed. Later copies of whole texts are known by their digests and need no windows.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
 from orrery.llm.recurring import NO_ID, recurring_anchors, sharded
+from orrery.llm.storage import written
 
 WINDOW, PHRASE = 20, 6
+#: Bits of the bitmap that is sent to all tasks: 1 MB, whatever the size of the corpus.
+BITMAP = 1 << 23
 _BASE = 128
 
 
@@ -92,24 +95,56 @@ def _candidates(docs: pa.Table, recurring: np.ndarray, window: int, phrase: int)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, starts): the windows of each document whose words also start earlier (smaller id, or same document).
+    """(id, starts): runs (start, stop) of window positions whose words also start earlier (smaller id, or same document).
     A null id counts as NO_ID; rows that repeat an id count as one document, position by position."""
     rows = sharded(docs, text, key)
-    anchors = recurring_anchors(rows, phrase, window)
+    anchors = recurring_anchors(rows, phrase, window).select("shard", "hash", F.lit(None).cast("long").alias("copy"))
+    # Later copies of whole texts repeat in all their windows; only their ids need to be known.
+    named = rows.select("id", "shard", F.unhex(F.md5("text")).alias("name")).filter("name is not null")
+    earliest = named.groupBy("name").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = named.join(earliest, "name").filter("id <> first").select("shard", F.lit(None).cast("long").alias("hash"), F.col("id").alias("copy"))
 
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = _candidates(left, right.column("hash").to_numpy().view(np.uint64), window, phrase) if right.num_rows and left.num_rows else tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.uint64, np.uint64, bool))
-        name, start, one, two, later = found
-        # A window that is known to be a repeat needs no partner: it goes to a group of its own.
-        one = np.where(later, K.mix(name.view(np.uint64) + np.uint64(31) * start.astype(np.uint64)), one)
-        two = np.where(later, K.mix(one ^ np.uint64(0x5851F42D4C957F2D)), two)
-        return pa.table([pa.array(name, pa.int64()), pa.array(start, pa.int32()), pa.array(K.signed(one)), pa.array(K.signed(two)), pa.array(later)], ["id", "start", "one", "two", "later"])
-
-    found = rows.groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(shard, "id long, start int, one long, two long, later boolean")
+        name, start, one, two, later, stop = _shard_windows(left, right, window, phrase)
+        return pa.table([pa.array(name, pa.int64()), pa.array(start, pa.int32()), pa.array(K.signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(stop, pa.int32())], ["id", "start", "one", "two", "stop"])
+
+    found = rows.groupBy("shard").cogroup(anchors.unionByName(copies).groupBy("shard")).applyInArrow(shard, "id long, start int, one long, two int, stop int")
     # rank, not row_number: the same position of a repeated row is no repeat of itself.
     place = F.rank().over(W.partitionBy("one", "two").orderBy("id", "start"))
-    repeats = found.withColumn("place", place).filter("later or place > 1")
-    return repeats.groupBy("id").agg(F.collect_set("start").alias("starts"))
+    repeats = found.withColumn("place", place).filter("stop > start or place > 1")
+    return repeats.groupBy("id").agg(F.collect_set(F.struct("start", F.greatest("stop", F.col("start") + 1).alias("stop"))).alias("starts"))
+
+
+def _shard_windows(left: pa.Table, right: pa.Table, window: int, phrase: int) -> tuple[np.ndarray, ...]:
+    """Windows to compare with other shards (stop = 0), and runs start .. stop of windows known to be repeats."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.uint64, np.uint64, bool))
+    copies = right.column("copy").drop_null().to_numpy()
+    known = np.isin(left.column("id").to_numpy(), copies)
+    fresh = left.filter(pa.array(~known))
+    hashes = right.column("hash").drop_null().to_numpy().view(np.uint64)
+    name, start, one, two, later = _candidates(fresh, hashes, window, phrase) if fresh.num_rows and len(hashes) else none
+    stop = np.zeros(len(name), np.int64)
+    if later.any():
+        # Neighbouring repeats of one document become one run.
+        n, s = name[later], start[later].astype(np.int64)
+        order = np.lexsort((s, n))
+        n, s = n[order], s[order]
+        head = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (s[1:] > s[:-1] + 1)]))
+        runs = n[head], s[head], s[np.append(head[1:], len(n)) - 1] + 1
+        name, start, stop = (np.concatenate([a[~later], b]) for a, b in zip((name, start, stop), runs, strict=True))
+        one, two = (np.concatenate([a[~later], np.zeros(len(head), np.uint64)]) for a in (one, two))
+    whole = left.filter(pa.array(known))
+    if whole.num_rows:
+        column = whole.column("text").combine_chunks()
+        count = np.diff(K.words_of(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column, K.NOT_SPACE, hashes=False).first) - window + 1
+        own = whole.column("id").to_numpy()[count > 0]
+        name, start, stop = (np.concatenate(x) for x in ((name, own), (start, np.zeros(len(own), np.int64)), (stop, count[count > 0])))
+        one, two = (np.concatenate([a, np.zeros(len(own), np.uint64)]) for a in (one, two))
+    runs = stop > 0
+    # A run needs no partner: it goes to a group of its own.
+    one = np.where(runs, K.mix(name.view(np.uint64) * np.uint64(31) + start.astype(np.uint64)), one)
+    two = np.where(runs, K.mix(one ^ np.uint64(0x5851F42D4C957F2D)), two)
+    return name, start.astype(np.int64), one, two, later, stop
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -117,7 +152,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 
     Words are runs of bytes outside blank, tab and line ends, unchanged. Null and empty texts have no words.
     """
-    starts = repeated_windows(docs, window, phrase, text, key)
+    starts = written(repeated_windows(docs, window, phrase, text, key), "repeats")
     rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,15 +164,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
                     kept = words
                     if at.is_valid:
                         change = np.zeros(len(words) + 1, np.int64)
-                        begin = at.values.to_numpy()
-                        np.add.at(change, begin, 1)
-                        np.add.at(change, begin + window, -1)
+                        np.add.at(change, at.values.field("start").to_numpy(), 1)
+                        np.add.at(change, at.values.field("stop").to_numpy() + window - 1, -1)
                         kept = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
                     out.append((None if name == NO_ID else name, len(words), len(words) - len(kept), b" ".join(kept).decode()))
                 columns = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return rows.join(starts, "id", "left").select("id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    # A bitmap of fixed size over hashed ids: texts that surely keep all words need not be shuffled.
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    bitmap = starts.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
+    rows = rows.withColumns({"part": F.bitmap_bucket_number(bit + 1), "at": F.bitmap_bit_position(bit + 1)}).join(F.broadcast(bitmap), "part", "left")
+    byte = F.conv(F.hex(F.substring("bitmap", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = rows.select("id", "text", (F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")), F.lit(0)) > 0).alias("some"))
+    clean = rows.filter("not some").select("id", "text", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("starts"))
+    touched = rows.filter("some").join(starts, "id", "left").select("id", "text", "starts")
+    return clean.unionByName(touched).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
