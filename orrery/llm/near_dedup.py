@@ -5,8 +5,9 @@ into a parity bitmap (an odd sketch): two documents' bitmaps differ in about as
 differ, so a XOR and a population count tell high similarities precisely before any shingle is fetched. Documents
 with equal shingle sets are one class from the start. In each band bucket all members are compared with one
 pivot (another pivot order in every band), candidates that pass the sketch are confirmed on full shingle sets, and
-links join components. Only buckets that still hold several components go on: there all pairs across components are
-candidates, so no link between members of a bucket is lost, and large groups of copies never expand into all pairs.
+links join components. Only buckets that still hold several components go on: there all members of the
+smaller components are compared with all others by a finer odd sketch, block by block, and the pairs that pass are
+confirmed; so no link between members of a bucket is lost, and groups of copies never expand into all pairs.
 A pair at the threshold meets in no band with probability (1 - s**ROWS)**BANDS, 8e-7 at s = 0.85.
 """
 
@@ -28,7 +29,9 @@ BANDS, ROWS, BITS = 24, 5, 512
 SIGMAS = 5.5
 _MULTIPLIERS = np.random.default_rng(77).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _NUMBERS = np.arange(BANDS * ROWS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-_SIGNATURE = "doc_id long, class string, n_shingles long, bands array<long>, sketch array<long>"
+#: Bins of the finer sample (the least shingle of each), its bitmap's bits, and members of a bucket in one block.
+BINS, FINE, BLOCK = 1024, 2048, 512
+_SIGNATURE = "doc_id long, class string, n_shingles long, bands array<long>, sketch array<long>, fine binary"
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -54,6 +57,29 @@ def odd_sketch(sample: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fine_sketch(found: np.ndarray) -> bytes:
+    """An odd sketch of the least shingle in each of BINS ranges: nearly the whole set, if the set is small."""
+    slot = (found >> np.uint64(54)).astype(np.int64)
+    least = found[np.concatenate([[True], slot[1:] != slot[:-1]])]
+    odd = np.bincount((K.mix(least) % np.uint64(FINE)).astype(np.int64), minlength=FINE) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def most_fine_bits(size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Bits in which the fine sketches of two sets of these sizes may differ if they are that similar.
+
+    That many shingles differ at most; each that shared its bin may bring another to light, and in full bins
+    it is the share of bins that differ (both with SIGMAS deviations). Bits differ no more than items do, and
+    fewer where items meet in a bit."""
+    total = size_a + size_b
+    apart = (1 - similarity) / (1 + similarity) * total
+    shared = apart * np.clip(1 - BINS / (total / 2) * (1 - np.exp(-total / 2 / BINS)), 0, 1)
+    full = 2 * BINS * (1 - similarity) + 2 * SIGMAS * np.sqrt(BINS * similarity * (1 - similarity))
+    items = np.minimum(apart + shared + SIGMAS * np.sqrt(shared), full)
+    bits = FINE / 2 * (1 - (1 - 2 / FINE) ** items)
+    return np.minimum(items, bits + SIGMAS * np.sqrt(np.maximum(items - bits, 0)))
+
+
 def most_bits(similarity: float) -> int:
     """Bits in which two sketches may differ for their documents to be possibly that similar."""
     n = BANDS * ROWS
@@ -71,17 +97,17 @@ def signatures(docs: DataFrame, k: int, text: str, key: str) -> DataFrame:
                 for _, own in K.per_doc(words):
                     found = shingles(own, k)
                     if not len(found):
-                        rows.append(("", 0, [], []))
+                        rows.append(("", 0, [], [], b""))
                         continue
                     sample = samples(found)
                     with np.errstate(over="ignore"):
                         name = f"{len(found)} {int(found.sum()):x} {int((K.mix(found) ^ (found >> np.uint64(7))).sum()):x}"
                         mixed = K.mix(sample).reshape(BANDS, ROWS) * (np.arange(ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(3))
                         band = K.mix(mixed.sum(1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-                    rows.append((name, len(found), K.signed(band).tolist(), odd_sketch(sample).tolist()))
-                columns = list(zip(*rows, strict=True)) or [()] * 4
-                types = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "class", "n_shingles", "bands", "sketch"])
+                    rows.append((name, len(found), K.signed(band).tolist(), odd_sketch(sample).tolist(), fine_sketch(found)))
+                columns = list(zip(*rows, strict=True)) or [()] * 5
+                types = (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "class", "n_shingles", "bands", "sketch", "fine"])
 
     return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, _SIGNATURE)
 
@@ -134,6 +160,42 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return held.withColumn("common", common).filter(100 * F.col("common") >= similarity * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
+def _across(live: DataFrame, heads: DataFrame, similarity: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components in one bucket that the fine sketch allows.
+
+    The smaller components' members meet all members of their bucket, block against block, so a task holds two
+    blocks and only pairs that pass come out. A pair is taken up in the first band that it shares."""
+    rows = live.join(heads.select("v", "n_shingles", "bands", "fine"), "v")
+    block = F.pmod(F.xxhash64("v"), F.col("blocks"))
+    size = live.groupBy("band", "bucket").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
+    rows = written(rows.join(size, ["band", "bucket"]).withColumn("block", block.cast("int")), "blocks")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    few = rows.filter("component <> major").withColumn("other", every).drop("major", "blocks")
+    few = few.select(*[F.col(c).alias(c) for c in few.columns])  # so that the two sides' columns differ
+    many = rows.withColumn("other", F.col("block")).withColumn("block", every).drop("major", "blocks")
+
+    def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [np.zeros((0, 2), np.int64)]
+        if left.num_rows and right.num_rows:
+            x, y = ({c: t.column(c).to_numpy() for c in ("v", "component", "n_shingles")} for t in (left, right))
+            bands = [np.array(t.column("bands").to_pylist(), np.int64) for t in (left, right)]
+            fine = [np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint64).reshape(t.num_rows, -1) for t in (left, right)]
+            band = left.column("band")[0].as_py()
+            for i in range(left.num_rows):
+                ok = (y["component"] != x["component"][i]) & (100 * np.minimum(y["n_shingles"], x["n_shingles"][i]) >= similarity * np.maximum(y["n_shingles"], x["n_shingles"][i]))
+                at = np.flatnonzero(ok)
+                at = at[(bands[1][at, :band] != bands[0][i, :band]).all(1)]
+                differ = np.bitwise_count(fine[1][at] ^ fine[0][i]).sum(1)
+                at = at[differ <= most_fine_bits(y["n_shingles"][at], x["n_shingles"][i], similarity / 100)]
+                mine = np.full(len(at), x["v"][i])
+                found.append(np.stack([np.minimum(mine, y["v"][at]), np.maximum(mine, y["v"][at])], 1))
+        out = np.concatenate(found)
+        return pa.table([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    keys = ["band", "bucket", "block", "other"]
+    return few.groupBy(*keys).cogroup(many.groupBy(*keys)).applyInArrow(pairs, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILARITY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row.
 
@@ -146,7 +208,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     solid = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = solid.groupBy("class").agg(F.min("doc_id").alias("v"))
     heads = solid.join(classes.select(F.col("v").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    heads = written(heads.select(F.col("doc_id").alias("v"), "n_shingles", "bands", "sketch"), "heads")
+    heads = written(heads.select(F.col("doc_id").alias("v"), "n_shingles", "bands", "sketch", "fine"), "heads")
     member = heads.select("v", F.posexplode("bands").alias("band", "bucket"))
     pivot = member.groupBy("band", "bucket").agg(F.min_by("v", F.xxhash64("band", "v")).alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     buckets = written(member.join(pivot, ["band", "bucket"]).select("band", "bucket", "v", "pivot", "n"), "buckets")
@@ -162,9 +224,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     spread = labelled.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
     open_ = spread.groupBy("band", "bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts")).filter("parts > 1")
     live = written(labelled.join(open_.drop("parts"), ["band", "bucket"]), "open")
-    few = live.filter("component <> major").select("band", "bucket", F.col("v").alias("x"), F.col("component").alias("cx"))
-    across = few.join(live.select("band", "bucket", F.col("v").alias("y"), F.col("component").alias("cy")), ["band", "bucket"]).filter("cx <> cy").select(*ordered("x", "y")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(_confirmed(_near(across, sketches, similarity), sets, similarity), "links")
+    across = _across(live, heads, similarity).join(tried, ["a", "b"], "left_anti")
+    more = written(_confirmed(across, sets, similarity), "links")
     if not more.isEmpty():
         labels = connected(links.unionByName(more), nodes)
     group = classes.join(labels, "v", "left").select("class", F.coalesce("component", "v").alias("component_id"))
