@@ -23,6 +23,7 @@ from orrery.llm.recurring import NO_ID, recurring_anchors, sharded
 from orrery.llm.storage import written
 
 MIN_WORDS, PHRASE = 50, 8
+SALTS = 64
 _SUFFIX = "hash long, after binary, before binary, id long, position int"
 _MATCH = f"{_SUFFIX}, partner long, start int, stop int, edge boolean"
 
@@ -123,7 +124,10 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, phrase: int =
     found = _neighbours(suffixes, ["hash", "after", "id", "position"], min_words, phrase)
     matched = found.select("hash", "id", "position").distinct()
     lonely = suffixes.join(matched, ["hash", "id", "position"], "left_anti").select("hash").distinct()
-    again = suffixes.join(lonely, "hash", "left_semi")
+    # One anchor may hold a large share of all suffixes, so the join is salted.
+    salted = suffixes.withColumn("salt", F.pmod(F.xxhash64("id", "position"), F.lit(SALTS)).cast("int"))
+    every = lonely.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = salted.join(every, ["hash", "salt"], "left_semi").drop("salt")
     found = found.unionByName(_neighbours(again, ["hash", "before", "id", "position"], min_words, phrase))
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "stop"))),
