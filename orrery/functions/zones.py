@@ -5,6 +5,8 @@ column expressions on one row's array: nothing is shuffled."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ MIN_BOUND, MAX_BOUND = -16384, 16383
 INFINITY, ZERO = 32767, 1
 
 
+def _once(zone: Column, use: Callable[[Column], Column]) -> Column:
+    """use(zone) with the zone computed once, however often use reads it inside a lambda."""
+    return F.element_at(F.transform(F.array(zone), use), 1)
+
+
 def relation(bound: Column, weak: Column) -> Column:
     """Packed; null if the bound is out of range."""
     return F.when(bound.between(MIN_BOUND, MAX_BOUND), bound * 2 + weak.cast("int"))
@@ -57,7 +64,7 @@ def tighten(zone: Column, i: int, j: int, raw: Column, n: int) -> Column:
 
 def intersect(a: Column, b: Column) -> Column:
     """Cell by cell the least; null if the dimensions differ."""
-    return F.when(F.size(a) == F.size(b), F.zip_with(a, b, F.least))
+    return F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: F.least(x, y)))
 
 
 def _through(zone: Column, k: Column, n: int) -> Column:
@@ -72,14 +79,19 @@ def close(zone: Column, n: int) -> Column:
 
 def overflows(zone: Column, n: int) -> Column:
     """Whether one pivot step of the zone's closure leaves the range of bounds."""
-    return F.exists(F.sequence(F.lit(0), F.lit(n * n * n - 1)), lambda q: add(F.element_at(zone, F.floor(q / n).cast("int") + 1), F.element_at(zone, (F.floor(q / n).cast("int") % n) * n + q % n + 1)).isNull())
+    at = lambda q: F.floor(q / n).cast("int")
+    return _once(zone, lambda z: F.exists(F.sequence(F.lit(0), F.lit(n * n * n - 1)), lambda q: add(F.element_at(z, at(q) + 1), F.element_at(z, (at(q) % n) * n + q % n + 1)).isNull()))
 
 
 def close_pair(zone: Column, i: int, j: int, n: int) -> Column:
     """Canonical form after the one cell (i, j) of a canonical zone was tightened."""
-    middle = F.element_at(zone, i * n + j + 1)
     row, col = (lambda p: F.floor(p / n).cast("int")), (lambda p: p % n)
-    return F.transform(zone, lambda x, p: F.least(x, F.coalesce(add(add(F.element_at(zone, row(p) * n + i + 1), middle), F.element_at(zone, j * n + col(p) + 1)), x)))
+
+    def closed(z: Column) -> Column:
+        first = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: add(F.element_at(z, r * n + i + 1), F.element_at(z, i * n + j + 1)))
+        return _once(first, lambda f: F.transform(z, lambda x, p: F.least(x, F.coalesce(add(F.element_at(f, row(p) + 1), F.element_at(z, j * n + col(p) + 1)), x))))
+
+    return _once(zone, closed)
 
 
 def up(zone: Column, n: int) -> Column:
@@ -92,11 +104,11 @@ def copy_clock(zone: Column, to: int, of: int, n: int) -> Column:
         return zone
     row, col = (lambda p: F.floor(p / n).cast("int")), (lambda p: p % n)
 
-    def value(x, p):
+    def value(z, x, p):
         r, c = F.when(row(p) == to, of).otherwise(row(p)), F.when(col(p) == to, of).otherwise(col(p))
-        return F.when((row(p) == to) & (col(p) == to), ZERO).when((row(p) == to) & (col(p) == of) | (row(p) == of) & (col(p) == to), ZERO).otherwise(F.element_at(zone, r * n + c + 1))
+        return F.when((row(p) == to) & (col(p) == to), ZERO).when((row(p) == to) & (col(p) == of) | (row(p) == of) & (col(p) == to), ZERO).otherwise(F.element_at(z, r * n + c + 1))
 
-    return F.transform(zone, value)
+    return _once(zone, lambda z: F.transform(z, lambda x, p: value(z, x, p)))
 
 
 def reset(zone: Column, clock: int, n: int) -> Column:
@@ -111,7 +123,7 @@ def assign_offset(zone: Column, to: int, of: int, delta: int, n: int) -> Column:
     shift = lambda d: F.lit(d * 2 + 1)
     row, col = (lambda p: F.floor(p / n).cast("int")), (lambda p: p % n)
     out = F.transform(moved, lambda x, p: F.when((row(p) == to) & (col(p) != to), add(x, shift(delta))).when((col(p) == to) & (row(p) != to), add(x, shift(-delta))).otherwise(x))
-    return F.when(~F.exists(out, lambda x: x.isNull()), out)
+    return _once(out, lambda o: F.when(~F.exists(o, lambda x: x.isNull()), o))
 
 
 def subset(a: Column, b: Column) -> Column:
@@ -120,11 +132,15 @@ def subset(a: Column, b: Column) -> Column:
 
 
 def is_consistent(zone: Column, n: int) -> Column:
-    return F.forall(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(zone, i * (n + 1) + 1) >= ZERO)
+    return _once(zone, lambda z: F.forall(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(z, i * (n + 1) + 1) >= ZERO))
 
 
 def constraint_text(zone: Column, names: list[str]) -> Column:
     """Finite constraints off the diagonal, joined by &&."""
+    return _once(zone, lambda z: _constraints(z, names))
+
+
+def _constraints(zone: Column, names: list[str]) -> Column:
     n = len(names) + 1
     out = []
     for i in range(n):

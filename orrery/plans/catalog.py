@@ -406,7 +406,7 @@ def zone_tighten(spark, d):
 @_query(f"{_CLOSED}, n AS (SELECT *, " + ", ".join(f"lead({m}) OVER w AS n{m}" for m in _ALL) + ", lead(line) OVER w AS other FROM c3 WINDOW w AS (PARTITION BY k ORDER BY line)) SELECT k, line, " + " AND ".join(f"{m} <= n{m}" for m in _ALL) + " AS inside, " + " + ".join(f"least({m}, n{m})" for m in _ALL) + " AS met FROM n WHERE other IS NOT NULL")
 def zone_subset_and_meet(spark, d):
     z = _zones(spark, d).withColumn("zone", zones.close(F.col("zone"), 3))
-    z = z.withColumn("next", F.lead("zone").over(W.partitionBy("k").orderBy("line"))).filter("next is not null")
+    z = z.withColumn("next", F.lead("zone").over(W.partitionBy("k").orderBy("line", "zone"))).filter("next is not null")
     met = F.aggregate(zones.intersect(F.col("zone"), F.col("next")), F.lit(0), lambda a, x: a + x)
     return z.select("k", "line", zones.subset(F.col("zone"), F.col("next")).alias("inside"), met.alias("met"))
 
