@@ -44,8 +44,9 @@ def enumerate_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     rounds, limit = 0, max(1, nodes.count())
     while climbed.filter("up is not null").limit(1).count() and 1 << rounds <= limit:
         higher = climbed.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("size").alias("size2"), F.col("total").alias("total2"))
-        climbed = climbed.join(higher, ["tree", "up"], "left").select("tree", "id", F.col("up2").alias("up"), (F.col("size") + F.coalesce("size2", F.lit(0))).alias("size"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"))
-        climbed = written(climbed, "climbed")
+        # Messages that are past the root stay as they are: only those still climbing are joined.
+        further = climbed.filter("up is not null").join(higher, ["tree", "up"]).select("tree", "id", F.col("up2").alias("up"), (F.col("size") + F.col("size2")).alias("size"), (F.col("total") + F.col("total2")).alias("total"))
+        climbed = written(climbed.filter("up is null").unionByName(further), "climbed")
         jumps.append(climbed.select("tree", "id", "up"))
         rounds += 1
     replied = nodes.filter("parent is not null").select("tree", F.col("parent").alias("id")).distinct()
