@@ -60,11 +60,11 @@ def ngram_hashes(chars: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """At most about per_language rows of each language, by a hash of their text."""
+    """At most about per_language rows of each language, by a hash of their text; of copies that are drawn, one stays."""
     sizes = docs.groupBy("lang").agg(F.count("*").alias("rows"))
     # One row for each language: broadcast, as a join by language would move a third of all texts to one task.
     drawn = docs.join(F.broadcast(sizes), "lang").withColumn("draw", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 20)))
-    return drawn.filter(F.col("draw") * F.col("rows") < F.lit(per_language << 20)).select("text", "lang")
+    return drawn.filter(F.col("draw") * F.col("rows") < F.lit(per_language << 20)).select("text", "lang").distinct()
 
 
 class Model:
