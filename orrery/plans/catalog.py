@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from orrery.functions import formula as B
 from orrery.functions import shell, zones
 from orrery.operators import acceptance as A
-from orrery.operators import games, graph, lattice
+from orrery.operators import games, graph, lattice, views
 from orrery.operators import reach as R
 from orrery.plans.fixpoint import saved
 from orrery.sources import graphs as S
@@ -437,3 +437,36 @@ def formula_normal_forms(spark, d):
     f = ~((a | ~b) & (c | (a & ~c))) | (b & (a | c))
     part = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("k"), (F.col("p_size") > 25).alias("a"), (F.col("p_retailprice") > 1400).alias("b"), (F.col("p_brand") < "Brand#3").alias("c"))
     return part.select("k", f.column().alias("given"), B.nnf(f).column().alias("nnf"), B.cnf(f).column().alias("cnf"), B.dnf(f).column().alias("dnf"))
+
+
+@_query("SELECT DISTINCT l_partkey AS v, l_orderkey AS e FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1)")
+def hyperedges_incident(spark, d):
+    edges = views.hyperedges(spark.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey", "l_partkey")
+    return views.incident(edges, spark.read.parquet(f"{d}/part.parquet").filter("p_size = 1").select(F.col("p_partkey").alias("v")))
+
+
+@_query("SELECT l_orderkey AS e FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_suppkey = 3) AND bool_or(l_suppkey = 5)")
+def hyperedge_connections(spark, d):
+    return views.hyper_connections(views.hyperedges(spark.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey", "l_suppkey"), 3, 5)
+
+
+def _segments(spark, d: str) -> DataFrame:
+    customers = spark.read.parquet(f"{d}/customer.parquet")
+    return customers.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("property"))
+
+
+@_query("WITH s AS (SELECT c_custkey AS k, CASE WHEN c_custkey = 9 THEN 'SET' ELSE c_mktsegment END AS property FROM customer) SELECT k + (k >= 4)::BIGINT AS k, property FROM s UNION ALL SELECT 4, 'NEW'")
+def property_set_insert(spark, d):
+    return views.insert_property(views.set_property(_segments(spark, d), 9, "SET"), 4, "NEW")
+
+
+@_query("SELECT c_custkey - (c_custkey > 7)::BIGINT AS k, c_mktsegment AS property FROM customer WHERE c_custkey <> 7")
+def property_remove(spark, d):
+    n = 1 << 40  # far past the end: nothing is inserted
+    return views.insert_property(views.remove_property(_segments(spark, d), 7), n, "NEVER")
+
+
+@_query(f"WITH {_ARCS} SELECT src AS state, letter, o AS clause, dst AS succ FROM arcs")
+def alternating_clauses(spark, d):
+    each = views.clause_sets(views.clauses(S.order_arcs(spark, d).withColumnRenamed("o", "e")))
+    return each.select("state", "letter", "clause", F.element_at("successors", 1).alias("succ"))
