@@ -4,9 +4,9 @@ Only suffixes that begin at anchors (least phrase hash of every MIN_WORDS words,
 one) are kept, and of these only the ones whose anchor phrase recurs. They are sorted across the cluster by anchor,
 words that follow, document and position: a range partitioning in which even one anchor that fills a third of
 the table is spread over many tasks. Neighbours are compared and their match extended to the right and to the left;
-each partition's first and last suffix are compared once more across the border. Groups in which a suffix found no
-match go through a second sort by the words that precede it, since its partner may share more words to the left
-than to the right. Matches of at least MIN_WORDS words are merged into passages by document.
+each partition's first and last suffix are compared once more across the border. All suffixes go through a second
+sort by the words that precede them, since a suffix may share more words to the left with another partner than with
+its neighbours by the words that follow. Matches of at least MIN_WORDS words are merged into passages by document.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from orrery.llm.recurring import NO_ID, recurring_anchors, sharded
 from orrery.llm.storage import written
 
 MIN_WORDS, PHRASE = 50, 8
-SALTS = 64
 _SUFFIX = "hash long, after binary, before binary, id long, position int"
 _MATCH = f"{_SUFFIX}, partner long, start int, stop int, edge boolean"
 
@@ -117,18 +116,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, phrase: int =
     has as well, with the documents they were matched with. Words are runs outside blanks, unchanged.
 
     Null and empty texts have none; rows that repeat an id or share a null id are compared like other documents.
-    A passage that recurs within its own document names that document as its partner.
+    A passage that recurs within its own document names that document as its partner. Neighbours in two orders are
+    not all pairs: words are missed that two places share only together with fewer words to the left than one's
+    neighbours by words before and fewer to the right than its neighbours by words after.
     """
     rows = sharded(docs, text, key)
     suffixes = written(_suffixes(rows, recurring_anchors(rows, phrase, min_words), min_words, phrase), "suffixes")
     found = _neighbours(suffixes, ["hash", "after", "id", "position"], min_words, phrase)
-    matched = found.select("hash", "id", "position").distinct()
-    lonely = suffixes.join(matched, ["hash", "id", "position"], "left_anti").select("hash").distinct()
-    # One anchor may hold a large share of all suffixes, so the join is salted.
-    salted = suffixes.withColumn("salt", F.pmod(F.xxhash64("id", "position"), F.lit(SALTS)).cast("int"))
-    every = lonely.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    again = salted.join(every, ["hash", "salt"], "left_semi").drop("salt")
-    found = found.unionByName(_neighbours(again, ["hash", "before", "id", "position"], min_words, phrase))
+    found = found.unionByName(_neighbours(suffixes, ["hash", "before", "id", "position"], min_words, phrase))
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "stop"))),
         F.array().cast("array<struct<start:int,stop:int>>"),
