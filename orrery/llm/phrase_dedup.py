@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
-from orrery.llm.recurring import NO_ID, recurring_anchors, sharded
+from orrery.llm.recurring import NO_ID, SHARD_BYTES, recurring_anchors
 from orrery.llm.storage import written
 
 WINDOW, PHRASE = 20, 6
@@ -49,8 +49,8 @@ def phrase_automaton(phrases: list[str]):
 
 
 def _candidates(docs: pa.Table, recurring: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, ...]:
-    """(id, position, two hashes, whether an earlier equal window is in the shard) of the shard's candidate windows."""
-    order = np.argsort(docs.column("id").to_numpy(), kind="stable")
+    """(id, line, position, two hashes, whether an earlier equal window is in the shard) of the shard's candidate windows."""
+    order = np.lexsort((docs.column("line").to_numpy(), docs.column("id").to_numpy()))
     docs = docs.take(pa.array(order)).combine_chunks()
     words = K.words_of(docs.column("text").combine_chunks() if isinstance(docs.column("text"), pa.ChunkedArray) else docs.column("text"), K.NOT_SPACE)
     distinct, ids = np.unique(words.hashes, return_inverse=True)
@@ -69,9 +69,9 @@ def _candidates(docs: pa.Table, recurring: np.ndarray, window: int, phrase: int)
             phrases.update(code[p * places : (p + phrase) * places] for p in at.tolist())
             plan.append((i, own, hashes, least, code, places))
     if not phrases:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.uint64, np.uint64, bool))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.uint64, np.uint64, bool))
     automaton = phrase_automaton(sorted(phrases))
-    names = docs.column("id").to_numpy()
+    names, lines = docs.column("id").to_numpy(), docs.column("line").to_numpy()
     out: list[tuple[np.ndarray, ...]] = []
     for i, own, hashes, least, code, places in plan:
         ends = np.fromiter((end for end, _ in automaton.iter(code)), np.int64)
@@ -83,77 +83,110 @@ def _candidates(docs: pa.Table, recurring: np.ndarray, window: int, phrase: int)
             whole = K.grams(own, window, seed=1)[starts]
             # A second, independent hash of the same words.
             other = K.grams(K.mix(own + np.uint64(0x632BE59BD9B4E019)), window, seed=2)[starts]
-            out.append((np.full(len(starts), names[i]), starts.astype(np.int32), whole, other))
+            out.append((np.full(len(starts), names[i]), np.full(len(starts), lines[i]), starts.astype(np.int32), whole, other))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.uint64, np.uint64, bool))
-    name, start, one, two = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((start, name, two, one))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.uint64, np.uint64, bool))
+    name, line, start, one, two = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.lexsort((start, line, name, two, one))
+    o, t, place = one[order], two[order], np.stack([name, line, start])[:, order]
+    head = np.concatenate([[True], (o[1:] != o[:-1]) | (t[1:] != t[:-1])])
+    # Against the first of its kind: the same position of a repeated row is no repeat of itself.
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
     later = np.zeros(len(order), bool)
-    o, t = one[order], two[order]
-    later[order[1:]] = (o[1:] == o[:-1]) & (t[1:] == t[:-1])
-    return name, start, one, two, later
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, starts): runs (start, stop) of window positions whose words also start earlier (smaller id, or same document).
-    A null id counts as NO_ID; rows that repeat an id count as one document, position by position."""
-    rows = sharded(docs, text, key)
-    anchors = recurring_anchors(rows, phrase, window).select("shard", "hash", F.lit(None).cast("long").alias("copy"))
-    # Later copies of whole texts repeat in all their windows; only their ids need to be known.
-    named = rows.select("id", "shard", F.unhex(F.md5("text")).alias("name")).filter("name is not null")
-    earliest = named.groupBy("name").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = named.join(earliest, "name").filter("id <> first").select("shard", F.lit(None).cast("long").alias("hash"), F.col("id").alias("copy"))
+    later[order] = (place != place[:, first]).any(0)
+    return name, line, start, one, two, later
+
+
+def _lined(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(id, text, line): null ids become NO_ID and their rows, written once, get a number each; other rows have line 0."""
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    lost = written(rows.filter("id is null").select(F.lit(NO_ID).alias("id"), "text", F.monotonically_increasing_id().alias("line")), "lost")
+    return rows.filter("id is not null").select("id", "text", F.lit(0).cast("long").alias("line")).unionByName(lost)
+
+
+def _digest(value: str) -> int:
+    """The line of a text whose id is listed with other texts too."""
+    return int.from_bytes(hashlib.md5(value.encode()).digest()[:8], "big", signed=True)
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+    """(id, lost, starts): of rows (id, text, line), runs (line, start, stop) of window positions whose words also start
+    earlier (smaller id, then line, or same document). lost is the line of a row without an id, else 0. Rows that repeat
+    an id and a text count as one document, position by position; other texts of that id are documents of their own,
+    with their digests as lines."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    deal = F.when(F.col("id") == NO_ID, F.xxhash64("line")).otherwise(F.xxhash64("id", F.length("text")))
+    rows = docs.withColumn("shard", F.pmod(deal, F.lit(1 + size // SHARD_BYTES)).cast("int"))
+    none = F.lit(None).cast("long")
+    anchors = recurring_anchors(rows, phrase, window).select("shard", "hash", none.alias("copy"), none.alias("copy_line"), none.alias("clash"))
+    named = rows.select("id", "line", "shard", F.unhex(F.md5("text")).alias("name")).filter("name is not null")
+    # Ids that are listed with several texts.
+    several = named.filter(F.col("id") != NO_ID).groupBy("id").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least <> most").select("id", F.lit(True).alias("several"))
+    named = named.join(several, "id", "left")
+    line = F.when(F.col("several"), F.conv(F.hex(F.substring("name", 1, 8)), 16, -10).cast("long")).otherwise(F.col("line"))
+    named = named.withColumn("line", line)
+    clashes = named.filter("several").select("shard", none.alias("hash"), none.alias("copy"), none.alias("copy_line"), F.col("id").alias("clash")).distinct()
+    # Later copies of whole texts repeat in all their windows; only their ids and lines need to be known.
+    earliest = named.groupBy("name").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = named.join(earliest, "name").filter(F.struct("id", "line") != F.col("first")).select("shard", none.alias("hash"), F.col("id").alias("copy"), F.col("line").alias("copy_line"), none.alias("clash"))
 
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
-        name, start, one, two, later, stop = _shard_windows(left, right, window, phrase)
-        return pa.table([pa.array(name, pa.int64()), pa.array(start, pa.int32()), pa.array(K.signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(stop, pa.int32())], ["id", "start", "one", "two", "stop"])
+        name, line, start, one, two, stop = _shard_windows(left, right, window, phrase)
+        return pa.table([pa.array(name, pa.int64()), pa.array(line, pa.int64()), pa.array(start, pa.int32()), pa.array(K.signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(stop, pa.int32())], ["id", "line", "start", "one", "two", "stop"])
 
-    found = rows.groupBy("shard").cogroup(anchors.unionByName(copies).groupBy("shard")).applyInArrow(shard, "id long, start int, one long, two int, stop int")
+    found = rows.groupBy("shard").cogroup(anchors.unionByName(copies).unionByName(clashes).groupBy("shard")).applyInArrow(shard, "id long, line long, start int, one long, two int, stop int")
     # rank, not row_number: the same position of a repeated row is no repeat of itself.
-    place = F.rank().over(W.partitionBy("one", "two").orderBy("id", "start"))
+    place = F.rank().over(W.partitionBy("one", "two").orderBy("id", "line", "start"))
     repeats = found.withColumn("place", place).filter("stop > start or place > 1")
-    return repeats.groupBy("id").agg(F.collect_set(F.struct("start", F.greatest("stop", F.col("start") + 1).alias("stop"))).alias("starts"))
+    lost = F.when(F.col("id") == NO_ID, F.col("line")).otherwise(F.lit(0)).alias("lost")
+    return repeats.groupBy("id", lost).agg(F.collect_set(F.struct("line", "start", F.greatest("stop", F.col("start") + 1).alias("stop"))).alias("starts"))
 
 
 def _shard_windows(left: pa.Table, right: pa.Table, window: int, phrase: int) -> tuple[np.ndarray, ...]:
     """Windows to compare with other shards (stop = 0), and runs start .. stop of windows known to be repeats."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int32, np.uint64, np.uint64, bool))
-    copies = right.column("copy").drop_null().to_numpy()
-    known = np.isin(left.column("id").to_numpy(), copies)
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.uint64, np.uint64, bool))
+    ids, lines = left.column("id").to_numpy(), left.column("line").to_numpy().copy()
+    for i in np.flatnonzero(np.isin(ids, right.column("clash").drop_null().to_numpy())).tolist():
+        lines[i] = _digest(left.column("text")[i].as_py() or "")
+    left = left.set_column(left.column_names.index("line"), "line", pa.array(lines))
+    copies = set(zip(right.column("copy").drop_null().to_pylist(), right.column("copy_line").drop_null().to_pylist(), strict=True))
+    known = np.fromiter((v in copies for v in zip(ids.tolist(), lines.tolist(), strict=True)), bool, len(ids))
     fresh = left.filter(pa.array(~known))
     hashes = right.column("hash").drop_null().to_numpy().view(np.uint64)
-    name, start, one, two, later = _candidates(fresh, hashes, window, phrase) if fresh.num_rows and len(hashes) else none
+    name, line, start, one, two, later = _candidates(fresh, hashes, window, phrase) if fresh.num_rows and len(hashes) else none
     stop = np.zeros(len(name), np.int64)
     if later.any():
         # Neighbouring repeats of one document become one run.
-        n, s = name[later], start[later].astype(np.int64)
-        order = np.lexsort((s, n))
-        n, s = n[order], s[order]
-        head = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (s[1:] > s[:-1] + 1)]))
-        runs = n[head], s[head], s[np.append(head[1:], len(n)) - 1] + 1
-        name, start, stop = (np.concatenate([a[~later], b]) for a, b in zip((name, start, stop), runs, strict=True))
+        n, d, s = name[later], line[later], start[later].astype(np.int64)
+        order = np.lexsort((s, d, n))
+        n, d, s = n[order], d[order], s[order]
+        head = np.flatnonzero(np.concatenate([[True], (n[1:] != n[:-1]) | (d[1:] != d[:-1]) | (s[1:] > s[:-1] + 1)]))
+        runs = n[head], d[head], s[head], s[np.append(head[1:], len(n)) - 1] + 1
+        name, line, start, stop = (np.concatenate([a[~later], b]) for a, b in zip((name, line, start, stop), runs, strict=True))
         one, two = (np.concatenate([a[~later], np.zeros(len(head), np.uint64)]) for a in (one, two))
     whole = left.filter(pa.array(known))
     if whole.num_rows:
         column = whole.column("text").combine_chunks()
         count = np.diff(K.words_of(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column, K.NOT_SPACE, hashes=False).first) - window + 1
-        own = whole.column("id").to_numpy()[count > 0]
-        name, start, stop = (np.concatenate(x) for x in ((name, own), (start, np.zeros(len(own), np.int64)), (stop, count[count > 0])))
+        own, mine = (whole.column(c).to_numpy()[count > 0] for c in ("id", "line"))
+        name, line, start, stop = (np.concatenate(x) for x in ((name, own), (line, mine), (start, np.zeros(len(own), np.int64)), (stop, count[count > 0])))
         one, two = (np.concatenate([a, np.zeros(len(own), np.uint64)]) for a in (one, two))
     runs = stop > 0
     # A run needs no partner: it goes to a group of its own.
-    one = np.where(runs, K.mix(name.view(np.uint64) * np.uint64(31) + start.astype(np.uint64)), one)
+    one = np.where(runs, K.mix((name.view(np.uint64) * np.uint64(31) + line.view(np.uint64)) * np.uint64(31) + start.astype(np.uint64)), one)
     two = np.where(runs, K.mix(one ^ np.uint64(0x5851F42D4C957F2D)), two)
-    return name, start.astype(np.int64), one, two, later, stop
+    return name, line, start.astype(np.int64), one, two, stop
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by a blank) of every row.
 
-    Words are runs of bytes outside blank, tab and line ends, unchanged. Null and empty texts have no words.
+    Words are runs of bytes outside blank, tab and line ends, unchanged. Null and empty texts have no words. Every row
+    without an id is a document of its own, and so is every text of an id; rows that repeat both are one document.
     """
-    starts = written(repeated_windows(docs, window, phrase, text, key), "repeats")
-    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"))
+    rows = _lined(docs, text, key)
+    starts = written(repeated_windows(rows, window, phrase), "repeats")
+    rows = rows.withColumnRenamed("line", "lost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,21 +197,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
                     kept = words
                     if at.is_valid:
                         change = np.zeros(len(words) + 1, np.int64)
-                        np.add.at(change, at.values.field("start").to_numpy(), 1)
-                        np.add.at(change, at.values.field("stop").to_numpy() + window - 1, -1)
+                        first, stop, line = (at.values.field(f).to_numpy() for f in ("start", "stop", "line"))
+                        if name != NO_ID and line.any():
+                            mine = line == _digest(value or "")
+                            first, stop = first[mine], stop[mine]
+                        np.add.at(change, first, 1)
+                        np.add.at(change, stop + window - 1, -1)
                         kept = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
                     out.append((None if name == NO_ID else name, len(words), len(words) - len(kept), b" ".join(kept).decode()))
                 columns = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     # A bitmap of fixed size over hashed ids: texts that surely keep all words need not be shuffled.
-    bit = F.pmod(F.xxhash64("id"), F.lit(BITMAP))
+    bit = F.pmod(F.xxhash64("id", "lost"), F.lit(BITMAP))
     bitmap = starts.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
     rows = rows.withColumns({"part": F.bitmap_bucket_number(bit + 1), "at": F.bitmap_bit_position(bit + 1)}).join(F.broadcast(bitmap), "part", "left")
     byte = F.conv(F.hex(F.substring("bitmap", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    rows = rows.select("id", "text", (F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")), F.lit(0)) > 0).alias("some"))
-    clean = rows.filter("not some").select("id", "text", F.lit(None).cast("array<struct<start:int,stop:int>>").alias("starts"))
-    touched = rows.filter("some").join(starts, "id", "left").select("id", "text", "starts")
+    rows = rows.select("id", "lost", "text", (F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(at % 8 as int))")), F.lit(0)) > 0).alias("some"))
+    clean = rows.filter("not some").select("id", "text", F.lit(None).cast("array<struct<line:long,start:int,stop:int>>").alias("starts"))
+    touched = rows.filter("some").join(starts, ["id", "lost"], "left").select("id", "text", "starts")
     return clean.unionByName(touched).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
