@@ -37,13 +37,30 @@ def _urgent(spark, d: str) -> DataFrame:
     return saved(graph.under_letter(S.order_arcs(spark, d), "1").select(F.col("o").alias("e"), "src", "dst"))
 
 
+def _every(spark, d: str) -> DataFrame:
+    """All arcs of the order graph, numbered by their order's key."""
+    return saved(S.order_arcs(spark, d).select(F.col("o").alias("e"), "src", "dst"))
+
+
+def _graph_query(sql: str):
+    """The query over the arcs under the letter 1, and as whole_... over all arcs; there a path may take all vertices."""
+
+    def add(f):
+        name = f"whole_{f.__name__}"
+        QUERIES[name] = lambda spark, d: f(spark, d, _every)
+        ORACLES[name] = sql.replace(" WHERE letter = '1'", "").replace("r.depth < 60", "r.depth < (SELECT count(*) FROM customer)")
+        return _query(sql)(f)
+
+    return add
+
+
 def _supply(spark, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
 
 
-@_query(f"WITH RECURSIVE {_URGENT}, r AS (SELECT 1::BIGINT AS v, 0::BIGINT AS depth UNION SELECT u.dst, r.depth + 1 FROM r JOIN u ON u.src = r.v WHERE r.depth < 60) SELECT v, min(depth) AS depth FROM r GROUP BY v")
-def reach_depth(spark, d):
-    return R.reach(_urgent(spark, d), spark.range(1, 2).toDF("v"))
+@_graph_query(f"WITH RECURSIVE {_URGENT}, r AS (SELECT 1::BIGINT AS v, 0::BIGINT AS depth UNION SELECT u.dst, r.depth + 1 FROM r JOIN u ON u.src = r.v WHERE r.depth < 60) SELECT v, min(depth) AS depth FROM r GROUP BY v")
+def reach_depth(spark, d, source=_urgent):
+    return R.reach(source(spark, d), spark.range(1, 2).toDF("v"))
 
 
 @_query("WITH n AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS e FROM (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem)) SELECT e, src, dst FROM n")
@@ -131,21 +148,21 @@ def bipartite_violations(spark, d):
     return graph.crossing_violations(S.order_arcs(spark, d).withColumnRenamed("o", "e"), sides)
 
 
-@_query(f"WITH {_URGENT} SELECT v, v NOT IN (SELECT src FROM u UNION SELECT dst FROM u) AS feasible FROM v")
-def side_change_feasible(spark, d):
-    return graph.can_change_side(_urgent(spark, d), S.customer_arena(spark, d))
+@_graph_query(f"WITH {_URGENT} SELECT v, v NOT IN (SELECT src FROM u UNION SELECT dst FROM u) AS feasible FROM v")
+def side_change_feasible(spark, d, source=_urgent):
+    return graph.can_change_side(source(spark, d), S.customer_arena(spark, d))
 
 
-@_query(f"WITH {_URGENT} SELECT dst AS v, count(*) AS n FROM u JOIN v ON v.v = src WHERE balance < 0 GROUP BY dst")
-def forward_expansion(spark, d):
+@_graph_query(f"WITH {_URGENT} SELECT dst AS v, count(*) AS n FROM u JOIN v ON v.v = src WHERE balance < 0 GROUP BY dst")
+def forward_expansion(spark, d, source=_urgent):
     frontier = S.customer_arena(spark, d).filter("balance < 0")
-    return graph.step(frontier, _urgent(spark, d)).groupBy("v").agg(F.count("*").alias("n"))
+    return graph.step(frontier, source(spark, d)).groupBy("v").agg(F.count("*").alias("n"))
 
 
-@_query(f"WITH {_URGENT} SELECT src AS v, count(*) AS n FROM u JOIN v ON v.v = dst WHERE balance < 0 GROUP BY src")
-def backward_expansion(spark, d):
+@_graph_query(f"WITH {_URGENT} SELECT src AS v, count(*) AS n FROM u JOIN v ON v.v = dst WHERE balance < 0 GROUP BY src")
+def backward_expansion(spark, d, source=_urgent):
     frontier = S.customer_arena(spark, d).filter("balance < 0")
-    return graph.step(frontier, _urgent(spark, d), forward=False).groupBy("v").agg(F.count("*").alias("n"))
+    return graph.step(frontier, source(spark, d), forward=False).groupBy("v").agg(F.count("*").alias("n"))
 
 
 @_query(f"WITH {_ARCS} SELECT src, letter, dst, count(*) AS n FROM arcs GROUP BY ALL")
@@ -156,30 +173,30 @@ def transitions_by_letter(spark, d):
 _SCC = f"WITH RECURSIVE {_URGENT}, p AS (SELECT DISTINCT src, dst FROM u), t AS (SELECT src AS a, dst AS b FROM p UNION SELECT t.a, p.dst FROM t JOIN p ON p.src = t.b), m AS (SELECT x.a, x.b FROM t x JOIN t y ON y.a = x.b AND y.b = x.a), c AS (SELECT v.v, least(v.v, coalesce(min(m.b), v.v)) AS class FROM v LEFT JOIN m ON m.a = v.v GROUP BY v.v)"
 
 
-@_query(f"{_SCC} SELECT v, class FROM c")
-def scc_classes(spark, d):
-    return R.components(S.customer_arena(spark, d), _urgent(spark, d))
+@_graph_query(f"{_SCC} SELECT v, class FROM c")
+def scc_classes(spark, d, source=_urgent):
+    return R.components(S.customer_arena(spark, d), source(spark, d))
 
 
-@_query(f"{_SCC} SELECT class, count(*) AS size, count(*) > 1 OR bool_or(v IN (SELECT src FROM p WHERE src = dst)) AS recurrent FROM c GROUP BY class")
-def recurrent_classes(spark, d):
-    arcs = _urgent(spark, d)
+@_graph_query(f"{_SCC} SELECT class, count(*) AS size, count(*) > 1 OR bool_or(v IN (SELECT src FROM p WHERE src = dst)) AS recurrent FROM c GROUP BY class")
+def recurrent_classes(spark, d, source=_urgent):
+    arcs = source(spark, d)
     return R.recurrent(saved(R.components(S.customer_arena(spark, d), arcs)), arcs)
 
 
-@_query(f"{_SCC}, k AS (SELECT class FROM c GROUP BY class HAVING count(*) > 1 OR bool_or(v IN (SELECT src FROM p WHERE src = dst))) SELECT DISTINCT a.class AS src_class, b.class AS dst_class FROM p JOIN c a ON a.v = src JOIN c b ON b.v = dst WHERE a.class <> b.class UNION SELECT class, class FROM k")
-def condensation_arcs(spark, d):
-    arcs = _urgent(spark, d)
+@_graph_query(f"{_SCC}, k AS (SELECT class FROM c GROUP BY class HAVING count(*) > 1 OR bool_or(v IN (SELECT src FROM p WHERE src = dst))) SELECT DISTINCT a.class AS src_class, b.class AS dst_class FROM p JOIN c a ON a.v = src JOIN c b ON b.v = dst WHERE a.class <> b.class UNION SELECT class, class FROM k")
+def condensation_arcs(spark, d, source=_urgent):
+    arcs = source(spark, d)
     return R.condensation(saved(R.components(S.customer_arena(spark, d), arcs)), arcs)
 
 
 _REACHED = ", s AS (SELECT 1::BIGINT AS v UNION SELECT p.dst FROM s JOIN p ON p.src = s.v)"
 
 
-@_query(f"{_SCC}{_REACHED}, k AS (SELECT class FROM c GROUP BY class HAVING count(*) > 1 OR bool_or(v IN (SELECT src FROM p WHERE src = dst))) SELECT DISTINCT class FROM c JOIN s USING (v) JOIN v USING (v) JOIN k USING (class) WHERE balance < 0")
-def buchi_emptiness(spark, d):
+@_graph_query(f"{_SCC}{_REACHED}, k AS (SELECT class FROM c GROUP BY class HAVING count(*) > 1 OR bool_or(v IN (SELECT src FROM p WHERE src = dst))) SELECT DISTINCT class FROM c JOIN s USING (v) JOIN v USING (v) JOIN k USING (class) WHERE balance < 0")
+def buchi_emptiness(spark, d, source=_urgent):
     arena = S.customer_arena(spark, d)
-    return R.buchi_nonempty(_urgent(spark, d), spark.range(1, 2).toDF("v"), arena.filter("balance < 0"))
+    return R.buchi_nonempty(source(spark, d), spark.range(1, 2).toDF("v"), arena.filter("balance < 0"))
 
 
 def _parity_sql() -> str:
@@ -192,10 +209,10 @@ def _parity_sql() -> str:
     return f"WITH RECURSIVE {_URGENT}, p AS (SELECT DISTINCT src, dst FROM u){_REACHED}, w AS (SELECT n.v, (n.c_nationkey % 5)::INT AS priority FROM (SELECT c_custkey AS v, c_nationkey FROM customer) n JOIN s USING (v)) " + " UNION ALL ".join(parts)
 
 
-@_query(_parity_sql())
-def parity_emptiness(spark, d):
+@_graph_query(_parity_sql())
+def parity_emptiness(spark, d, source=_urgent):
     c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("v"), (F.col("c_nationkey") % 5).alias("priority"))
-    return R.parity_nonempty(_urgent(spark, d), spark.range(1, 2).toDF("v"), c)
+    return R.parity_nonempty(source(spark, d), spark.range(1, 2).toDF("v"), c)
 
 
 def _attractor_sql(target: str, player: str) -> str:
@@ -212,30 +229,30 @@ _TARGET = "balance > 9500"
 _UNSAFE = "(balance < -900 OR v NOT IN (SELECT src FROM u))"
 
 
-@_query(f"{_attractor_sql(_TARGET, 'Eve')} SELECT v FROM reg")
-def attractor_region(spark, d):
+@_graph_query(f"{_attractor_sql(_TARGET, 'Eve')} SELECT v FROM reg")
+def attractor_region(spark, d, source=_urgent):
     arena = S.customer_arena(spark, d)
-    return games.attractor(arena, _urgent(spark, d), arena.filter(_TARGET), "Eve").select("v")
+    return games.attractor(arena, source(spark, d), arena.filter(_TARGET), "Eve").select("v")
 
 
-@_query(f"{_attractor_sql(_TARGET, 'Eve')} SELECT v, true AS wins FROM reg")
-def reach_strategy_wins(spark, d):
+@_graph_query(f"{_attractor_sql(_TARGET, 'Eve')} SELECT v, true AS wins FROM reg")
+def reach_strategy_wins(spark, d, source=_urgent):
     """Where the synthesised strategy wins against every opponent: the whole region, if it is right."""
-    arena, arcs = S.customer_arena(spark, d), _urgent(spark, d)
+    arena, arcs = S.customer_arena(spark, d), source(spark, d)
     region = saved(games.attractor(arena, arcs, arena.filter(_TARGET), "Eve"))
     strategy = saved(games.attractor_strategy(arena, arcs, region, "Eve"))
     return games.verify_reach_strategy(arena, arcs, strategy, arena.filter(_TARGET), "Eve").withColumn("wins", F.lit(True))
 
 
-@_query(f"{_attractor_sql(_UNSAFE, 'Adam')} SELECT v FROM v WHERE v NOT IN (SELECT v FROM reg)")
-def safety_region(spark, d):
+@_graph_query(f"{_attractor_sql(_UNSAFE, 'Adam')} SELECT v FROM v WHERE v NOT IN (SELECT v FROM reg)")
+def safety_region(spark, d, source=_urgent):
     arena = S.customer_arena(spark, d)
-    return games.safety_region(arena, _urgent(spark, d), arena.filter("not balance < -900"), "Eve")
+    return games.safety_region(arena, source(spark, d), arena.filter("not balance < -900"), "Eve")
 
 
-@_query(f"{_attractor_sql(_UNSAFE, 'Adam')}, w AS (SELECT v FROM v WHERE v NOT IN (SELECT v FROM reg)) SELECT src AS v, arg_min(dst, o) AS succ FROM u JOIN v ON v.v = src WHERE owner = 'Eve' AND src IN (SELECT v FROM w) AND dst IN (SELECT v FROM w) GROUP BY src")
-def safety_strategy(spark, d):
-    arena, arcs = S.customer_arena(spark, d), _urgent(spark, d)
+@_graph_query(f"{_attractor_sql(_UNSAFE, 'Adam')}, w AS (SELECT v FROM v WHERE v NOT IN (SELECT v FROM reg)) SELECT src AS v, arg_min(dst, o) AS succ FROM u JOIN v ON v.v = src WHERE owner = 'Eve' AND src IN (SELECT v FROM w) AND dst IN (SELECT v FROM w) GROUP BY src")
+def safety_strategy(spark, d, source=_urgent):
+    arena, arcs = S.customer_arena(spark, d), source(spark, d)
     region = saved(games.safety_region(arena, arcs, arena.filter("not balance < -900"), "Eve"))
     return games.safety_strategy(arena, arcs, region, "Eve")
 
@@ -255,10 +272,10 @@ _BUCHI = f"""WITH RECURSIVE {_URGENT}, st(i, phase, c, r) AS (
 SELECT unnest(c) AS v FROM (SELECT c FROM st ORDER BY i DESC LIMIT 1)"""
 
 
-@_query(_BUCHI)
-def buchi_region(spark, d):
+@_graph_query(_BUCHI)
+def buchi_region(spark, d, source=_urgent):
     arena = S.customer_arena(spark, d)
-    return games.buchi_region(arena, _urgent(spark, d), arena.filter("balance > 5000"), "Eve")
+    return games.buchi_region(arena, source(spark, d), arena.filter("balance > 5000"), "Eve")
 
 
 _TYPES = ["click", "view", "purchase", "scroll", "login"]
