@@ -24,16 +24,24 @@ def drop_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the least doc_id stays."""
-    gone = near_dedup.near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the least doc_id stays.
+
+    Rows without a doc_id come after all others, in the order of a hash of their text; of equal texts among them one stays."""
+    lost = docs.filter("doc_id is null").dropDuplicates(["text"])
+    hashed = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    keyed = docs.filter("doc_id is not null").unionByName(lost).withColumn("near_key", F.coalesce(F.col("doc_id").cast("long"), hashed))
+    gone = near_dedup.near_duplicates(keyed, key="near_key").filter(~F.col("kept")).select(F.col("doc_id").alias("near_key"))
+    return keyed.join(gone, "near_key", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word inside a benchmark item's ten-word window go."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.filter("n_hit > 0").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents with a word inside a benchmark item's ten-word window go, whatever their doc_id.
+
+    The verdict hangs on the text alone, so it is carried by a hash of the text."""
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    found = decontamination.contamination(keyed.select(F.col("text_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.filter("n_hit > 0").select(F.col("doc_id").alias("text_key"))
+    return keyed.join(gone, "text_key", "left_anti").select(*docs.columns)
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
