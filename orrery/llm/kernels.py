@@ -1,10 +1,13 @@
 """Small numpy helpers over Arrow batches of texts: words, word hashes, n-gram hashes.
 
-All hashes are 64-bit and depend on content only, so tasks on any executor agree.
+All hashes are 64-bit and depend on content and a seed only, so tasks on any executor agree. Operators that compare
+by hashes draw the seed once for each job; models, which only bin words, use seed 0.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +23,9 @@ LETTERS = ((_BYTES >= 0x41) & (_BYTES <= 0x5A)) | ((_BYTES >= 0x61) & (_BYTES <=
 ALNUM = LETTERS | ((_BYTES >= 0x30) & (_BYTES <= 0x39))
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 
-_R = 0x9E3779B97F4A7C15
-_R_INV = pow(_R, -1, 1 << 64)
-_BYTE_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
-_BLOCK = 1 << 20
-_powers: list[np.ndarray] = []
+#: Words beyond so many bytes are hashed by a library, one by one; shorter ones in rounds of eight bytes.
+_ROUNDS_TO = 512
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,12 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, _BLOCK)
-        one = np.ones(1, U)
-        _powers[:] = [np.concatenate([one, np.cumprod(np.full(size - 1, r, U))]) for r in (_R, _R_INV)]
-    return _powers
+def draw_seed() -> int:
+    """A seed for the hashes of one job, drawn on the driver, so that no text can be made to clash beforehand."""
+    return secrets.randbits(63)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
@@ -77,12 +75,12 @@ class Words:
         return len(self.starts)
 
 
-def words_of(column: pa.Array, members: np.ndarray, lower: bool = False, hashes: bool = True) -> Words:
+def words_of(column: pa.Array, members: np.ndarray, lower: bool = False, hashes: bool = True, seed: int = 0) -> Words:
     data, offsets = text_bytes(column)
-    return words_in(data, offsets, members, lower, hashes)
+    return words_in(data, offsets, members, lower, hashes, seed)
 
 
-def words_in(data: np.ndarray, offsets: np.ndarray, members: np.ndarray, lower: bool = False, hashes: bool = True) -> Words:
+def words_in(data: np.ndarray, offsets: np.ndarray, members: np.ndarray, lower: bool = False, hashes: bool = True, seed: int = 0) -> Words:
     if lower:
         data = LOWER[data]
     n = len(data)
@@ -97,25 +95,46 @@ def words_in(data: np.ndarray, offsets: np.ndarray, members: np.ndarray, lower:
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     found = Words(data, starts, ends, np.searchsorted(starts, offsets))
     if hashes:
-        found.hashes = word_hashes(data, starts, ends)
+        found.hashes = word_hashes(data, starts, ends, seed)
     return found
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of the words, block by block, so that a very long text needs no large table."""
-    out = np.empty(len(starts), U)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, "right")))
-        low = starts[at]
-        part = data[low : ends[to - 1]]
-        power, inverse = _power_tables(len(part))
-        sums = np.zeros(len(part) + 1, U)
-        np.cumsum(_BYTE_VALUE[part] * power[: len(part)], out=sums[1:])
-        s, e = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = (sums[e] - sums[s]) * inverse[s]
-        at = to
-    return mix(out)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the words by length and bytes, eight bytes a round; every round mixes all bits, so clashes can't be
+    built without the seed."""
+    out = mix((ends - starts).astype(U) * U(0x9E3779B97F4A7C15) + U(seed))
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    size = ends - starts
+    for i in np.flatnonzero(size > _ROUNDS_TO).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "big")).digest()
+        out[i] = int.from_bytes(digest, "big")
+    live = np.flatnonzero((size > 0) & (size <= _ROUNDS_TO))
+    at = starts[live]
+    while len(live):
+        left = ends[live] - at
+        block = eights[at].view("<u8")[:, 0] & _MASK[np.minimum(left, 8)]
+        out[live] = mix(out[live] ^ block)
+        more = left > 8
+        live, at = live[more], at[more] + 8
+    return out
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices starts[i] .. starts[i] + sizes[i] of all i in a row."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def binary_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """data[starts[i]:ends[i]] of all i as Arrow binaries."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[ragged(starts, sizes)])])
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The different words, by their bytes, and each word's number among them."""
+    coded = binary_array(data, starts, ends).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
 
 
 def grams(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
