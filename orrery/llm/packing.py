@@ -70,26 +70,28 @@ class ByteBpe:
         if not len(starts):
             return [np.zeros(0, np.uint32)] * len(column)
         ends = np.append(starts[1:], n)
-        _, index, inverse = np.unique(K.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        s, e = starts[index], ends[index]
+        # Words follow each other without gaps, so each begins where the one before ends; they are told apart by their bytes.
+        words, inverse = K.distinct_words(data, starts, ends)
+        raw, bound = K.text_bytes(words)
+        s, e = bound[:-1], bound[1:]
+        word_blank = ~K.NOT_SPACE[raw]
         # In one string, each word must begin with a blank after another's last non-blank; others go alone.
-        joined = blank[s] & ~blank[e - 1]
+        joined = word_blank[s] & ~word_blank[e - 1]
         size = np.where(joined, e - s, 0)
-        at = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        ids = self.encoder.encode_to_numpy(data[at].tobytes().decode(), disallowed_special=()).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
+        at = K.ragged(s, size)
+        ids = self.encoder.encode_to_numpy(raw[at].tobytes().decode(), disallowed_special=()).astype(np.uint32) if len(at) else np.zeros(0, np.uint32)
         token_end = np.cumsum(self.size[ids])
         bounds = np.concatenate([[0], np.searchsorted(token_end, np.cumsum(size), "right")])
         begin, count = bounds[:-1].copy(), np.diff(bounds)
         alone, parts, total = np.flatnonzero(~joined), [ids], len(ids)
         for i in alone:
-            got = np.array(self.encoder.encode_ordinary(data[s[i] : e[i]].tobytes().decode()), np.uint32)
+            got = np.array(self.encoder.encode_ordinary(raw[s[i] : e[i]].tobytes().decode()), np.uint32)
             begin[i], count[i] = total, len(got)
             parts.append(got)
             total += len(got)
         ids = np.concatenate(parts)
         n_each = count[inverse]
-        at = np.repeat(begin[inverse] - (np.cumsum(n_each) - n_each), n_each) + np.arange(n_each.sum())
-        flat = ids[at]
+        flat = ids[K.ragged(begin[inverse], n_each)]
         bound = np.concatenate([[0], np.cumsum(n_each)])[np.searchsorted(starts, offsets)]
         return [self.whole(column[i].as_py()) if odd[i] else flat[bound[i] : bound[i + 1]] for i in range(len(column))]
 
