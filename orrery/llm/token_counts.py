@@ -2,10 +2,9 @@
 
 A text is cut into pre-tokens (a run of blanks and what follows it up to the next blank; no piece of the
 vocabulary crosses such a cut). The distinct pre-tokens of a batch are held as one ragged array of symbols. In
-each round every sequence merges its lowest-ranked adjacent pair, leftmost on ties, all sequences at once;
-sequences with nothing left to merge retire with their symbol count. Symbols outside the vocabulary count as
-their UTF-8 bytes. Pre-tokens of more than LONG characters take the same merges from a priority queue, as
-rounds would be as many as their merges.
+each round all sequences whose lowest-ranked pair has the round's rank merge its pairs at once, so rounds are as many
+as there are ranks in use, however long a sequence is; what survives is counted. Symbols outside the vocabulary
+count as their UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -22,7 +21,6 @@ from pyspark.sql import functions as F
 from orrery.llm import kernels as K
 
 BLANK = "▁"
-LONG = 400
 NEVER = np.int64(1) << 40
 _models: dict[str, Pieces] = {}
 
@@ -70,86 +68,96 @@ def pieces(path: str) -> Pieces:
     return _models[path]
 
 
+class Ranks:
+    """Positions of pairs waiting by rank, lowest rank first."""
+
+    def __init__(self):
+        self.queue: list[int] = []
+        self.waiting: dict[int, list[np.ndarray]] = {}
+
+    def add(self, positions: np.ndarray, ranks: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        positions, ranks = positions[order], ranks[order]
+        cuts = np.flatnonzero(np.diff(ranks)) + 1
+        heads = [0, *cuts.tolist(), len(ranks)]
+        for at, to in zip(heads, heads[1:], strict=False):
+            rank = int(ranks[at])
+            if rank in self.waiting:
+                self.waiting[rank].append(positions[at:to])
+            else:
+                self.waiting[rank] = [positions[at:to]]
+                heapq.heappush(self.queue, rank)
+
+    def pop(self) -> tuple[int, np.ndarray]:
+        rank = heapq.heappop(self.queue)
+        return rank, np.unique(np.concatenate(self.waiting.pop(rank)))
+
+
 def count_sequences(symbols: np.ndarray, costs: np.ndarray, first: np.ndarray, model: Pieces) -> np.ndarray:
-    """Tokens of each sequence symbols[first[i]:first[i+1]]; costs: what a symbol counts."""
-    sizes = np.diff(first)
-    out = np.zeros(len(sizes), np.int64)
-    for i in np.flatnonzero(sizes > LONG):
-        out[i] = _count_long(symbols[first[i] : first[i + 1]], costs[first[i] : first[i + 1]], model)
-    live = np.flatnonzero((sizes > 0) & (sizes <= LONG))
-    keep = np.repeat((sizes > 0) & (sizes <= LONG), sizes)
-    symbols, costs, sizes = symbols[keep], costs[keep], sizes[live]
-    made = np.full(len(symbols), -1, np.int64)
-    if len(symbols) > 1:
-        made[:-1] = model.merge(symbols[:-1], symbols[1:])
-    last = np.cumsum(sizes) - 1
-    made[last] = -1
-    rank = model.ranks(made)
-    while len(live):
-        begin = np.cumsum(sizes) - sizes
-        # The place in the sequence breaks ties of rank, so the least value is the leftmost least pair.
-        place = np.arange(len(symbols)) - np.repeat(begin, sizes)
-        best = np.minimum.reduceat(rank * (LONG + 1) + place, begin)
-        done = best >= NEVER * (LONG + 1)
-        if done.any():
-            out[live[done]] = np.add.reduceat(costs, begin)[done]
-            keep = np.repeat(~done, sizes)
-            symbols, costs, made, rank = symbols[keep], costs[keep], made[keep], rank[keep]
-            live, sizes, best = live[~done], sizes[~done], best[~done]
-            if not len(live):
-                break
-            begin = np.cumsum(sizes) - sizes
-        at = begin + best % (LONG + 1)
-        symbols[at] = made[at]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols, costs, made = symbols[keep], costs[keep], made[keep]
-        rank = rank[keep]
-        at -= np.arange(len(at))
-        sizes = sizes - 1
-        begin = np.cumsum(sizes) - sizes
-        end = begin + sizes - 1
-        inner = at < end
-        made[at] = -1
-        made[at[inner]] = model.merge(symbols[at[inner]], symbols[at[inner] + 1])
-        left = at > begin
-        made[at[left] - 1] = model.merge(symbols[at[left] - 1], symbols[at[left]])
-        rank[at] = model.ranks(made[at])
-        rank[at[left] - 1] = model.ranks(made[at[left] - 1])
-    return out
-
-
-def _count_long(symbols: np.ndarray, costs: np.ndarray, model: Pieces) -> int:
-    """The same merges for one long sequence, with a linked list and a priority queue."""
+    """Tokens of each sequence symbols[first[i]:first[i+1]]; costs: what a symbol counts.
+
+    A round takes the lowest rank that waits and merges its pairs in all sequences at once, leftmost first where two
+    overlap. In a sequence where a merge makes a pair of that rank or a lower one, the pairs behind it wait, as the new
+    pair comes before them; so every sequence sees its merges in the order of one by one."""
     n = len(symbols)
-    made = np.append(model.merge(symbols[:-1], symbols[1:]), -1)
-    symbol, made, rank = symbols.tolist(), made.tolist(), model.rank
-    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    queue = [(int(rank[m]), i, m) for i, m in enumerate(made) if m >= 0]
-    heapq.heapify(queue)
-
-    def offer(i: int) -> None:
-        j = after[i]
-        made[i] = -1
-        if j < n and symbol[i] >= 0 and symbol[j] >= 0:
-            key = symbol[i] << model.bits | symbol[j]
-            at = int(np.searchsorted(model.pairs, key))
-            if at < len(model.pairs) and model.pairs[at] == key:
-                made[i] = int(model.merged[at])
-                heapq.heappush(queue, (int(rank[made[i]]), i, made[i]))
-
-    while queue:
-        _, i, m = heapq.heappop(queue)
-        if not alive[i] or made[i] != m:
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    # One place behind the end stands for no neighbour; its symbol joins with none.
+    symbol, alive = np.append(symbols, -1), np.ones(n + 1, bool)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    last = first[1:][np.diff(first) > 0] - 1
+    after[last], before[first[:-1][np.diff(first) > 0]] = n, n
+    made = model.merge(symbol[:n], symbol[after[:n]])
+    rank = np.append(model.ranks(made), NEVER)
+    made = np.append(made, -1)
+    ranks = Ranks()
+    some = np.flatnonzero(rank < NEVER)
+    if len(some):
+        ranks.add(some, rank[some])
+    while ranks.queue:
+        now, at = ranks.pop()
+        at = at[alive[at] & (rank[at] == now)]
+        if not len(at):
             continue
-        j = after[i]
-        symbol[i], alive[j], after[i] = m, False, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
-    return int(costs[np.array(alive)].sum())
+        # Of overlapping pairs in a row, every other one.
+        chained = np.concatenate([[False], after[at[:-1]] == at[1:]])
+        head = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+        at = at[(np.arange(len(at)) - head) % 2 == 0]
+        while True:
+            right, piece = after[at], made[at]
+            left, further = before[at], after[right]
+            beside = np.concatenate([[False], further[:-1] == at[1:]])
+            before_piece = np.where(beside, np.concatenate([[-1], piece[:-1]]), symbol[left])
+            to_left, to_right = model.merge(before_piece, piece), model.merge(piece, symbol[further])
+            low = np.minimum(model.ranks(to_left), model.ranks(to_right)) <= now
+            if not low.any():
+                break
+            whose = owner[at]
+            passed = np.cumsum(low) - low
+            begin = np.maximum.accumulate(np.where(np.concatenate([[True], whose[1:] != whose[:-1]]), np.arange(len(at)), 0))
+            go = passed == passed[begin]
+            if go.all():
+                break
+            ranks.add(at[~go], np.full((~go).sum(), now))
+            at = at[go]
+        symbol[at] = piece
+        alive[right] = False
+        after[at] = further
+        inner = further < n
+        before[further[inner]] = at[inner]
+        # The pair that begins at a merged symbol: with the next one, merged as well or not.
+        joined = np.append(beside[1:], False)
+        made[at] = np.where(joined, np.append(to_left[1:], -1), to_right)
+        outer = (left < n) & ~beside
+        made[left[outer]] = to_left[outer]
+        changed = np.concatenate([at, left[outer]])
+        fresh = model.ranks(made[changed])
+        rank[changed] = fresh
+        wait = fresh < NEVER
+        if wait.any():
+            ranks.add(changed[wait], fresh[wait])
+    cost = np.where(symbol[:n] >= 0, 1, costs)
+    total = np.concatenate([[0], np.cumsum(np.where(alive[:n], cost, 0))])
+    return total[first[1:]] - total[first[:-1]]
 
 
 def count_texts(column: pa.Array, model: Pieces) -> np.ndarray:
@@ -166,11 +174,10 @@ def count_texts(column: pa.Array, model: Pieces) -> np.ndarray:
     before[begins] = False
     starts = np.flatnonzero(blank & ~before)
     ends = np.append(starts[1:], len(data))
-    _, index, inverse = np.unique(K.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    s, e = starts[index], ends[index]
-    size = e - s
-    at = np.repeat(s - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    raw = data[at]
+    # Pre-tokens follow each other without gaps; they are told apart by their bytes.
+    words, inverse = K.distinct_words(data, starts, ends)
+    raw, bound = K.text_bytes(words)
+    size = np.diff(bound)
     code = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
     heads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     first = heads[np.concatenate([[0], np.cumsum(size)])]
