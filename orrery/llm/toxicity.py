@@ -6,7 +6,8 @@ learnt, and two words are confused only if all hashes collide. Filters of severa
 vectors, each filter keeps its greatest response in the whole text (max pooling), and a logistic layer scores
 them. Training reads at most max_train labelled documents (drawn by a hash of their id) on the
 driver; a share of them is held back to place the score's midpoint and, by language, the thresholds above
-which a document counts as toxic. Scoring needs no shuffle and reads every text whole, in runs of RUN words.
+which a document counts as toxic. Training and scoring read every text whole, in runs of RUN words, since pooling
+needs only the winning positions; scoring needs no shuffle.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ BITS, SIZE, WIDTHS, FILTERS = 17, 6, (1, 2, 3), 16
 STEMS = (None, 4, 6)
 DIM = SIZE * len(STEMS)
 MAX_TRAIN = 6000
-#: Document visits in training, and the longest text (in words) that training reads.
-VISITS, TRAIN_WORDS = 14_000, 4000
+#: Document visits in training.
+VISITS = 14_000
 RUN = 1 << 15
 
 
@@ -153,8 +154,7 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, visits: int = VISITS,
     epochs = max(3, min(40, visits // max(1, len(order))))
     for epoch in range(epochs):
         for i in rng.permutation(order):
-            at = int(rng.integers(0, max(1, len(texts[i]) - TRAIN_WORDS)))
-            model.learn(texts[i][at : at + TRAIN_WORDS], int(label[i]), weight[int(label[i])], 0.1 / (1 + 0.3 * epoch))
+            model.learn(texts[i], int(label[i]), weight[int(label[i])], 0.1 / (1 + 0.3 * epoch))
     calibrate = np.flatnonzero(held) if 0 < label[held].sum() < held.sum() else np.arange(len(label))
     logits = np.array([model.logit(texts[i]) for i in calibrate])
     shift = _best_threshold(logits, label[calibrate]) or 0.0
