@@ -1,7 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by document: a segment covers some megabytes of whole documents and stores, for each
-of its terms, the sorted positions at which the term occurs. A phrase query starts from the positions of the
+The index is partitioned by document: a segment covers some megabytes of whole documents and stores its terms, as
+words, and for each the sorted positions at which it occurs. Terms are compared by their bytes, so matches are exact. A phrase query starts from the positions of the
 phrase's rarest term in the segment, shifted back by the term's place in the phrase, and intersects them with
 the shifted lists of the other terms in order of rarity. Nothing is shuffled to build or search the index; it is
 a Parquet table in the shared folder, so a lost executor costs one segment's work. Benchmark items are sent to
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from orrery.llm.storage import written
 WINDOW = 10
 #: Bytes of benchmark text that are sent to tasks at once.
 BLOCK_BYTES = 8 << 20
-_SEGMENT = "segment long, ids array<long>, first array<int>, terms binary, begins binary, positions binary"
+_SEGMENT = "segment long, ids array<long>, first array<int>, terms binary, ends binary, begins binary, positions binary"
 _FOUND = "segment long, row int, item_id long, start int, stop int"
 
 
@@ -38,12 +39,13 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
             for part in K.slices(batch):
                 if not part.num_rows:
                     continue
-                words = K.words_of(part.column("text"), K.ALNUM, lower=True)
-                order = np.argsort(words.hashes, kind="stable")
-                terms, begins = np.unique(words.hashes[order], return_index=True)
-                begins = np.append(begins, len(order))
-                row = [number, part.column("key").to_pylist(), words.first.tolist(), terms.tobytes(), begins.astype(np.uint32).tobytes(), order.astype(np.uint32).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["segment", "ids", "first", "terms", "begins", "positions"])
+                words = K.words_of(part.column("text"), K.ALNUM, lower=True, hashes=False)
+                terms, term = K.distinct_words(words.data, words.starts, words.ends)
+                order = np.argsort(term, kind="stable")
+                begins = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))])
+                raw, ends = K.text_bytes(terms)
+                row = [number, part.column("key").to_pylist(), words.first.tolist(), raw.tobytes(), ends.astype(np.uint32).tobytes(), begins.astype(np.uint32).tobytes(), order.astype(np.uint32).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4), strict=True)], ["segment", "ids", "first", "terms", "ends", "begins", "positions"])
                 number += 1
 
     return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(segments, _SEGMENT)
@@ -60,15 +62,18 @@ class Phrases:
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int = WINDOW):
         column = pa.array([t for _, t in items], pa.large_string())
-        words = K.words_of(column, K.ALNUM, lower=True)
-        self.terms, index = np.unique(words.hashes, return_inverse=True)
+        words = K.words_of(column, K.ALNUM, lower=True, hashes=False)
+        self.terms, index = K.distinct_words(words.data, words.starts, words.ends)
+        #: Owners are numbers in the list of different item ids, of which null may be one.
+        self.ids = list(dict.fromkeys(item for item, _ in items))
+        number = {item: i for i, item in enumerate(self.ids)}
         begins, sizes, owners = [], [], []
         for i, (item, _) in enumerate(items):
             at, to = int(words.first[i]), int(words.first[i + 1])
             for b in range(at, max(at + 1, to - window + 1)) if to > at else ():
                 begins.append(b)
                 sizes.append(min(window, to - at))
-                owners.append(-1 if item is None else item)
+                owners.append(number[item])
         self.sizes, self.owners = np.array(sizes, np.int64), np.array(owners, np.int64)
         self.table = np.full((len(begins), window), -1, np.int64)
         for j in range(window):
@@ -81,12 +86,13 @@ class Segment:
 
     def __init__(self, row: dict, query: Phrases):
         self.number, self.first = row["segment"], np.array(row["first"], np.int64)
-        terms, begins = np.frombuffer(row["terms"], np.uint64), np.frombuffer(row["begins"], np.uint32).astype(np.int64)
+        begins = np.frombuffer(row["begins"], np.uint32).astype(np.int64)
         positions = np.frombuffer(row["positions"], np.uint32)
-        at = np.searchsorted(terms, query.terms)
-        there = at < len(terms)
-        there[there] = terms[at[there]] == query.terms[there]
-        at = np.where(there, at, 0)
+        ends = np.frombuffer(row["ends"], np.uint32).astype(np.int64)
+        terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(row["terms"])])
+        at = pc.index_in(query.terms, value_set=terms)
+        there = at.is_valid().to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy()
         size = np.where(there, begins[at + 1] - begins[at], 0) if len(terms) else np.zeros(len(query.terms), np.int64)
         self.size, self.begin = size, np.concatenate([[0], np.cumsum(size)])
         total = int(self.begin[-1])
@@ -162,7 +168,7 @@ def _merged(items: np.ndarray, doc: np.ndarray, start: np.ndarray, stop: np.ndar
 
 def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int | None = None, text: str = "text", key: str = "item_id") -> DataFrame:
     """(segment, row, item_id, start, stop): word spans of documents in which windows of an item occur, exactly
-    or, with a slop, in proximity. Items without words match nothing; an item whose id is null matches under -1;
+    or, with a slop, in proximity. Items without words match nothing; items whose id is null match under null;
     repeated items match alike."""
     spark = index.sparkSession
     items = items.select(F.col(f"`{key}`").cast("long").alias("item_id"), F.col(f"`{text}`").alias("text")).filter("text is not null")
@@ -181,15 +187,20 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int
                     doc = segment.doc_of(start)
                     item, doc, start, stop = _merged(query.value.owners[found], doc, start, stop)
                     base = segment.first[doc]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), segment.number), pa.int64()), pa.array(doc, pa.int32()), pa.array(item, pa.int64()), pa.array(start - base, pa.int32()), pa.array(stop - base, pa.int32())], ["segment", "row", "item_id", "start", "stop"])
+                    names = pa.array([query.value.ids[k] for k in item.tolist()], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), segment.number), pa.int64()), pa.array(doc, pa.int32()), names, pa.array(start - base, pa.int32()), pa.array(stop - base, pa.int32())], ["segment", "row", "item_id", "start", "stop"])
 
-        found = index.select("segment", "first", "terms", "begins", "positions").mapInArrow(search, _FOUND)
+        found = index.select("segment", "first", "terms", "ends", "begins", "positions").mapInArrow(search, _FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document of docs (doc_id, text): n_words, n_hit, the ids of items that occur and where (spans)."""
+    """Per document of docs (doc_id, text): n_words, n_hit, the ids of items that occur and where (spans).
+
+    One row for each row of docs, whose other columns are left aside; null keys and repeated rows are documents like
+    others. Words that items without an id hit count, but such items are not listed. No documents, no rows; no items,
+    no hits."""
     index = written(build_index(docs), "postings")
     found = matches(index, items, window)
     covered = F.aggregate(
