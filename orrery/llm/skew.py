@@ -1,0 +1,30 @@
+"""Joins with a table of one row a key that stay even when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A key is hot from one in HOT of all rows on, so there are at most HOT hot keys, whatever the size.
+HOT = 1000
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key): the values, null aside, that hold more than 1 / HOT of the rows; at most HOT of them."""
+    total = rows.count()
+    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows")).filter(F.col("_rows") * HOT > total).select(key)
+
+
+def unique_join(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """rows joined with facts, which has one row a key: hot keys' facts are broadcast and their rows stay where they
+    are, the others meet by a shuffle. how is inner or left; in a left join rows with a null key have null facts."""
+    hot = hot_keys(rows, key) if hot is None else hot
+    few = F.broadcast(facts.join(F.broadcast(hot), key, "left_semi"))
+    heavy = rows.join(few, key, "inner")
+    rest = rows.filter(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(facts, key, how)
+    out = heavy.unionByName(rest)
+    if how == "left":
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema.fields if f.name != key]
+        missing = rows.join(F.broadcast(hot), key, "left_semi").join(few, key, "left_anti").unionByName(rows.filter(F.col(key).isNull()))
+        out = out.unionByName(missing.select("*", *none))
+    return out
