@@ -149,6 +149,14 @@ def grams(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return mix(total + U(seed * 0xA0761D6478BD642F % (1 << 64)))
 
 
+def window_hash(words: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of each row of words."""
+    out = np.full(len(words), mix(np.array([seed], U))[0], U)
+    for j in range(words.shape[1]):
+        out = mix(out ^ words[:, j]) + U(j)
+    return out
+
+
 def sliding(values: np.ndarray, width: int, least: bool = True) -> np.ndarray:
     """Least (or greatest) of each `width` values in a row, by doubling."""
     f, n = np.minimum if least else np.maximum, len(values) - width + 1

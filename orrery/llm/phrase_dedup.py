@@ -1,11 +1,12 @@
 """Substring dedup by repeated-phrase automata.
 
-Anchor phrases that occur more than once in the corpus are confirmed by a count of their hashes. Documents are
-dealt into shards of some megabytes; each shard compiles an Aho-Corasick automaton of the recurring phrases that
-it contains (words coded as a few letters each, so the automaton compares whole words) and streams its documents
-through it to locate every occurrence. Windows whose anchor phrase recurs are the candidates: they are
-compared across shards by a 96-bit hash, the first in a shard speaking for the others, and every window but the
-earliest of its kind is removed. Later copies of whole texts are known by their digests and need no windows.
+Of every window the words with the least hash are its anchor phrase. Phrases that occur more than once in the corpus
+are confirmed as words, and go to the shards (some megabytes of whole documents) that have them. Each shard compiles
+its confirmed phrases into one Aho-Corasick automaton (words coded as a few letters each, so the automaton
+compares whole words) and streams its documents through it, which locates every occurrence. Windows whose anchor
+phrase was located are the candidates: they are compared across shards by 96 bits of two keyed hashes, the first in a
+shard speaking for the others, and every window but the earliest of its kind is removed. Later copies of whole texts
+are known by their digests and need no windows.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
-from orrery.llm.recurring import NO_ID, SHARD_BYTES, recurring_anchors
+from orrery.llm.recurring import NO_ID, SHARD_BYTES, recurring_phrases
+from orrery.llm.skew import hot_keys, unique_join
 from orrery.llm.storage import written
 
-WINDOW, PHRASE = 20, 6
+WINDOW, PHRASE = 20, 4
 #: Bits of the bitmap that is sent to all tasks: 1 MB, whatever the size of the corpus.
 BITMAP = 1 << 23
 _BASE = 128
@@ -38,54 +41,58 @@ def coded(ids: np.ndarray, distinct: int) -> tuple[str, int]:
     return letters.tobytes().decode("utf-16-le"), places
 
 
-def phrase_automaton(phrases: list[str]):
+def phrase_automaton(phrases: pa.Array, dictionary: pa.Array, phrase: int):
+    """The automaton of the phrases (of `phrase` words joined by a blank), coded by the dictionary of the words that
+    will be searched; None without phrases. A phrase with a word outside the dictionary occurs nowhere."""
     import ahocorasick
 
+    data, offsets = K.text_bytes(phrases)
+    words = K.words_in(data, offsets, K.NOT_SPACE, hashes=False)
+    ids = pc.index_in(K.binary_array(data, words.starts, words.ends), value_set=dictionary)
+    known = ids.is_valid().to_numpy(zero_copy_only=False).reshape(-1, phrase).all(1)
+    if not known.any():
+        return None
+    code, places = coded(pc.fill_null(ids, 0).to_numpy().astype(np.int64).reshape(-1, phrase)[known].ravel(), len(dictionary))
+    step = phrase * places
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for phrase in phrases:
-        automaton.add_word(phrase)
+    for at in range(0, len(code), step):
+        automaton.add_word(code[at : at + step])
     automaton.make_automaton()
     return automaton
 
 
-def _candidates(docs: pa.Table, recurring: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, ...]:
+def _candidates(docs: pa.Table, phrases: pa.Array, window: int, phrase: int, seeds: tuple[int, int]) -> tuple[np.ndarray, ...]:
     """(id, line, position, two hashes, whether an earlier equal window is in the shard) of the shard's candidate windows."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.uint64, np.uint64, bool))
     order = np.lexsort((docs.column("line").to_numpy(), docs.column("id").to_numpy()))
     docs = docs.take(pa.array(order)).combine_chunks()
-    words = K.words_of(docs.column("text").combine_chunks() if isinstance(docs.column("text"), pa.ChunkedArray) else docs.column("text"), K.NOT_SPACE)
-    distinct, ids = np.unique(words.hashes, return_inverse=True)
-    recurring = np.sort(recurring)
-    phrases: set[str] = set()
-    plan = []
+    words = K.words_of(docs.column("text").combine_chunks() if isinstance(docs.column("text"), pa.ChunkedArray) else docs.column("text"), K.NOT_SPACE, seed=seeds[0])
+    dictionary, ids = K.distinct_words(words.data, words.starts, words.ends)
+    automaton = phrase_automaton(phrases, dictionary, phrase)
+    if automaton is None:
+        return none
+    again = K.word_hashes(words.data, words.starts, words.ends, seeds[1])
+    names, lines = docs.column("id").to_numpy(), docs.column("line").to_numpy()
+    out: list[tuple[np.ndarray, ...]] = []
     for i, own in K.per_doc(words):
         if len(own) < window:
             continue
-        hashes = K.grams(own, phrase)
-        least, at = K.minimisers(hashes, window - phrase + 1)
-        slot = np.minimum(np.searchsorted(recurring, hashes[at]), len(recurring) - 1)
-        at = at[recurring[slot] == hashes[at]]
-        if len(at):
-            code, places = coded(ids[words.first[i] : words.first[i + 1]], len(distinct))
-            phrases.update(code[p * places : (p + phrase) * places] for p in at.tolist())
-            plan.append((i, own, hashes, least, code, places))
-    if not phrases:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.uint64, np.uint64, bool))
-    automaton = phrase_automaton(sorted(phrases))
-    names, lines = docs.column("id").to_numpy(), docs.column("line").to_numpy()
-    out: list[tuple[np.ndarray, ...]] = []
-    for i, own, hashes, least, code, places in plan:
+        code, places = coded(ids[words.first[i] : words.first[i + 1]].astype(np.int64), len(dictionary))
         ends = np.fromiter((end for end, _ in automaton.iter(code)), np.int64)
+        if not len(ends):
+            continue
+        hashes = K.grams(own, phrase)
         located = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
         at = (ends + 1) // places - phrase
         located[at] = hashes[at]
-        starts = np.flatnonzero(K.sliding(located, window - phrase + 1) == least)
+        width = window - phrase + 1
+        starts = np.flatnonzero(K.sliding(located, width) == K.sliding(hashes, width))
         if len(starts):
             whole = K.grams(own, window, seed=1)[starts]
-            # A second, independent hash of the same words.
-            other = K.grams(K.mix(own + np.uint64(0x632BE59BD9B4E019)), window, seed=2)[starts]
+            other = K.grams(again[words.first[i] : words.first[i + 1]], window, seed=2)[starts]
             out.append((np.full(len(starts), names[i]), np.full(len(starts), lines[i]), starts.astype(np.int32), whole, other))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.uint64, np.uint64, bool))
+        return none
     name, line, start, one, two = (np.concatenate(x) for x in zip(*out, strict=True))
     order = np.lexsort((start, line, name, two, one))
     o, t, place = one[order], two[order], np.stack([name, line, start])[:, order]
@@ -106,7 +113,7 @@ def _lined(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 def _digest(value: str) -> int:
     """The line of a text whose id is listed with other texts too."""
-    return int.from_bytes(hashlib.md5(value.encode()).digest()[:8], "big", signed=True)
+    return int.from_bytes(hashlib.sha256(value.encode()).digest()[:8], "big", signed=True)
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -118,23 +125,25 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     deal = F.when(F.col("id") == NO_ID, F.xxhash64("line")).otherwise(F.xxhash64("id", F.length("text")))
     rows = docs.withColumn("shard", F.pmod(deal, F.lit(1 + size // SHARD_BYTES)).cast("int"))
     none = F.lit(None).cast("long")
-    anchors = recurring_anchors(rows, phrase, window).select("shard", "hash", none.alias("copy"), none.alias("copy_line"), none.alias("clash"))
-    named = rows.select("id", "line", "shard", F.unhex(F.md5("text")).alias("name")).filter("name is not null")
+    seeds = K.draw_seed(), K.draw_seed()
+    no_phrase = F.lit(None).cast("binary").alias("phrase")
+    phrases = recurring_phrases(rows, phrase, window, seeds[0]).select("shard", "phrase", none.alias("copy"), none.alias("copy_line"), none.alias("clash"))
+    named = rows.select("id", "line", "shard", F.unhex(F.sha2("text", 256)).alias("name")).filter("name is not null")
     # Ids that are listed with several texts.
     several = named.filter(F.col("id") != NO_ID).groupBy("id").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least <> most").select("id", F.lit(True).alias("several"))
     named = named.join(several, "id", "left")
     line = F.when(F.col("several"), F.conv(F.hex(F.substring("name", 1, 8)), 16, -10).cast("long")).otherwise(F.col("line"))
-    named = named.withColumn("line", line)
-    clashes = named.filter("several").select("shard", none.alias("hash"), none.alias("copy"), none.alias("copy_line"), F.col("id").alias("clash")).distinct()
+    named = written(named.withColumn("line", line), "names")
+    clashes = named.filter("several").select("shard", no_phrase, none.alias("copy"), none.alias("copy_line"), F.col("id").alias("clash")).distinct()
     # Later copies of whole texts repeat in all their windows; only their ids and lines need to be known.
     earliest = named.groupBy("name").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = named.join(earliest, "name").filter(F.struct("id", "line") != F.col("first")).select("shard", none.alias("hash"), F.col("id").alias("copy"), F.col("line").alias("copy_line"), none.alias("clash"))
+    copies = unique_join(named, earliest, "name", hot=hot_keys(named, "name")).filter(F.struct("id", "line") != F.col("first")).select("shard", no_phrase, F.col("id").alias("copy"), F.col("line").alias("copy_line"), none.alias("clash"))
 
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
-        name, line, start, one, two, stop = _shard_windows(left, right, window, phrase)
+        name, line, start, one, two, stop = _shard_windows(left, right, window, phrase, seeds)
         return pa.table([pa.array(name, pa.int64()), pa.array(line, pa.int64()), pa.array(start, pa.int32()), pa.array(K.signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(stop, pa.int32())], ["id", "line", "start", "one", "two", "stop"])
 
-    found = rows.groupBy("shard").cogroup(anchors.unionByName(copies).unionByName(clashes).groupBy("shard")).applyInArrow(shard, "id long, line long, start int, one long, two int, stop int")
+    found = rows.groupBy("shard").cogroup(phrases.unionByName(copies).unionByName(clashes).groupBy("shard")).applyInArrow(shard, "id long, line long, start int, one long, two int, stop int")
     # rank, not row_number: the same position of a repeated row is no repeat of itself.
     place = F.rank().over(W.partitionBy("one", "two").orderBy("id", "line", "start"))
     repeats = found.withColumn("place", place).filter("stop > start or place > 1")
@@ -142,7 +151,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     return repeats.groupBy("id", lost).agg(F.collect_set(F.struct("line", "start", F.greatest("stop", F.col("start") + 1).alias("stop"))).alias("starts"))
 
 
-def _shard_windows(left: pa.Table, right: pa.Table, window: int, phrase: int) -> tuple[np.ndarray, ...]:
+def _shard_windows(left: pa.Table, right: pa.Table, window: int, phrase: int, seeds: tuple[int, int]) -> tuple[np.ndarray, ...]:
     """Windows to compare with other shards (stop = 0), and runs start .. stop of windows known to be repeats."""
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.uint64, np.uint64, bool))
     ids, lines = left.column("id").to_numpy(), left.column("line").to_numpy().copy()
@@ -152,8 +161,8 @@ def _shard_windows(left: pa.Table, right: pa.Table, window: int, phrase: int) ->
     copies = set(zip(right.column("copy").drop_null().to_pylist(), right.column("copy_line").drop_null().to_pylist(), strict=True))
     known = np.fromiter((v in copies for v in zip(ids.tolist(), lines.tolist(), strict=True)), bool, len(ids))
     fresh = left.filter(pa.array(~known))
-    hashes = right.column("hash").drop_null().to_numpy().view(np.uint64)
-    name, line, start, one, two, later = _candidates(fresh, hashes, window, phrase) if fresh.num_rows and len(hashes) else none
+    phrases = pc.unique(right.column("phrase").drop_null().cast(pa.large_binary()))
+    name, line, start, one, two, later = _candidates(fresh, phrases, window, phrase, seeds) if fresh.num_rows and len(phrases) else none
     stop = np.zeros(len(name), np.int64)
     if later.any():
         # Neighbouring repeats of one document become one run.

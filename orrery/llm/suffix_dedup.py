@@ -2,34 +2,42 @@
 
 Only suffixes that begin at anchors (least phrase hash of every MIN_WORDS words, so every long enough passage holds
 one) are kept, and of these only the ones whose anchor phrase recurs. They are sorted across the cluster by anchor,
-words that follow, document and position: a range partitioning in which even one anchor that fills a third of
+words that follow and words that precede: a range partitioning in which even one anchor that fills a third of
 the table is spread over many tasks. Neighbours are compared and their match extended to the right and to the left;
-each partition's first and last suffix are compared once more across the border. All suffixes go through a second
-sort by the words that precede them, since a suffix may share more words to the left with another partner than with
-its neighbours by the words that follow. Matches of at least MIN_WORDS words are merged into passages by document.
+each partition's first and last suffix are compared once more across the border. A second sort puts the words that
+precede first. So each suffix knows its longest match to the right, its longest to the left, and how far the
+partners of these reach to the other side. Only windows between these two may have a partner that is no
+neighbour; where there are any, the windows of that anchor are compared as wholes, so no passage is missed.
+Matches of at least MIN_WORDS words are merged into passages by document.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
-from orrery.llm.recurring import NO_ID, recurring_anchors, sharded
+from orrery.llm.recurring import NO_ID, recurring_anchors, sharded, told_apart
+from orrery.llm.skew import unique_join
 from orrery.llm.storage import written
 
 MIN_WORDS, PHRASE = 50, 8
 _SUFFIX = "hash long, after binary, before binary, id long, position int"
-_MATCH = f"{_SUFFIX}, partner long, start int, stop int, edge boolean"
+_MATCH = f"{_SUFFIX}, partner long, left int, right int, edge boolean"
+_FIELDS = ["hash", "after", "before", "id", "position"]
+#: Bytes of a word's keyed hash in a suffix.
+WORD = 6
 
 
-def _suffixes(rows: DataFrame, anchors: DataFrame, min_words: int, phrase: int) -> DataFrame:
-    """Suffixes at recurring anchors: words after (and at) and before each, as 4-byte hashes; before is reversed.
-    A text's edge is a value that equals no other edge: position and document are mixed in."""
+def _suffixes(rows: DataFrame, anchors: DataFrame, min_words: int, phrase: int, seed: int) -> DataFrame:
+    """Suffixes at recurring anchors: words after (and at) and before each, as WORD-byte hashes; before is reversed.
+    A text's edge is random words."""
     reach = min_words - phrase
 
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -38,17 +46,18 @@ def _suffixes(rows: DataFrame, anchors: DataFrame, min_words: int, phrase: int)
         if len(recurring) and left.num_rows:
             left = left.combine_chunks()
             names, text = left.column("id").to_numpy(), left.column("text")
-            words = K.words_of(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, K.NOT_SPACE)
+            words = K.words_of(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, K.NOT_SPACE, seed=seed)
             for i, own in K.per_doc(words):
                 if len(own) < min_words:
                     continue
                 hashes = K.grams(own, phrase)
                 _, at = K.minimisers(hashes, min_words - phrase + 1)
                 at = at[recurring[np.minimum(np.searchsorted(recurring, hashes[at]), len(recurring) - 1)] == hashes[at]]
-                short = (own >> np.uint64(32)).astype(">u4")
-                edge = K.mix(np.arange(2 * min_words, dtype=np.uint64) + np.uint64(names[i] & 0xFFFFFFFFFFFFFF) * np.uint64(1000003) + np.uint64(i))
-                edge = (edge >> np.uint64(32)).astype(">u4")
-                padded = np.concatenate([edge[:reach], short, edge[reach : reach + min_words]])
+                short = own.astype(">u8")
+                # Drawn anew, so that no two rows have the same edge.
+                edge = np.random.default_rng(secrets.randbits(64)).integers(0, 2**63, reach + min_words, dtype=np.uint64)
+                padded = np.concatenate([edge[:reach].astype(">u8"), short, edge[reach : reach + min_words].astype(">u8")])
+                padded = padded.view(np.uint8).reshape(-1, 8)[:, :WORD]
                 for p in at.tolist():
                     q = p + reach
                     out.append((int(hashes[p].view(np.int64)), padded[q : q + min_words].tobytes(), padded[q - reach : q][::-1].tobytes(), int(names[i]), p))
@@ -60,27 +69,27 @@ def _suffixes(rows: DataFrame, anchors: DataFrame, min_words: int, phrase: int)
 
 
 def _table(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column(name).to_pylist()), ">u4").reshape(batch.num_rows, width)
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), ">u2").reshape(batch.num_rows, width, WORD // 2)
 
 
 def _common(a: np.ndarray) -> np.ndarray:
     """Equal leading words of each row and the next."""
-    same = a[1:] == a[:-1]
+    same = (a[1:] == a[:-1]).all(2)
     return np.where(same.all(1), a.shape[1], same.argmin(1))
 
 
 def _compare(batches: Iterator[pa.RecordBatch], min_words: int, phrase: int) -> Iterator[pa.RecordBatch]:
-    """Matches between neighbours in the given order, both ways, and the ends of the order as edges."""
+    """Neighbours in the given order with the same anchor, both ways, and the ends of the order as edges."""
     reach = min_words - phrase
     last = None
-    fields = ["hash", "after", "before", "id", "position"]
+    names = [*_FIELDS, "partner", "left", "right", "edge"]
 
     def edge(row: pa.RecordBatch) -> pa.RecordBatch:
         more = [pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([None], pa.int32()), pa.array([True])]
-        return pa.RecordBatch.from_arrays([*(row.column(f) for f in fields), *more], [*fields, "partner", "start", "stop", "edge"])
+        return pa.RecordBatch.from_arrays([*(row.column(f) for f in _FIELDS), *more], names)
 
     for batch in batches:
-        batch = batch.select(fields)
+        batch = batch.select(_FIELDS)
         if not batch.num_rows:
             continue
         if last is None:
@@ -89,14 +98,12 @@ def _compare(batches: Iterator[pa.RecordBatch], min_words: int, phrase: int) ->
             batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
         last = batch.slice(batch.num_rows - 1, 1)
         right, left = _common(_table(batch, "after", min_words)), _common(_table(batch, "before", reach))
-        key = batch.column("hash").to_numpy()
-        hit = np.flatnonzero((key[1:] == key[:-1]) & (right + left >= min_words))
-        place, name = batch.column("position").to_numpy().astype(np.int64), batch.column("id").to_numpy()
+        key, name = batch.column("hash").to_numpy(), batch.column("id").to_numpy()
+        hit = np.flatnonzero(key[1:] == key[:-1])
         for mine, other in ((hit, hit + 1), (hit + 1, hit)):
             of = batch.take(pa.array(mine))
-            start, stop = place[mine] - left[hit], place[mine] + right[hit]
             blank = pa.array([None] * len(mine), pa.binary())
-            yield pa.RecordBatch.from_arrays([of.column("hash"), blank, blank, of.column("id"), of.column("position"), pa.array(name[other]), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(np.zeros(len(mine), bool))], [*fields, "partner", "start", "stop", "edge"])
+            yield pa.RecordBatch.from_arrays([of.column("hash"), blank, blank, of.column("id"), of.column("position"), pa.array(name[other]), pa.array(left[hit].astype(np.int32)), pa.array(right[hit].astype(np.int32)), pa.array(np.zeros(len(mine), bool))], names)
     if last is not None:
         yield edge(last)
 
@@ -107,8 +114,57 @@ def _neighbours(suffixes: DataFrame, order: list[str], min_words: int, phrase: i
     run = lambda batches: _compare(batches, min_words, phrase)
     inner = written(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _MATCH), "matches")
     # Two rows a partition: the borders between partitions, compared in one small task.
-    edges = inner.filter("edge").select("hash", "after", "before", "id", "position").coalesce(1).sortWithinPartitions(*order)
-    return inner.filter("not edge").unionByName(edges.mapInArrow(run, _MATCH).filter("not edge")).select("hash", "id", "position", "partner", "start", "stop")
+    edges = inner.filter("edge").select(*_FIELDS).coalesce(1).sortWithinPartitions(*order)
+    return inner.filter("not edge").unionByName(edges.mapInArrow(run, _MATCH).filter("not edge")).select("hash", "id", "position", "partner", "left", "right")
+
+
+def _gaps(by_after: DataFrame, by_before: DataFrame, min_words: int) -> DataFrame:
+    """(hash, low, high): anchors where some suffix may have windows, beginning low .. high words before it, whose
+    partners are no neighbours."""
+    a = by_after.groupBy("hash", "id", "position").agg(F.max(F.struct("right", "left")).alias("a"))
+    b = by_before.groupBy("hash", "id", "position").agg(F.max(F.struct("left", "right")).alias("b"))
+    # The longest to the right covers windows from min_words - right to left words before; the other one likewise.
+    low = F.greatest(F.col("a.left") + 1, F.lit(min_words) - F.col("a.right"))
+    high = F.least(F.lit(min_words) - F.col("b.right") - 1, F.col("b.left"))
+    both = a.join(b, ["hash", "id", "position"]).select("hash", low.alias("low"), high.alias("high")).filter("low <= high")
+    return both.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _whole_windows(suffixes: DataFrame, gaps: DataFrame, min_words: int, phrase: int, seed: int) -> DataFrame:
+    """(id, start): windows of the anchors in gaps that occur at least twice, compared as wholes by 128 bits."""
+    reach = min_words - phrase
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            before = _wide(_table(batch, "before", reach))[:, ::-1]
+            words = np.concatenate([before, _wide(_table(batch, "after", min_words))], 1)
+            low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
+            key = batch.column("hash").to_numpy().view(np.uint64)
+            found = []
+            for o in range(int(low.min()), int(high.max()) + 1):
+                at = np.flatnonzero((low <= o) & (o <= high))
+                window = words[at, reach - o : reach - o + min_words]
+                one, two = (K.mix(K.window_hash(window, seed + n) ^ K.mix(key[at] + np.uint64(o))) for n in (0, 1))
+                found.append((at, np.full(len(at), o), one, two))
+            at, offset, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+            _, code = np.unique(one ^ K.mix(two), return_inverse=True)
+            index, own, salt, n = told_apart(code, np.arange(len(at)))
+            name = batch.column("id").take(pa.array(at[index]))
+            start = batch.column("position").to_numpy()[at[index]] - offset[index]
+            # Rows that only count for others have no document.
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(one[index])), pa.array(K.signed(two[index])), name, pa.array(start.astype(np.int32)), pa.array(own >= 0), pa.array(np.where(salt > 0, np.arange(len(salt)) + 1, 0).astype(np.int32)), pa.array(n)], ["one", "two", "id", "start", "real", "salt", "n"])
+
+    rows = unique_join(suffixes, gaps, "hash").mapInArrow(run, "one long, two long, id long, start int, real boolean, salt int, n int")
+    total = F.sum("n").over(W.partitionBy("one", "two", "salt"))
+    return rows.withColumn("total", total).filter("total > 1 and real").select("id", "start")
+
+
+def _wide(table: np.ndarray) -> np.ndarray:
+    """Words of a suffix as numbers."""
+    t = table.astype(np.uint64)
+    return (t[:, :, 0] << np.uint64(32)) | (t[:, :, 1] << np.uint64(16)) | t[:, :, 2]
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, phrase: int = PHRASE, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -116,20 +172,26 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, phrase: int =
     has as well, with the documents they were matched with. Words are runs outside blanks, unchanged.
 
     Null and empty texts have none; rows that repeat an id or share a null id are compared like other documents.
-    A passage that recurs within its own document names that document as its partner. Neighbours in two orders are
-    not all pairs: words are missed that two places share only together with fewer words to the left than one's
-    neighbours by words before and fewer to the right than its neighbours by words after.
+    A passage that recurs within its own document names that document as its partner; partners are the neighbours in
+    the two orders, at least one wherever a neighbour shares the passage. Words are compared by keyed hashes of 48 bits.
+    Extra columns are left aside; an empty table gives no passage.
     """
     rows = sharded(docs, text, key)
-    suffixes = written(_suffixes(rows, recurring_anchors(rows, phrase, min_words), min_words, phrase), "suffixes")
-    found = _neighbours(suffixes, ["hash", "after", "id", "position"], min_words, phrase)
-    found = found.unionByName(_neighbours(suffixes, ["hash", "before", "id", "position"], min_words, phrase))
+    seed = K.draw_seed()
+    suffixes = written(_suffixes(rows, recurring_anchors(rows, phrase, min_words, seed), min_words, phrase, seed), "suffixes")
+    by_after = _neighbours(suffixes, ["hash", "after", "before", "id", "position"], min_words, phrase)
+    by_before = _neighbours(suffixes, ["hash", "before", "after", "id", "position"], min_words, phrase)
+    gaps = written(_gaps(by_after, by_before, min_words), "gaps")
+    found = by_after.unionByName(by_before).filter(F.col("left") + F.col("right") >= min_words)
+    found = found.select("id", (F.col("position") - F.col("left")).alias("start"), (F.col("position") + F.col("right")).alias("stop"), "partner")
+    whole = _whole_windows(suffixes, gaps, min_words, phrase, K.draw_seed() >> 1)
+    found = found.unionByName(whole.select("id", "start", (F.col("start") + min_words).alias("stop"), F.lit(None).cast("long").alias("partner")))
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "stop"))),
         F.array().cast("array<struct<start:int,stop:int>>"),
         lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["stop"] >= x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(a, F.array(x))),
     )
-    by_doc = found.groupBy("id").agg(merged.alias("passages"), F.collect_set(F.struct("start", "partner")).alias("with"))
+    by_doc = found.groupBy("id").agg(merged.alias("passages"), F.collect_set(F.when(F.col("partner").isNotNull(), F.struct("start", "partner"))).alias("with"))
     each = by_doc.select("id", F.explode("passages").alias("p"), "with")
     partners = F.array_sort(F.array_distinct(F.transform(F.filter("with", lambda w: (w["start"] >= F.col("p.start")) & (w["start"] < F.col("p.stop"))), lambda w: F.nullif(w["partner"], F.lit(NO_ID)))))
     return each.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("p.start").cast("long").alias("start"), F.col("p.stop").cast("long").alias("stop"), partners.alias("partners"))
