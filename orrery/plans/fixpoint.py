@@ -7,19 +7,29 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, one of our own, but only if driver and executors are one
+    machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    key = spark.sparkContext.applicationId
+    if key not in _own:
+        _own[key] = "file://" + tempfile.mkdtemp(prefix="orrery-")
+    return _own[key]
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """df as a table under spark.checkpoint.dir (a folder of our own only where that is unset), read again."""
+    """df as a table in the shared folder, read again."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        key = spark.sparkContext.applicationId
-        folder = _own.setdefault(key, "") or _own.__setitem__(key, "file://" + tempfile.mkdtemp(prefix="orrery-")) or _own[key]
-    path = f"{folder}/state-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
