@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
-from orrery.llm.skew import hot_keys, unique_join
 from orrery.llm.storage import written
+from orrery.plans.skew import hot_keys, unique_join
 
 SHINGLE, SIMILARITY = 5, 80
 BANDS, ROWS, BITS = 24, 5, 512
@@ -242,7 +242,7 @@ def _across(live: DataFrame, heads: DataFrame, sets: DataFrame, similarity: int)
     weight = lambda some: F.sum(F.when(some, F.col("n_shingles")).otherwise(0))
     blocks = lambda some: (F.floor(F.greatest(count(some) / BLOCK, weight(some) / BLOCK_SHINGLES)) + 1).cast("int")
     size = live.groupBy("band", "bucket").agg(blocks(minor).alias("few"), blocks(F.lit(True)).alias("all"))
-    rows = live.join(size, ["band", "bucket"]).withColumn("minor", minor)
+    rows = unique_join(live, size, ["band", "bucket"]).withColumn("minor", minor)
     dealt = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
     as_many = F.transform(F.sequence(F.lit(0), F.col("few") - 1), lambda b: F.struct(b.alias("block"), dealt("all").alias("other"), F.lit(False).alias("mine")))
     as_few = F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda b: F.struct(dealt("few").alias("block"), b.alias("other"), F.lit(True).alias("mine")))
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     labelled = written(buckets.filter("n > 2").join(labels, "v").join(heads.select("v", "n_shingles"), "v").select("band", "bucket", "v", "component", "n_shingles"), "labelled")
     spread = labelled.groupBy("band", "bucket", "component").agg(F.count("*").alias("n"))
     open_ = spread.groupBy("band", "bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts")).filter("parts > 1")
-    live = written(labelled.join(open_.drop("parts"), ["band", "bucket"]), "open")
+    live = written(unique_join(labelled, open_.drop("parts"), ["band", "bucket"]), "open")
     more = written(_across(live, heads, sets, similarity), "links")
     if not more.isEmpty():
         of = lambda side: labels.select(F.col("v").alias(side), F.col("component").alias(f"{side}_"))

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
 from orrery.llm.recurring import NO_ID, SHARD_BYTES, recurring_phrases
-from orrery.llm.skew import hot_keys, unique_join
 from orrery.llm.storage import written
+from orrery.plans.skew import hot_keys, unique_join
 
 WINDOW, PHRASE = 20, 4
 #: Bits of the bitmap that is sent to all tasks: 1 MB, whatever the size of the corpus.

@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests), one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    key = spark.sparkContext.applicationId
-    if key not in _own:
-        _own[key] = "file://" + tempfile.mkdtemp(prefix="orrery-")
-    return _own[key]
+from orrery.plans.fixpoint import shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
 from orrery.llm.recurring import NO_ID, recurring_anchors, sharded, told_apart
-from orrery.llm.skew import unique_join
 from orrery.llm.storage import written
+from orrery.plans.skew import unique_join
 
 MIN_WORDS, PHRASE = 50, 8
 _SUFFIX = "hash long, after binary, before binary, id long, position int"
