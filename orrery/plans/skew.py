@@ -13,27 +13,34 @@ def _named(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else key
 
 
-def hot_keys(rows: DataFrame, key: str | list[str]) -> DataFrame:
-    """The key values, those with a null aside, that hold more than 1 / HOT of the rows; at most HOT of them."""
-    total = rows.count()
+def hot_keys(rows: DataFrame, key: str | list[str]) -> DataFrame | None:
+    """The key values, those with a null aside, that hold more than 1 / HOT of the rows: at most HOT of them, as a local
+    table; None if there are none."""
     keys = _named(key)
-    return rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") * HOT > total).select(*keys)
+    counted = rows.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    found = counted.filter(F.col("_rows") * HOT > rows.count()).select(*keys)
+    values = found.collect()
+    return rows.sparkSession.createDataFrame(values, found.schema) if values else None
 
 
-def unique_join(rows: DataFrame, facts: DataFrame, key: str | list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+def unique_join(rows: DataFrame, facts: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """rows joined with facts, which has one row a key: hot keys' facts are broadcast and their rows stay where they
     are, the others meet by a shuffle. how is inner or left; in a left join rows with a null key have null facts."""
     keys = _named(key)
-    hot = hot_keys(rows, keys) if hot is None else hot
-    few = F.broadcast(facts.join(F.broadcast(hot), keys, "left_semi"))
-    heavy = rows.join(few, keys, "inner")
-    rest = rows.dropna(subset=keys).join(F.broadcast(hot), keys, "left_anti").join(facts, keys, how)
-    out = heavy.unionByName(rest)
+    hot = hot_keys(rows, keys)
+    if hot is None:
+        out, missing = rows.dropna(subset=keys).join(facts, keys, how), None
+    else:
+        few = F.broadcast(facts.join(F.broadcast(hot), keys, "left_semi"))
+        rest = rows.dropna(subset=keys).join(F.broadcast(hot), keys, "left_anti").join(facts, keys, how)
+        out = rows.join(few, keys, "inner").unionByName(rest)
+        missing = rows.join(F.broadcast(hot), keys, "left_semi").join(few, keys, "left_anti")
     if how == "left":
         none = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema.fields if f.name not in keys]
         some_null = F.lit(False)
         for k in keys:
             some_null = some_null | F.col(k).isNull()
-        missing = rows.join(F.broadcast(hot), keys, "left_semi").join(few, keys, "left_anti").unionByName(rows.filter(some_null))
+        null_keys = rows.filter(some_null)
+        missing = null_keys if missing is None else missing.unionByName(null_keys)
         out = out.unionByName(missing.select("*", *none))
     return out
