@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
 from orrery.llm.storage import written
-from orrery.plans.skew import hot_keys, unique_join
+from orrery.plans.skew import unique_join
 
 SHINGLE, SIMILARITY = 5, 80
 BANDS, ROWS, BITS = 24, 5, 512
@@ -145,9 +145,8 @@ def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = written(nodes.select("v", F.col("v").alias("component")), "labels")
-    hubs = written(hot_keys(both, "b"), "hubs")
     while True:
-        near = unique_join(both, labels.withColumnRenamed("v", "b"), "b", hot=hubs).groupBy("a").agg(F.min("component").alias("near"))
+        near = unique_join(both, labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         least = labels.join(near.withColumnRenamed("a", "v"), "v", "left").select("v", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         least = written(least, "least")
         jump = least.select(F.col("v").alias("component"), F.col("component").alias("further"))
@@ -280,7 +279,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     buckets = written(_bucket_join(bare, pivot, heads.count()), "buckets")
     facts = heads.select("v", "sketch", "n_shingles")
     of_pivot = heads.select(F.col("v").alias("pivot"), F.col("sketch").alias("pivot_sketch"), F.col("n_shingles").alias("pivot_size"))
-    near = unique_join(buckets.filter("v <> pivot").groupBy("v", "pivot").agg(F.max("n").alias("n")).join(facts, "v"), of_pivot, "pivot", hot=hot_keys(buckets, "pivot"))
+    met = written(buckets.filter("v <> pivot").groupBy("v", "pivot").agg(F.max("n").alias("n")), "met")
+    near = unique_join(met, of_pivot, "pivot").join(facts, "v")
     near = written(_pivots(near, similarity), "near")
     wanted = near.select("v").unionByName(near.select(F.col("pivot").alias("v"))).unionByName(buckets.filter("n > 2").select("v")).distinct()
     sets = written(_sets(docs, heads.select("v", "class", "least").join(wanted, "v", "left_semi"), k, text, key, seed), "sets")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from orrery.llm import kernels as K
 from orrery.llm.recurring import NO_ID, SHARD_BYTES, recurring_phrases
 from orrery.llm.storage import written
-from orrery.plans.skew import hot_keys, unique_join
+from orrery.plans.skew import unique_join
 
 WINDOW, PHRASE = 20, 4
 #: Bits of the bitmap that is sent to all tasks: 1 MB, whatever the size of the corpus.
@@ -137,7 +137,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     clashes = named.filter("several").select("shard", no_phrase, none.alias("copy"), none.alias("copy_line"), F.col("id").alias("clash")).distinct()
     # Later copies of whole texts repeat in all their windows; only their ids and lines need to be known.
     earliest = named.groupBy("name").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = unique_join(named, earliest, "name", hot=hot_keys(named, "name")).filter(F.struct("id", "line") != F.col("first")).select("shard", no_phrase, F.col("id").alias("copy"), F.col("line").alias("copy_line"), none.alias("clash"))
+    copies = unique_join(named, earliest, "name").filter(F.struct("id", "line") != F.col("first")).select("shard", no_phrase, F.col("id").alias("copy"), F.col("line").alias("copy_line"), none.alias("clash"))
 
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
         name, line, start, one, two, stop = _shard_windows(left, right, window, phrase, seeds)
