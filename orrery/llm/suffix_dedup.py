@@ -8,11 +8,13 @@ each partition's first and last suffix are compared once more across the border.
 precede first. So each suffix knows its longest match to the right, its longest to the left, and how far the
 partners of these reach to the other side. Only windows between these two may have a partner that is no
 neighbour; where there are any, the windows of that anchor are compared as wholes, so no passage is missed.
-Matches of at least MIN_WORDS words are merged into passages by document.
+Matches of at least MIN_WORDS words are merged into passages by document. Copies of whole texts are known by
+digest; one of each group has suffixes and stands for the others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import secrets
 from collections.abc import Iterator
 
@@ -28,28 +30,45 @@ from orrery.llm.storage import written
 from orrery.plans.skew import unique_join
 
 MIN_WORDS, PHRASE = 50, 8
-_SUFFIX = "hash long, after binary, before binary, id long, position int"
-_MATCH = f"{_SUFFIX}, partner long, left int, right int, edge boolean"
+_SUFFIX = "hash long, after binary, before binary, id long, position int, partner long"
+_MATCH = f"{_SUFFIX}, left int, right int, edge boolean"
 _FIELDS = ["hash", "after", "before", "id", "position"]
 #: Bytes of a word's keyed hash in a suffix.
 WORD = 6
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """(shard, name, first, last) of texts that are listed more than once: the least and the greatest id, by digest."""
+    named = written(rows.filter("text is not null").select("id", "shard", F.unhex(F.sha2("text", 256)).alias("name")), "names")
+    groups = named.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return unique_join(named.select("shard", "name").distinct(), groups, "name")
+
+
 def _suffixes(rows: DataFrame, anchors: DataFrame, min_words: int, phrase: int, seed: int) -> DataFrame:
     """Suffixes at recurring anchors: words after (and at) and before each, as WORD-byte hashes; before is reversed.
-    A text's edge is random words."""
+    A text's edge is random words.
+
+    Of equal texts only those under the least id have suffixes. All of them, if long enough, give a row without a hash
+    that holds their number of words and another text's id."""
     reach = min_words - phrase
 
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
-        recurring = np.sort(right.column("hash").to_numpy().view(np.uint64)) if right.num_rows else np.zeros(0, np.uint64)
+        recurring = np.sort(right.column("hash").drop_null().to_numpy().view(np.uint64))
+        copies = right.filter(right.column("name").is_valid())
+        copies = dict(zip(copies.column("name").to_pylist(), zip(copies.column("first").to_pylist(), copies.column("last").to_pylist(), strict=True), strict=True))
         out: list[tuple] = []
-        if len(recurring) and left.num_rows:
+        if (len(recurring) or copies) and left.num_rows:
             left = left.combine_chunks()
             names, text = left.column("id").to_numpy(), left.column("text")
             words = K.words_of(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, K.NOT_SPACE, seed=seed)
             for i, own in K.per_doc(words):
                 if len(own) < min_words:
                     continue
+                same = copies.get(hashlib.sha256(text[i].as_py().encode()).digest()) if copies else None
+                if same:
+                    out.append((None, None, None, int(names[i]), len(own), same[1] if names[i] == same[0] else same[0]))
+                if not len(recurring) or same and names[i] != same[0]:
+                    continue
                 hashes = K.grams(own, phrase)
                 _, at = K.minimisers(hashes, min_words - phrase + 1)
                 at = at[recurring[np.minimum(np.searchsorted(recurring, hashes[at]), len(recurring) - 1)] == hashes[at]]
@@ -60,12 +79,15 @@ def _suffixes(rows: DataFrame, anchors: DataFrame, min_words: int, phrase: int,
                 padded = padded.view(np.uint8).reshape(-1, 8)[:, :WORD]
                 for p in at.tolist():
                     q = p + reach
-                    out.append((int(hashes[p].view(np.int64)), padded[q : q + min_words].tobytes(), padded[q - reach : q][::-1].tobytes(), int(names[i]), p))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["hash", "after", "before", "id", "position"])
+                    out.append((int(hashes[p].view(np.int64)), padded[q : q + min_words].tobytes(), padded[q - reach : q][::-1].tobytes(), int(names[i]), p, None))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*_FIELDS, "partner"])
 
-    return rows.groupBy("shard").cogroup(anchors.groupBy("shard")).applyInArrow(shard, _SUFFIX)
+    none = F.lit(None)
+    told = anchors.select("shard", "hash", none.cast("binary").alias("name"), none.cast("long").alias("first"), none.cast("long").alias("last"))
+    told = told.unionByName(_copies(rows).select("shard", none.cast("long").alias("hash"), "name", "first", "last"))
+    return rows.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(shard, _SUFFIX)
 
 
 def _table(batch: pa.RecordBatch, name: str, width: int) -> np.ndarray:
@@ -119,15 +141,16 @@ def _neighbours(suffixes: DataFrame, order: list[str], min_words: int, phrase: i
 
 
 def _gaps(by_after: DataFrame, by_before: DataFrame, min_words: int) -> DataFrame:
-    """(hash, low, high): anchors where some suffix may have windows, beginning low .. high words before it, whose
-    partners are no neighbours."""
+    """(hash, offsets): anchors where some suffix may have windows whose partners are no neighbours; bit o of offsets
+    tells of windows that begin o words before the anchor."""
     a = by_after.groupBy("hash", "id", "position").agg(F.max(F.struct("right", "left")).alias("a"))
     b = by_before.groupBy("hash", "id", "position").agg(F.max(F.struct("left", "right")).alias("b"))
     # The longest to the right covers windows from min_words - right to left words before; the other one likewise.
     low = F.greatest(F.col("a.left") + 1, F.lit(min_words) - F.col("a.right"))
     high = F.least(F.lit(min_words) - F.col("b.right") - 1, F.col("b.left"))
     both = a.join(b, ["hash", "id", "position"]).select("hash", low.alias("low"), high.alias("high")).filter("low <= high")
-    return both.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    bits = F.expr("shiftleft(1L, high + 1) - shiftleft(1L, low)")
+    return both.groupBy("hash").agg(F.bit_or(bits).alias("offsets"))
 
 
 def _whole_windows(suffixes: DataFrame, gaps: DataFrame, min_words: int, phrase: int, seed: int) -> DataFrame:
@@ -140,11 +163,13 @@ def _whole_windows(suffixes: DataFrame, gaps: DataFrame, min_words: int, phrase:
                 continue
             before = _wide(_table(batch, "before", reach))[:, ::-1]
             words = np.concatenate([before, _wide(_table(batch, "after", min_words))], 1)
-            low, high = batch.column("low").to_numpy(), batch.column("high").to_numpy()
+            offsets = batch.column("offsets").to_numpy()
             key = batch.column("hash").to_numpy().view(np.uint64)
             found = []
-            for o in range(int(low.min()), int(high.max()) + 1):
-                at = np.flatnonzero((low <= o) & (o <= high))
+            for o in range(reach + 1):
+                at = np.flatnonzero((offsets >> o) & 1)
+                if not len(at):
+                    continue
                 window = words[at, reach - o : reach - o + min_words]
                 one, two = (K.mix(K.window_hash(window, seed + n) ^ K.mix(key[at] + np.uint64(o))) for n in (0, 1))
                 found.append((at, np.full(len(at), o), one, two))
@@ -176,16 +201,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, phrase: int =
     the two orders, at least one wherever a neighbour shares the passage. Words are compared by keyed hashes of 48 bits.
     Extra columns are left aside; an empty table gives no passage.
     """
+    if min_words - phrase > 62:
+        raise ValueError("offsets before an anchor must fit 63 bits: min_words - phrase <= 62")
     rows = sharded(docs, text, key)
     seed = K.draw_seed()
-    suffixes = written(_suffixes(rows, recurring_anchors(rows, phrase, min_words, seed), min_words, phrase, seed), "suffixes")
+    every = written(_suffixes(rows, recurring_anchors(rows, phrase, min_words, seed), min_words, phrase, seed), "suffixes")
+    copied = every.filter("hash is null").select("id", F.lit(0).alias("start"), F.col("position").alias("stop"), "partner")
+    suffixes = every.filter("hash is not null").select(*_FIELDS)
     by_after = _neighbours(suffixes, ["hash", "after", "before", "id", "position"], min_words, phrase)
     by_before = _neighbours(suffixes, ["hash", "before", "after", "id", "position"], min_words, phrase)
     gaps = written(_gaps(by_after, by_before, min_words), "gaps")
     found = by_after.unionByName(by_before).filter(F.col("left") + F.col("right") >= min_words)
     found = found.select("id", (F.col("position") - F.col("left")).alias("start"), (F.col("position") + F.col("right")).alias("stop"), "partner")
     whole = _whole_windows(suffixes, gaps, min_words, phrase, K.draw_seed() >> 1)
-    found = found.unionByName(whole.select("id", "start", (F.col("start") + min_words).alias("stop"), F.lit(None).cast("long").alias("partner")))
+    found = found.unionByName(copied).unionByName(whole.select("id", "start", (F.col("start") + min_words).alias("stop"), F.lit(None).cast("long").alias("partner")))
     merged = F.aggregate(
         F.array_sort(F.collect_set(F.struct("start", "stop"))),
         F.array().cast("array<struct<start:int,stop:int>>"),
