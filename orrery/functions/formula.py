@@ -40,6 +40,33 @@ class Formula:
         return reduce((lambda a, b: a & b) if self.kind == "and" else (lambda a, b: a | b), inner, F.lit(self.kind == "and"))
 
 
+def text(f: Formula) -> str:
+    """T, F, names, ! before what is negated, & and | between parts, nested ones in brackets."""
+    if f.kind == "value":
+        return "T" if f.args[0] else "F"
+    if f.kind == "name":
+        return f.args[0]
+    if f.kind == "not":
+        inner = text(f.args[0])
+        return f"!{inner}" if f.args[0].kind in ("value", "name", "not") else f"!({inner})"
+    parts = [text(x) if x.kind in ("value", "name", "not") else f"({text(x)})" for x in f.args]
+    return (" & " if f.kind == "and" else " | ").join(parts)
+
+
+def disjuncts(f: Formula) -> tuple[Formula, ...] | None:
+    """The parts of a disjunction; None for other formulas."""
+    return f.args if f.kind == "or" else None
+
+
+def conjuncts(f: Formula) -> tuple[Formula, ...] | None:
+    return f.args if f.kind == "and" else None
+
+
+def negated(f: Formula) -> Formula | None:
+    """What a negation negates; None for other formulas."""
+    return f.args[0] if f.kind == "not" else None
+
+
 def embed(value: bool) -> Formula:
     return Formula("value", (value,))
 

@@ -1,25 +1,24 @@
 """Clock zones: difference bound matrices as arrays of packed relations, row by row.
 
-A relation is bound * 2 + (1 if weak); their order is the numbers' order, and INFINITY absorbs. All functions are
-column expressions on one row's array: nothing is shuffled."""
+A relation is bound * 2 + (1 if weak); their order is the numbers' order, and INFINITY absorbs. The number of clocks
+is known when the plan is made, so zones are edited cell by cell in plain column expressions of one row; closures, which
+combine all cells n times, work on Arrow batches of zones. Nothing is shuffled. A null relation or zone gives null."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 # The least and greatest bound, the packed forms of no bound and of "at most 0".
 MIN_BOUND, MAX_BOUND = -16384, 16383
 INFINITY, ZERO = 32767, 1
 
 
-def _once(zone: Column, use: Callable[[Column], Column]) -> Column:
-    """use(zone) with the zone computed once, however often use reads it inside a lambda."""
-    return F.element_at(F.transform(F.array(zone), use), 1)
-
-
 def relation(bound: Column, weak: Column) -> Column:
     """Packed; null if the bound is out of range."""
     return F.when(bound.between(MIN_BOUND, MAX_BOUND), bound * 2 + weak.cast("int"))
@@ -35,9 +34,9 @@ def is_weak(raw: Column) -> Column:
 
 def add(a: Column, b: Column) -> Column:
     """Sum of two relations; null where a finite sum is out of range or would read as no bound."""
-    total = F.shiftright(a, 1) + F.shiftright(b, 1)
-    raw = total * 2 + a.bitwiseAND(b).bitwiseAND(F.lit(1))
-    return F.when((a == INFINITY) | (b == INFINITY), F.lit(INFINITY)).when(total.between(MIN_BOUND, MAX_BOUND) & (raw != INFINITY), raw)
+    # The bounds add up, and the sum is weak only if both are.
+    raw = a + b - a.bitwiseOR(b).bitwiseAND(F.lit(1))
+    return F.when(F.greatest(a, b) == INFINITY, F.lit(INFINITY)).when(raw.between(2 * MIN_BOUND, INFINITY - 1), raw)
 
 
 def negate(raw: Column) -> Column:
@@ -45,21 +44,43 @@ def negate(raw: Column) -> Column:
     return F.when(raw != INFINITY, relation(-F.shiftright(raw, 1), ~is_weak(raw)))
 
 
+def subtract(a: Column, b: Column) -> Column:
+    """a + (-b); null where b is no bound or a result is out of range."""
+    return F.when(b != INFINITY, add(a, negate(b)))
+
+
+def failed(result: Column, *operands: Column) -> Column:
+    """Whether a checked operation on these operands (none of them null) had no result."""
+    given = operands[0].isNotNull()
+    for x in operands[1:]:
+        given = given & x.isNotNull()
+    return given & result.isNull()
+
+
+def _cells(n: int, value: Callable[[int, int], Column]) -> Column:
+    return F.array(*[value(i, j) for i in range(n) for j in range(n)])
+
+
 def new_zone(n: int) -> Column:
     """All clocks at least 0: n counts the reference clock as well."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n * n - 1)), lambda p: F.when((p < n) | (p % (n + 1) == 0), ZERO).otherwise(INFINITY))
+    return _cells(n, lambda i, j: F.lit(ZERO if i == 0 or i == j else INFINITY))
 
 
 def cell(zone: Column, i: int, j: int, n: int) -> Column:
-    return F.element_at(zone, i * n + j + 1)
+    return zone.getItem(i * n + j)
 
 
 def put(zone: Column, i: int, j: int, raw: Column, n: int) -> Column:
-    return F.transform(zone, lambda x, p: F.when(p == i * n + j, raw).otherwise(x))
+    return _cells(n, lambda r, c: raw if (r, c) == (i, j) else cell(zone, r, c, n))
 
 
 def tighten(zone: Column, i: int, j: int, raw: Column, n: int) -> Column:
-    return F.transform(zone, lambda x, p: F.when(p == i * n + j, F.least(x, raw)).otherwise(x))
+    return _cells(n, lambda r, c: F.least(cell(zone, r, c, n), raw) if (r, c) == (i, j) else cell(zone, r, c, n))
+
+
+def tighten_each(zone: Column, bounds: dict[tuple[int, int], Column], n: int) -> Column:
+    """All of the cells (i, j) tightened at once. Calls of tighten inside each other write the zone out again and again."""
+    return _cells(n, lambda r, c: F.least(cell(zone, r, c, n), bounds[r, c]) if (r, c) in bounds else cell(zone, r, c, n))
 
 
 def intersect(a: Column, b: Column) -> Column:
@@ -67,48 +88,81 @@ def intersect(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.zip_with(a, b, lambda x, y: F.least(x, y)))
 
 
-def _through(zone: Column, k: Column, n: int) -> Column:
-    row, col = (lambda p: F.floor(p / n).cast("int")), (lambda p: p % n)
-    return F.transform(zone, lambda x, p: F.least(x, F.coalesce(add(F.element_at(zone, row(p) * n + k + 1), F.element_at(zone, k * n + col(p) + 1)), x)))
+def _fresh(rows: DataFrame, stem: str) -> str:
+    while any(c.lower().startswith(stem.lower()) for c in rows.columns):
+        stem = "_" + stem
+    return stem
 
 
-def close(zone: Column, n: int) -> Column:
-    """Canonical form: all-pairs least sums over every pivot. Sums out of range never tighten; see overflows()."""
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), zone, lambda acc, k: _through(acc, k, n))
+def _worked(rows: DataFrame, n: int, zone: str, over: str, work: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """rows with work done on all zones of a batch at once: (zones, n, n) integers to the same and whether each left the
+    range. As one opaque step, so that later filters are not written out in terms of every cell of every pivot."""
 
+    def run(column: pa.Array) -> pa.Array:
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        valid = column.is_valid().to_numpy(zero_copy_only=False)
+        given = column.filter(pa.array(valid)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, n, n)
+        found, beyond = work(given)
+        out, lost = np.zeros((len(column), n * n), np.int32), np.zeros(len(column), bool)
+        out[valid], lost[valid] = found.reshape(-1, n * n), beyond
+        cells = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) * n * n + 1, n * n, dtype=np.int32)), pa.array(out.ravel()), mask=pa.array(~valid | lost))
+        return pa.StructArray.from_arrays([cells, pa.array(lost)], ["zone", "over"])
 
-def overflows(zone: Column, n: int) -> Column:
-    """Whether one pivot step of the zone's closure leaves the range of bounds."""
-    at = lambda q: F.floor(q / n).cast("int")
-    return _once(zone, lambda z: F.exists(F.sequence(F.lit(0), F.lit(n * n * n - 1)), lambda q: add(F.element_at(z, at(q) + 1), F.element_at(z, (at(q) % n) * n + q % n + 1)).isNull()))
+    step = F.arrow_udf(run, "struct<zone: array<int>, over: boolean>", ArrowUDFType.SCALAR).asNondeterministic()
+    mark = _fresh(rows, "_closed")
+    keep = [F.col(f"`{c}`") for c in rows.columns if c not in (zone, over)]
+    done = rows.select(*keep, step(F.col(f"`{zone}`").cast("array<int>")).alias(mark))
+    return done.select(*keep, F.col(f"`{mark}`.zone").alias(zone), F.col(f"`{mark}`.over").alias(over))
 
 
-def close_pair(zone: Column, i: int, j: int, n: int) -> Column:
-    """Canonical form after the one cell (i, j) of a canonical zone was tightened."""
-    row, col = (lambda p: F.floor(p / n).cast("int")), (lambda p: p % n)
+def _sums(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As add, with no bound and true where a finite sum leaves the range."""
+    raw = a + b - ((a | b) & 1)
+    endless = np.maximum(a, b) == INFINITY
+    beyond = ~endless & ((raw < 2 * MIN_BOUND) | (raw >= INFINITY))
+    return np.where(endless | beyond, INFINITY, raw), beyond
 
-    def closed(z: Column) -> Column:
-        first = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda r: add(F.element_at(z, r * n + i + 1), F.element_at(z, i * n + j + 1)))
-        return _once(first, lambda f: F.transform(z, lambda x, p: F.least(x, F.coalesce(add(F.element_at(f, row(p) + 1), F.element_at(z, j * n + col(p) + 1)), x))))
 
-    return _once(zone, closed)
+def closed(rows: DataFrame, n: int, zone: str = "zone", over: str = "overflow") -> DataFrame:
+    """rows with the zone in canonical form: all-pairs least sums over every pivot, after diagonals above "at most 0"
+    came down to it. Where a sum leaves the range of bounds, over is true and the zone null. Columns of these two
+    names are replaced; a null zone gives a null zone."""
+
+    def work(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, lost = m.copy(), np.zeros(len(m), bool)
+        for i in range(n):
+            m[:, i, i] = np.minimum(m[:, i, i], ZERO)
+        for k in range(n):
+            total, beyond = _sums(m[:, :, k, None], m[:, None, k, :])
+            m, lost = np.minimum(m, total), lost | beyond.any((1, 2))
+        return m, lost
+
+    return _worked(rows, n, zone, over, work)
+
+
+def closed_pair(rows: DataFrame, i: int, j: int, n: int, zone: str = "zone", over: str = "overflow") -> DataFrame:
+    """As closed, after the one cell (i, j) of a canonical zone was tightened."""
+
+    def work(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, early = _sums(m[:, :, i], m[:, i, j, None])
+        total, late = _sums(first[:, :, None], m[:, None, j, :])
+        return np.minimum(m, total), early.any(1) | late.any((1, 2))
+
+    return _worked(rows, n, zone, over, work)
 
 
 def up(zone: Column, n: int) -> Column:
-    return F.transform(zone, lambda x, p: F.when((p % n == 0) & (p > 0), INFINITY).otherwise(x))
+    return _cells(n, lambda i, j: F.lit(INFINITY) if j == 0 and i else cell(zone, i, j, n))
 
 
 def copy_clock(zone: Column, to: int, of: int, n: int) -> Column:
-    """Clock `to` takes the value of clock `of`; 0 resets it."""
-    if to in (0, of):
+    """Clock `to` (not the reference clock) takes the value of clock `of`; 0 resets it."""
+    if to == 0:
+        raise ValueError("the reference clock can't be assigned")
+    if to == of:
         return zone
-    row, col = (lambda p: F.floor(p / n).cast("int")), (lambda p: p % n)
-
-    def value(z, x, p):
-        r, c = F.when(row(p) == to, of).otherwise(row(p)), F.when(col(p) == to, of).otherwise(col(p))
-        return F.when((row(p) == to) & (col(p) == to), ZERO).when((row(p) == to) & (col(p) == of) | (row(p) == of) & (col(p) == to), ZERO).otherwise(F.element_at(z, r * n + c + 1))
-
-    return _once(zone, lambda z: F.transform(z, lambda x, p: value(z, x, p)))
+    as_of = lambda c: of if c == to else c
+    return _cells(n, lambda i, j: F.lit(ZERO) if i != j and {i, j} == {to, of} or i == j == to else cell(zone, as_of(i), as_of(j), n))
 
 
 def reset(zone: Column, clock: int, n: int) -> Column:
@@ -121,9 +175,12 @@ def assign_offset(zone: Column, to: int, of: int, delta: int, n: int) -> Column:
         raise ValueError("a clock can't be shifted by itself")
     moved = copy_clock(zone, to, of, n)
     shift = lambda d: F.lit(d * 2 + 1)
-    row, col = (lambda p: F.floor(p / n).cast("int")), (lambda p: p % n)
-    out = F.transform(moved, lambda x, p: F.when((row(p) == to) & (col(p) != to), add(x, shift(delta))).when((col(p) == to) & (row(p) != to), add(x, shift(-delta))).otherwise(x))
-    return _once(out, lambda o: F.when(~F.exists(o, lambda x: x.isNull()), o))
+    value = lambda i, j: add(cell(moved, i, j, n), shift(delta if i == to else -delta)) if (i == to) != (j == to) else cell(moved, i, j, n)
+    fits = F.lit(True)
+    for k in range(n):
+        if k != to:
+            fits = fits & value(to, k).isNotNull() & value(k, to).isNotNull()
+    return F.when(fits, _cells(n, value))
 
 
 def subset(a: Column, b: Column) -> Column:
@@ -132,21 +189,21 @@ def subset(a: Column, b: Column) -> Column:
 
 
 def is_consistent(zone: Column, n: int) -> Column:
-    return _once(zone, lambda z: F.forall(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(z, i * (n + 1) + 1) >= ZERO))
+    """Whether a canonical zone has a point; null for a null zone."""
+    ok = cell(zone, 0, 0, n) >= ZERO
+    for i in range(1, n):
+        ok = ok & (cell(zone, i, i, n) >= ZERO)
+    return ok
 
 
 def constraint_text(zone: Column, names: list[str]) -> Column:
-    """Finite constraints off the diagonal, joined by &&."""
-    return _once(zone, lambda z: _constraints(z, names))
-
-
-def _constraints(zone: Column, names: list[str]) -> Column:
+    """Finite constraints off the diagonal, joined by &&: clock by clock its lower bound, its upper bound, its differences."""
     n = len(names) + 1
     out = []
-    for i in range(n):
-        for j in range(n):
-            if i != j:
-                left = f"-{names[j - 1]}" if i == 0 else names[i - 1] if j == 0 else f"{names[i - 1]} - {names[j - 1]}"
-                raw = cell(zone, i, j, n)
-                out.append(F.when(raw != INFINITY, F.concat(F.lit(left), F.when(is_weak(raw), " ≤ ").otherwise(" < "), bound(raw).cast("string"))))
+    for i in range(1, n):
+        own = names[i - 1]
+        rows = [(0, i, f"-{own}"), (i, 0, own), *((i, j, f"{own} - {names[j - 1]}") for j in range(1, n) if j != i)]
+        for r, c, left in rows:
+            raw = cell(zone, r, c, n)
+            out.append(F.when(raw != INFINITY, F.concat(F.lit(left), F.when(is_weak(raw), " ≤ ").otherwise(" < "), bound(raw).cast("string"))))
     return F.concat_ws(" && ", *out)

@@ -1,8 +1,12 @@
-"""Acceptance of runs (run_id, pos, state, in_cycle) by what they visit infinitely often: one aggregation each."""
+"""Acceptance of runs (run_id, pos, state, in_cycle) by what they visit infinitely often: one aggregation each.
+
+Every run_id gives one row, runs without a cycle too (they visit nothing infinitely often); a null run_id is a run as
+well. A null state belongs to no set and has no priority. No runs, no rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -15,6 +19,21 @@ def finitely_often(runs: DataFrame) -> DataFrame:
     return runs.filter("not in_cycle").select("run_id", "state").distinct().join(infinitely_often(runs), ["run_id", "state"], "left_anti")
 
 
+def infinitely_often_transitions(runs: DataFrame) -> DataFrame:
+    """(run_id, src, dst): steps that the endlessly repeated cycle takes, from its last state to its first as well."""
+    cycle = runs.filter("in_cycle")
+    last = W.partitionBy("run_id").orderBy("pos")
+    first = F.first("state").over(last)
+    return cycle.select("run_id", F.col("state").alias("src"), F.coalesce(F.lead("state").over(last), first).alias("dst")).distinct()
+
+
+def buchi_transitions(runs: DataFrame, accepting: DataFrame) -> DataFrame:
+    """(run_id, accepted): whether some accepting transition (src, dst) is taken infinitely often."""
+    taken = infinitely_often_transitions(runs).join(accepting.select("src", "dst").distinct().withColumn("hit", F.lit(True)), ["src", "dst"], "left")
+    hits = taken.groupBy("run_id").agg(F.bool_or(F.col("hit").isNotNull()).alias("accepted"))
+    return runs.select("run_id").distinct().join(hits, "run_id", "left").fillna(False, ["accepted"])
+
+
 def terminal(runs: DataFrame) -> DataFrame:
     return runs.groupBy("run_id").agg(F.max_by("state", "pos").alias("state"))
 

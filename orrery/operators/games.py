@@ -1,11 +1,14 @@
 """Two-player games on arenas: vertices (v, owner), arcs (e, src, dst).
 
 Counters need a vertex's full number of arcs, also of arcs that leave a universe, and count parallel arcs on both
-sides. Dead ends: none is attracted, all lose safety and Büchi games."""
+sides. Dead ends: none is attracted, all lose safety and Büchi games. A vertex without an owner is the opponent's of
+both players; arcs from or to vertices that are not listed count as arcs but are never moved to. Empty arenas give
+empty regions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.plans.fixpoint import saved
@@ -18,20 +21,22 @@ def opponent(player: str) -> str:
 def attractor(vertices: DataFrame, arcs: DataFrame, target: DataFrame, player: str, universe: DataFrame | None = None) -> DataFrame:
     """(v, rank): from where player can force a visit to the target; rank is the number of moves needed.
 
-    Each round only the newly attracted vertices' incoming arcs are read; a vertex carries how many more of its arcs
-    must lead inside: one if it is the player's, all of them otherwise."""
+    A round reads the arcs into the newly attracted vertices and writes only what changed: the player's vertices join
+    at their first such arc, the opponent's when all of their arcs lead inside, for which the counts so far are kept."""
     inside = vertices if universe is None else vertices.join(universe.select("v"), "v", "left_semi")
     delta = saved(inside.join(target.select("v").distinct(), "v", "left_semi").select("v", F.lit(0).cast("long").alias("rank")))
     arity = arcs.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("arity"))
     need = F.when(F.col("owner") == player, F.lit(1)).otherwise(F.col("arity"))
-    waiting = saved(inside.join(arity, "v").select("v", need.cast("long").alias("need")).join(delta, "v", "left_anti"))
-    region, n = delta, 0
+    needs = saved(inside.join(arity, "v").select("v", need.cast("long").alias("need")))
+    region, counts, n = delta, None, 0
     while not delta.isEmpty():
         n += 1
         hits = arcs.join(delta.select(F.col("v").alias("dst")), "dst", "left_semi").groupBy(F.col("src").alias("v")).agg(F.count("*").alias("hits"))
-        state = saved(waiting.join(hits, "v", "left").select("v", (F.col("need") - F.coalesce("hits", F.lit(0))).alias("need")))
-        delta = state.filter("need <= 0").select("v", F.lit(n).cast("long").alias("rank"))
-        waiting = state.filter("need > 0")
+        if counts is not None:
+            hits = hits.unionByName(counts).groupBy("v").agg(F.sum("hits").alias("hits"))
+        state = saved(needs.join(hits, "v").join(region.select("v"), "v", "left_anti"))
+        delta = state.filter("hits >= need").select("v", F.lit(n).cast("long").alias("rank"))
+        counts = state.filter("hits < need").select("v", "hits")
         region = region.unionByName(delta)
         if n % 8 == 0:
             region = saved(region)
@@ -83,17 +88,53 @@ def buchi_region(vertices: DataFrame, arcs: DataFrame, accepting: DataFrame, pla
         candidate = saved(candidate.join(lost.select("v"), "v", "left_anti"))
 
 
-def play(start: int, strategy: DataFrame, steps: int = 1000) -> list[int]:
-    """The play that follows the strategy map from start until it has no entry or a vertex comes again."""
-    path = [start]
-    while len(path) <= steps:
-        row = strategy.filter(F.col("v") == path[-1]).select("succ").first()
-        if row is None:
-            break
-        path.append(row[0])
-        if row[0] in path[:-1]:
+def insert_choice(strategy: DataFrame, v: int, succ: int) -> DataFrame:
+    """The positional strategy (v, succ) with this choice at v, in place of an earlier one."""
+    return remove_choice(strategy, v).unionByName(strategy.sparkSession.range(1).select(F.lit(v).cast("long").alias("v"), F.lit(succ).cast("long").alias("succ")))
+
+
+def remove_choice(strategy: DataFrame, v: int) -> DataFrame:
+    return strategy.filter(F.col("v") != v).select("v", "succ")
+
+
+def plays(starts: DataFrame, strategy: DataFrame) -> DataFrame:
+    """(start, pos, v): from every start (v) the play that follows the strategy (v, succ; one choice a vertex) until
+    there is no choice or a vertex comes again, which is the play's last row.
+
+    Moves of 1, 2, 4, ... steps come from joining the strategy with itself, so rounds grow with the logarithm of the
+    longest play. Starts that repeat play once, null ones not at all."""
+    jump = saved(strategy.select("v", F.col("succ").alias("to")))
+    path = saved(starts.filter("v is not null").select(F.col("v").alias("start"), F.lit(0).cast("long").alias("pos"), "v").distinct())
+    size = 1
+    while True:
+        # Plays that have not come to a vertex again are followed twice as far.
+        again = path.groupBy("start", "v").agg(F.count("*").alias("n")).filter("n > 1").select("start").distinct()
+        more = saved(path.join(again, "start", "left_anti").join(jump, "v").select("start", (F.col("pos") + size).alias("pos"), F.col("to").alias("v")))
+        if more.isEmpty():
             break
-    return path
+        path = saved(path.unionByName(more))
+        jump = saved(jump.join(jump.select(F.col("v").alias("to"), F.col("to").alias("further")), "to").select("v", F.col("further").alias("to")))
+        size *= 2
+    turn = F.row_number().over(W.partitionBy("start", "v").orderBy("pos"))
+    end = path.withColumn("turn", turn).filter("turn = 2").groupBy("start").agg(F.min("pos").alias("end"))
+    return path.join(end, "start", "left").filter("end is null or pos <= end").select("start", "pos", "v")
+
+
+def play(start: int, strategy: DataFrame) -> list[int]:
+    """One play, as plays gives it."""
+    rows = plays(strategy.sparkSession.range(start, start + 1).toDF("v"), strategy)
+    return [r.v for r in rows.orderBy("pos").collect()]
+
+
+def plays_with_memory(starts: DataFrame, choices: DataFrame, updates: DataFrame, first: int = 0) -> DataFrame:
+    """(start, pos, v, memory): plays under a strategy with memory, whose choices are (memory, v, succ) and whose
+    updates (memory, v, next) are taken on arrival; a pair without an update keeps its memory. A play ends without a
+    choice or when vertex and memory come again."""
+    arrive = updates.select(F.col("memory"), F.col("v").alias("succ"), "next")
+    moves = choices.join(arrive, ["memory", "succ"], "left").select(F.struct("v", "memory").alias("v"), F.struct(F.col("succ").alias("v"), F.coalesce("next", "memory").alias("memory")).alias("succ"))
+    states = starts.select(F.struct(F.col("v"), F.lit(first).cast(choices.schema["memory"].dataType).alias("memory")).alias("v")).filter("v.v is not null")
+    found = plays(states, moves)
+    return found.select(F.col("start.v").alias("start"), "pos", F.col("v.v").alias("v"), F.col("v.memory").alias("memory"))
 
 
 def verify_reach_strategy(vertices: DataFrame, arcs: DataFrame, strategy: DataFrame, target: DataFrame, player: str) -> DataFrame:

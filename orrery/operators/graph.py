@@ -1,4 +1,7 @@
-"""Lookups, degrees, positional access and edits of graphs given as vertices (v) and arcs (e, src, dst)."""
+"""Lookups, degrees, positional access and edits of graphs given as vertices (v) and arcs (e, src, dst).
+
+Null endpoints are vertices of their own where rows are grouped, and meet nothing where rows are joined. Empty tables
+give empty results (counts of 0 where one row is promised). Repeated arc rows are parallel arcs."""
 
 from __future__ import annotations
 
@@ -6,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.sources.graphs import numbered
+
 
 def degrees(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
     """(v, outgoing, incoming, loops) with multiplicity; 0 for vertices without arcs. One pass over the arcs."""
@@ -38,7 +43,8 @@ def connected_pairs(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
 
 
 def neighbour_at(arcs: DataFrame, k: int, forward: bool = True) -> DataFrame:
-    """(v, neighbour): the k-th (from 0) successor or predecessor in the order of arc ids; no row past the end."""
+    """(v, neighbour): the k-th (from 0) successor or predecessor in the order of arc ids; no row past the end. Spark
+    limits the ranks before the shuffle as well, so of a hot vertex each task sends at most k + 1 arcs."""
     near, far = ("src", "dst") if forward else ("dst", "src")
     place = F.row_number().over(W.partitionBy(near).orderBy("e"))
     return arcs.withColumn("k", place).filter(F.col("k") == k + 1).select(F.col(near).alias("v"), F.col(far).alias("neighbour"))
@@ -53,6 +59,29 @@ def reversed_arcs(arcs: DataFrame) -> DataFrame:
     return arcs.withColumnsRenamed({"src": "_src"}).withColumnRenamed("dst", "src").withColumnRenamed("_src", "dst")
 
 
+def counts(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
+    """One row (vertices, edges, empty): empty is true without vertices."""
+    both = vertices.agg(F.count("*").alias("vertices")).crossJoin(arcs.agg(F.count("*").alias("edges")))
+    return both.select("vertices", "edges", (F.col("vertices") == 0).alias("empty"))
+
+
+def neighbours(arcs: DataFrame, forward: bool = True) -> DataFrame:
+    """(v, neighbour): distinct successors (or predecessors) of every vertex."""
+    near, far = ("src", "dst") if forward else ("dst", "src")
+    return arcs.select(F.col(near).alias("v"), F.col(far).alias("neighbour")).distinct()
+
+
+def connects_to(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
+    """The pairs (src, dst) with connected: whether an arc leads from src to dst."""
+    mark = arcs.select("src", "dst").distinct().withColumn("connected", F.lit(True))
+    return pairs.join(mark, ["src", "dst"], "left").fillna(False, ["connected"])
+
+
+def arc_ranges(arcs: DataFrame, first: int, stop: int) -> DataFrame:
+    """The arcs with ids first .. stop - 1."""
+    return arcs.filter((F.col("e") >= first) & (F.col("e") < stop))
+
+
 def insert_arc(arcs: DataFrame, vertices: DataFrame, src: int, dst: int) -> DataFrame:
     """The arc comes last among src's own, later ids shift up; unchanged if an endpoint is missing."""
     both = vertices.filter(F.col("v").isin(src, dst)).agg((F.count_distinct("v") == len({src, dst})).alias("ok"))
@@ -66,9 +95,11 @@ def remove_arc(arcs: DataFrame, e: int) -> DataFrame:
 
 
 def remove_vertex(arcs: DataFrame, v: int) -> DataFrame:
-    """(src, dst) without v's arcs; greater vertices move down by one. Number anew with numbered_arcs."""
+    """(e, src, dst) without v's arcs; greater vertices move down by one, and the arcs that stay are numbered anew in
+    the order of their ids."""
     down: Column = lambda c: F.col(c) - (F.col(c) > v).cast("long")
-    return arcs.filter((F.col("src") != v) & (F.col("dst") != v)).select(down("src").alias("src"), down("dst").alias("dst"))
+    kept = arcs.filter((F.col("src") != v) & (F.col("dst") != v)).select(F.col("e").alias("old"), down("src").alias("src"), down("dst").alias("dst"))
+    return numbered(kept, ["old"]).select("e", "src", "dst")
 
 
 def insert_vertex(vertices: DataFrame) -> DataFrame:
@@ -99,6 +130,59 @@ def hyper_step(frontier: DataFrame, hyperarcs: DataFrame, forward: bool = True)
     return hyperarcs.join(touched, "e", "left_semi").select(F.explode(far).alias("v")).distinct()
 
 
+def hyper_cardinalities(hyperarcs: DataFrame) -> DataFrame:
+    """(e, tail_size, head_size), with multiplicity."""
+    return hyperarcs.select("e", F.size("tail").alias("tail_size"), F.size("head").alias("head_size"))
+
+
+def hyper_contains(hyperarcs: DataFrame, v: int) -> DataFrame:
+    """(e, in_tail, in_head): where v stands in each hyperarc."""
+    return hyperarcs.select("e", F.array_contains("tail", v).alias("in_tail"), F.array_contains("head", v).alias("in_head"))
+
+
+def hyper_arcs_between(hyperarcs: DataFrame, u: int, v: int) -> DataFrame:
+    """(e): the hyperarcs from u, in the tail, to v, in the head."""
+    return hyperarcs.filter(F.array_contains("tail", u) & F.array_contains("head", v)).select("e")
+
+
+def side_counts(sides: DataFrame) -> DataFrame:
+    """(side, vertices)."""
+    return sides.groupBy("side").agg(F.count("*").alias("vertices"))
+
+
+def same_side(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """The pairs (src, dst) with same: whether both lie on one side; null if one has none."""
+    a, b = sides.select(F.col("v").alias("src"), F.col("side").alias("_s")), sides.select(F.col("v").alias("dst"), F.col("side").alias("_d"))
+    return pairs.join(a, "src", "left").join(b, "dst", "left").withColumn("same", F.col("_s") == F.col("_d")).drop("_s", "_d")
+
+
+def insert_on_side(sides: DataFrame, side) -> DataFrame:
+    """One more vertex without arcs, numbered after the greatest, on the given side (or of the given colour)."""
+    kind = sides.schema["side"].dataType
+    return sides.select("v", "side").unionByName(sides.agg(F.coalesce(F.max("v") + 1, F.lit(0)).cast("long").alias("v"), F.lit(side).cast(kind).alias("side")))
+
+
+def insert_crossing(arcs: DataFrame, sides: DataFrame, src: int, dst: int) -> DataFrame:
+    """insert_arc where the endpoints lie on different sides; unchanged where they don't or one has none."""
+    ends = sides.filter(F.col("v").isin(src, dst))
+    crossing = ends.agg((F.count_distinct("side") == 2).alias("ok")).filter("ok")
+    return insert_arc(arcs, ends.crossJoin(F.broadcast(crossing)).select("v"), src, dst)
+
+
+def move_to_side(sides: DataFrame, arcs: DataFrame, v: int, side) -> DataFrame:
+    """v on the side, if that leaves all of its arcs crossing; unchanged if not, or if there is no v."""
+    others = arcs.filter(F.col("src") == v).select(F.col("dst").alias("v")).unionByName(arcs.filter(F.col("dst") == v).select(F.col("src").alias("v"))).distinct()
+    bad = others.join(sides, "v").agg((F.count_if(F.col("side") == side) > 0).alias("bad"))
+    move = (F.col("v") == v) & ~F.col("bad")
+    kind = sides.schema["side"].dataType
+    return sides.crossJoin(F.broadcast(bad)).select("v", F.when(move, F.lit(side).cast(kind)).otherwise(F.col("side")).alias("side"))
+
+
+def recolour(colours: DataFrame, v: int, colour, column: str = "colour") -> DataFrame:
+    """v with the colour; nothing changes if there is no v."""
+    return colours.withColumn(column, F.when(F.col("v") == v, F.lit(colour)).otherwise(F.col(column)))
+
+
 def crossing_violations(arcs: DataFrame, sides: DataFrame) -> DataFrame:
     """Arcs that don't cross between the sides (v, side), or whose endpoint has no side."""
     a, b = sides.select(F.col("v").alias("src"), F.col("side").alias("s")), sides.select(F.col("v").alias("dst"), F.col("side").alias("d"))
@@ -119,3 +203,19 @@ def step(frontier: DataFrame, arcs: DataFrame, forward: bool = True) -> DataFram
 
 def under_letter(transitions: DataFrame, letter: str) -> DataFrame:
     return transitions.filter(F.col("letter") == letter)
+
+
+def incoming_under_letter(transitions: DataFrame, letter: str) -> DataFrame:
+    """(v, pred): one row for each transition into v under the letter."""
+    return under_letter(transitions, letter).select(F.col("dst").alias("v"), F.col("src").alias("pred"))
+
+
+def alphabet(transitions: DataFrame, column: str = "letter") -> DataFrame:
+    """(letter): the distinct letters, or input or output symbols, in use."""
+    return transitions.select(F.col(column).alias("letter")).distinct()
+
+
+def relation_size(transitions: DataFrame) -> DataFrame:
+    """One row (states, transitions, letters): states are the transitions' endpoints."""
+    states = transitions.select(F.explode(F.array("src", "dst")).alias("v")).agg(F.count_distinct("v").alias("states"))
+    return states.crossJoin(transitions.agg(F.count("*").alias("transitions"), F.count_distinct("letter").alias("letters")))

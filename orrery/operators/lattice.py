@@ -1,4 +1,7 @@
-"""Lattices: sets as arrays or long tables, growable and fixed bit sets, ordered vectors, truth values."""
+"""Lattices: sets as arrays or long tables, growable and fixed bit sets, ordered vectors, truth values.
+
+Sets are sorted arrays without repeats; bit sets hold the places of their ones, fixed ones beside their universe's
+size n, growable ones as struct(bits, len). A null operand gives null."""
 
 from __future__ import annotations
 
@@ -51,9 +54,71 @@ def complement(bits: Column, n: Column) -> Column:
     return F.when(n > 0, F.array_except(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), bits)).otherwise(F.array().cast("array<bigint>"))
 
 
-def meet_growable(a: Column, len_a: Column, b: Column, len_b: Column) -> Column:
-    """struct(bits, len): the shorter is padded with zeros, so the longer's length stays."""
-    return F.struct(meet_sets(a, b).alias("bits"), F.greatest(len_a, len_b).alias("len"))
+def with_element(a: Column, x: Column) -> Column:
+    return join_sets(a, F.array(x))
+
+
+def without_element(a: Column, x: Column) -> Column:
+    return F.array_sort(F.array_remove(a, x))
+
+
+def bottom_of(kind: str = "bigint") -> Column:
+    """The empty set."""
+    return F.array().cast(f"array<{kind}>")
+
+
+def top_of(n: Column) -> Column:
+    """All of a universe of n places."""
+    return complement(bottom_of(), n)
+
+
+def bit_at(bits: Column, n: Column, i: Column) -> Column:
+    """Whether place i is one; null outside the universe."""
+    return F.when((i >= 0) & (i < n), F.array_contains(bits, i))
+
+
+def set_bit(bits: Column, n: Column, i: Column, value: Column) -> Column:
+    """The bit set with place i as given; null outside the universe."""
+    return F.when((i >= 0) & (i < n), F.when(value, with_element(bits, i)).otherwise(without_element(bits, i)))
+
+
+def join_growable(a: Column, b: Column) -> Column:
+    """The shorter is padded with zeros."""
+    return F.struct(join_sets(a["bits"], b["bits"]).alias("bits"), F.greatest(a["len"], b["len"]).alias("len"))
+
+
+def meet_growable(a: Column, b: Column) -> Column:
+    """The shorter is padded with zeros, so the longer's length stays."""
+    return F.struct(meet_sets(a["bits"], b["bits"]).alias("bits"), F.greatest(a["len"], b["len"]).alias("len"))
+
+
+def set_growable(a: Column, i: Column, value: Column) -> Column:
+    """Place i as given; a place behind the end lets the vector grow to it."""
+    bits = F.when(value, with_element(a["bits"], i)).otherwise(without_element(a["bits"], i))
+    return F.struct(bits.alias("bits"), F.greatest(a["len"], i + 1).alias("len"))
+
+
+def compare_growable(a: Column, b: Column) -> Column:
+    """-1, 0, 1, or null if neither holds the other or the lengths differ."""
+    return F.when(a["len"] == b["len"], compare_sets(a["bits"], b["bits"]))
+
+
+def compare_vectors(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 by the first difference; a prefix comes first."""
+    return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+
+
+def join_truth(a: Column, b: Column) -> Column:
+    return a | b
+
+
+def meet_truth(a: Column, b: Column) -> Column:
+    return a & b
+
+
+def compare_truth(a: Column, b: Column) -> Column:
+    """False lies below true."""
+    return a.cast("int") - b.cast("int")
 
 
 def meet_all(rows: DataFrame, key: str, group: str, element: str) -> DataFrame:
@@ -62,3 +127,8 @@ def meet_all(rows: DataFrame, key: str, group: str, element: str) -> DataFrame:
     total = sets.groupBy(key).agg(F.count_distinct(group).alias("groups"))
     held = sets.groupBy(key, element).agg(F.count("*").alias("n"))
     return held.join(total, key).filter("n = groups").select(key, element)
+
+
+def join_all(rows: DataFrame, key: str, element: str) -> DataFrame:
+    """(key, element): elements that some group of a key holds."""
+    return rows.select(key, element).distinct()

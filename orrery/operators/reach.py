@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.plans.fixpoint import grow, saved, settle
+from orrery.plans.skew import unique_join
 
 
 def reach(arcs: DataFrame, start: DataFrame) -> DataFrame:
@@ -17,32 +18,133 @@ def reach(arcs: DataFrame, start: DataFrame) -> DataFrame:
 
 
 def components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(v, class): strongly connected components, named by their least member.
-
-    Each round settles the least label that reaches every vertex; a vertex with its own label is the least of its
-    component, and what reaches it among vertices of its label is that component. Found components leave, and
-    vertices without arcs on one side are peeled off at once."""
-    left = saved(vertices.select(F.col("v").cast("long").alias("v")).distinct())
-    pairs = saved(arcs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst").distinct())
-    found = []
+    """(v, class): strongly connected components, named by their least member. Null vertices and arcs with a null end
+    are left out; an arc's end that is not listed as a vertex is none. Repeated rows count once.
+
+    Vertices without arcs on one side are peeled off. Vertices with one successor only are followed to where their paths
+    end, by jumps of doubling length, and leave the graph, their arcs led on to that end; so long chains and
+    circles take rounds by the logarithm of their length. In what is left each round settles the least label that reaches
+    every vertex, labels jumping over labels: a vertex with its own label is the least of its component, and what
+    reaches it among vertices of its label is that component. Contracted vertices are placed at the end."""
+    left = saved(vertices.select(F.col("v").cast("long").alias("v")).filter("v is not null").distinct())
+    pairs = arcs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst").distinct()
+    pairs = saved(pairs.join(left.withColumnRenamed("v", "src"), "src", "left_semi").join(left.withColumnRenamed("v", "dst"), "dst", "left_semi"))
+    found, chains = [], []
     while not left.isEmpty():
         ends = pairs.select(F.col("src").alias("v")).intersect(pairs.select(F.col("dst").alias("v")))
         done = saved(left.join(ends, "v", "left_anti").select("v", F.col("v").alias("class")))
-        if done.isEmpty():
-            spread = lambda s: s.unionByName(pairs.join(s.withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v"), "label")).groupBy("v").agg(F.min("label").alias("label"))
-            label = settle(left.select("v", F.col("v").alias("label")), spread, "v", "label")
-            a, b = label.select(F.col("v").alias("src"), F.col("label").alias("la")), label.select(F.col("v").alias("dst"), F.col("label").alias("lb"))
-            same = saved(pairs.join(a, "src").join(b, "dst").filter("la = lb").select("src", "dst"))
-            roots = label.filter("v = label")
-            back = lambda d, _: d.select(F.col("v").alias("dst"), "label").join(same, "dst").select(F.col("src").alias("v"), "label")
-            done = saved(grow(roots, back, ["v"]).select("v", F.col("label").alias("class")))
+        left, pairs = _without(left, pairs, done)
         found.append(done)
-        gone = done.select("v")
-        left = saved(left.join(gone, "v", "left_anti"))
-        pairs = saved(pairs.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti"))
-        if len(found) % 8 == 0:
+        if left.isEmpty():
+            break
+        single = saved(pairs.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("to"), F.count("*").alias("n")).filter("n = 1").select("v", "to"))
+        if not single.isEmpty():
+            chain, done = _contract(pairs, single)
+            chains.append(chain)
+            found.append(done)
+            left = saved(left.join(single.select("v"), "v", "left_anti"))
+            pairs = chain["pairs"]
+        elif done.isEmpty():
+            done = _labelled_components(left, pairs)
+            found.append(done)
+            left, pairs = _without(left, pairs, done)
+        if len(found) > 8:
             found = [saved(_union(found))]
-    return _union(found) if found else left.select("v", F.col("v").alias("class"))
+    classes = _union(found) if found else left.select("v", F.col("v").alias("class"))
+    for chain in reversed(chains):
+        classes = saved(classes.unionByName(_placed(chain, saved(classes))))
+    names = classes.groupBy("class").agg(F.min("v").alias("name"))
+    return unique_join(classes, names, "class").select("v", F.col("name").alias("class"))
+
+
+def _without(left: DataFrame, pairs: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    if done.isEmpty():
+        return left, pairs
+    gone = done.select("v")
+    left = saved(left.join(gone, "v", "left_anti"))
+    return left, saved(pairs.join(gone.withColumnRenamed("v", "src"), "src", "left_anti").join(gone.withColumnRenamed("v", "dst"), "dst", "left_anti"))
+
+
+def _contract(pairs: DataFrame, single: DataFrame) -> tuple[dict, DataFrame]:
+    """The graph without the vertices in single (v, to), and the classes of those that lead into a circle of such vertices."""
+    own = single.select(F.col("v").alias("to"))
+    jumps = [single]
+    limit = max(1, single.count()).bit_length()
+    while len(jumps) <= limit and not jumps[-1].join(own, "to", "left_semi").isEmpty():
+        last = jumps[-1]
+        further = last.select(F.col("v").alias("to"), F.col("to").alias("further"))
+        jumps.append(saved(last.join(further, "to", "left").select("v", F.coalesce("further", "to").alias("to"))))
+    last = jumps[-1]
+    circling = saved(last.join(own, "to", "left_semi"))
+    terminal = saved(last.join(circling.select("v"), "v", "left_anti"))
+    # After as many steps as there are vertices all are on their circles; what is not reached then leads to one.
+    around = saved(circling.select(F.col("to").alias("v")).distinct())
+    label = around.select("v", F.col("v").alias("class"))
+    if not around.isEmpty():
+        for jump in jumps:
+            ahead = jump.join(around, "v", "left_semi").join(label.select(F.col("v").alias("to"), F.col("class").alias("other")), "to")
+            label = saved(label.join(ahead.select("v", "other"), "v").select("v", F.least("class", "other").alias("class")))
+    lone = circling.join(around, "v", "left_anti").select("v", F.col("v").alias("class"))
+    done = saved(label.unionByName(lone))
+    kept = pairs.join(single.select(F.col("v").alias("src")), "src", "left_anti")
+    entries = saved(kept.join(terminal.select(F.col("v").alias("dst"), F.col("to").alias("end")), "dst").select(F.col("src"), F.col("dst").alias("entry"), "end"))
+    direct = kept.join(single.select(F.col("v").alias("dst")), "dst", "left_anti").select("src", "dst")
+    led = saved(direct.unionByName(entries.select("src", F.col("end").alias("dst"))).filter("src <> dst").distinct())
+    return {"pairs": led, "entries": entries, "jumps": jumps, "terminal": terminal}, done
+
+
+def _placed(chain: dict, classes: DataFrame) -> DataFrame:
+    """(v, class) of the vertices of a chain: those behind an entry from the class where the chain ends are in it."""
+    a, b = classes.select(F.col("v").alias("src"), F.col("class").alias("ca")), classes.select(F.col("v").alias("end"), F.col("class").alias("cb"))
+    inside = chain["entries"].join(a, "src").join(b, "end").filter("ca = cb").select(F.col("entry").alias("v")).distinct()
+    terminal = chain["terminal"]
+    inside = saved(inside)
+    if not inside.isEmpty():
+        for jump in chain["jumps"]:
+            ahead = inside.join(jump, "v").select(F.col("to").alias("v")).join(terminal.select("v"), "v", "left_semi")
+            inside = saved(inside.unionByName(ahead).distinct())
+    mark = inside.withColumn("inside", F.lit(True))
+    held = terminal.select("v", F.col("to").alias("end")).join(mark, "v", "left").join(b, "end")
+    return held.select("v", F.when(F.col("inside"), F.col("cb")).otherwise(F.col("v")).alias("class"))
+
+
+def _labelled_components(left: DataFrame, pairs: DataFrame) -> DataFrame:
+    label = _least_labels(left.select("v", F.col("v").alias("label")), pairs)
+    a, b = label.select(F.col("v").alias("src"), F.col("label").alias("la")), label.select(F.col("v").alias("dst"), F.col("label").alias("lb"))
+    same = saved(pairs.join(a, "src").join(b, "dst").filter("la = lb").select("src", "dst"))
+    # Backwards a component's least vertex reaches its members before any other label of theirs that is as small.
+    back = _least_labels(label.select("v", F.col("v").alias("label")), same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = label.withColumnRenamed("label", "class").join(back, "v")
+    return saved(both.filter("label = class").select("v", "class"))
+
+
+def _least_labels(state: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(v, label): the least label that reaches v. Labels are vertices that reach v, so a label's own label does too."""
+
+    def spread(s: DataFrame) -> DataFrame:
+        over = pairs.join(s.withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v"), "label")
+        near = saved(s.unionByName(over).groupBy("v").agg(F.min("label").alias("label")))
+        jump = near.select(F.col("v").alias("label"), F.col("label").alias("further"))
+        return unique_join(near, jump, "label").select("v", F.col("further").alias("label"))
+
+    return settle(state, spread, "v", "label")
+
+
+def members(classes: DataFrame, v: int) -> DataFrame:
+    """(v): the members of v's class; none if v has no class."""
+    own = classes.filter(F.col("v") == v).select("class").distinct()
+    return classes.join(F.broadcast(own), "class", "left_semi").select("v")
+
+
+def strongly_connected(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (src, dst) with connected: whether both are in one class; false where one has none."""
+    a, b = classes.select(F.col("v").alias("src"), F.col("class").alias("_a")), classes.select(F.col("v").alias("dst"), F.col("class").alias("_b"))
+    return pairs.join(a, "src", "left").join(b, "dst", "left").withColumn("connected", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))).drop("_a", "_b")
+
+
+def class_sizes(classes: DataFrame) -> DataFrame:
+    """One row (classes, members, largest)."""
+    return classes.groupBy("class").agg(F.count("*").alias("n")).agg(F.count("*").alias("classes"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"), F.max("n").alias("largest"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:

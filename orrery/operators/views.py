@@ -46,6 +46,19 @@ def clauses(transitions: DataFrame) -> DataFrame:
     return transitions.select(F.col("src").alias("state"), "letter", F.col("e").alias("clause"), F.col("dst").alias("succ"))
 
 
+def conjunctive_clauses(transitions: DataFrame, clause: str) -> DataFrame:
+    """(state, letter, clause, succ): transitions of one state and letter that share the value of a column are one
+    clause, all of whose successors must accept."""
+    return transitions.select(F.col("src").alias("state"), "letter", F.col(clause).alias("clause"), F.col("dst").alias("succ")).distinct()
+
+
+def clause_satisfied(clauses: DataFrame, good: DataFrame) -> DataFrame:
+    """(state, letter): those with some clause all of whose successors are good (v)."""
+    mark = good.select(F.col("v").alias("succ")).distinct().withColumn("_good", F.lit(True))
+    whole = clauses.join(mark, "succ", "left").groupBy("state", "letter", "clause").agg(F.every(F.col("_good").isNotNull()).alias("ok"))
+    return whole.filter("ok").select("state", "letter").distinct()
+
+
 def clause_sets(clauses: DataFrame) -> DataFrame:
     """(state, letter, clause, successors): each clause's conjunction as a sorted set."""
     return clauses.groupBy("state", "letter", "clause").agg(F.array_sort(F.collect_set("succ")).alias("successors"))
