@@ -182,12 +182,16 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     tells: Column = F.coalesce(value.rlike(r"\p{L}"), F.lit(False)) & F.lit(model is not None)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    found = docs.withColumn("__guess", guess(value))
-    return found.withColumns({"lang_pred": F.when(tells, F.col("__guess.lang_pred")).otherwise(UNKNOWN), "score": F.when(tells, F.col("__guess.score")).otherwise(0.0)}).drop("__guess")
+    mark = "_guess"
+    while any(c.lower() == mark for c in docs.columns):
+        mark = "_" + mark
+    found = docs.withColumn(mark, guess(value))
+    return found.withColumns({"lang_pred": F.when(tells, F.col(f"{mark}.lang_pred")).otherwise(UNKNOWN), "score": F.when(tells, F.col(f"{mark}.score")).otherwise(0.0)}).drop(mark)
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
+    """Documents without an id are never learned from, so they count as held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
     model = train(docs.filter(~held_out).select("text", "lang"))
-    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(True)).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
