@@ -205,8 +205,9 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Documents without an id are never learned from, so they count as held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = train(labelled_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
-    scored = score_texts(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    scored = score_texts(docs.select("doc_id", F.coalesce(held_out, F.lit(True)).alias("held_out"), "text"), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
