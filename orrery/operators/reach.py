@@ -25,7 +25,9 @@ def components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
     end, by jumps of doubling length, and leave the graph, their arcs led on to that end; so long chains and
     circles take rounds by the logarithm of their length. In what is left each round settles the least label that reaches
     every vertex, labels jumping over labels: a vertex with its own label is the least of its component, and what
-    reaches it among vertices of its label is that component. Contracted vertices are placed at the end."""
+    reaches it among vertices of its label is that component. Labels are drawn by a hash, and arcs between vertices of
+    different labels lie in no component and go, so rounds are expected to halve what is connected. Contracted vertices
+    are placed at the end."""
     left = saved(vertices.select(F.col("v").cast("long").alias("v")).filter("v is not null").distinct())
     pairs = arcs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst").distinct()
     pairs = saved(pairs.join(left.withColumnRenamed("v", "src"), "src", "left_semi").join(left.withColumnRenamed("v", "dst"), "dst", "left_semi"))
@@ -44,10 +46,9 @@ def components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
             found.append(done)
             left = saved(left.join(single.select("v"), "v", "left_anti"))
             pairs = chain["pairs"]
-        elif done.isEmpty():
-            done = _labelled_components(left, pairs)
-            found.append(done)
-            left, pairs = _without(left, pairs, done)
+        done, pairs = _labelled_components(left, pairs)
+        found.append(done)
+        left, pairs = _without(left, pairs, done)
         if len(found) > 8:
             found = [saved(_union(found))]
     classes = _union(found) if found else left.select("v", F.col("v").alias("class"))
@@ -108,14 +109,21 @@ def _placed(chain: dict, classes: DataFrame) -> DataFrame:
     return held.select("v", F.when(F.col("inside"), F.col("cb")).otherwise(F.col("v")).alias("class"))
 
 
-def _labelled_components(left: DataFrame, pairs: DataFrame) -> DataFrame:
-    label = _least_labels(left.select("v", F.col("v").alias("label")), pairs)
-    a, b = label.select(F.col("v").alias("src"), F.col("label").alias("la")), label.select(F.col("v").alias("dst"), F.col("label").alias("lb"))
-    same = saved(pairs.join(a, "src").join(b, "dst").filter("la = lb").select("src", "dst"))
+def _labelled_components(left: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(v, class) of the components that hold the least label that reaches them, and the arcs inside one label."""
+    # A 64-bit number and its hash stand for each other, so vertices may go by their hashes.
+    drawn = lambda c: F.xxhash64(c)
+    arcs = saved(pairs.select("src", "dst", drawn("src").alias("a"), drawn("dst").alias("b")))
+    own = left.select(drawn("v").alias("v"))
+    label = _least_labels(own.select("v", F.col("v").alias("label")), arcs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    a, b = label.select(F.col("v").alias("a"), F.col("label").alias("la")), label.select(F.col("v").alias("b"), F.col("label").alias("lb"))
+    same = saved(arcs.join(a, "a").join(b, "b").filter("la = lb").select("src", "dst", "a", "b"))
     # Backwards a component's least vertex reaches its members before any other label of theirs that is as small.
-    back = _least_labels(label.select("v", F.col("v").alias("label")), same.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = label.withColumnRenamed("label", "class").join(back, "v")
-    return saved(both.filter("label = class").select("v", "class"))
+    back = _least_labels(own.select("v", F.col("v").alias("label")), same.select(F.col("b").alias("src"), F.col("a").alias("dst")))
+    inside = label.withColumnRenamed("label", "least").join(back, "v").filter("label = least").select("v", "least")
+    names = left.select(F.col("v").alias("class"), drawn("v").alias("least"))
+    done = saved(left.select("v", drawn("v").alias("own")).join(inside.withColumnRenamed("v", "own"), "own").join(names, "least").select("v", "class"))
+    return done, same.select("src", "dst")
 
 
 def _least_labels(state: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -123,9 +131,9 @@ def _least_labels(state: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def spread(s: DataFrame) -> DataFrame:
         over = pairs.join(s.withColumnRenamed("v", "src"), "src").select(F.col("dst").alias("v"), "label")
-        near = saved(s.unionByName(over).groupBy("v").agg(F.min("label").alias("label")))
-        jump = near.select(F.col("v").alias("label"), F.col("label").alias("further"))
-        return unique_join(near, jump, "label").select("v", F.col("further").alias("label"))
+        near = s.unionByName(over).groupBy("v").agg(F.min("label").alias("label"))
+        jump = s.select(F.col("v").alias("label"), F.col("label").alias("further"))
+        return near.join(jump, "label").select("v", F.least("label", "further").alias("label"))
 
     return settle(state, spread, "v", "label")
 
