@@ -11,7 +11,8 @@ from orrery.llm.storage import written
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents at or above their language's threshold go. Labels come from the table labels."""
+    """Documents at or above their language's threshold go. Labels come from the table labels. Null and empty texts are
+    scored as texts without words; rows that repeat are judged alike; no documents, no rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.labelled_documents(docs, labels))
     scored = toxicity.score_texts(docs, model, lang="lang")
@@ -19,14 +20,14 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts (null counts as empty) the row with the largest doc_id stays; rows that repeat it too all stay."""
     return exact_dedup.exact_groups(docs).filter("kept").select(*docs.columns)
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the least doc_id stays.
 
-    Rows without a doc_id come after all others, in the order of a hash of their text; of equal texts among them one stays."""
+    Texts without words are linked with none and stay. Rows without a doc_id come after all others, in the order of a hash of their text; of equal texts among them one stays."""
     lost = docs.filter("doc_id is null").dropDuplicates(["text"])
     hashed = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
     keyed = docs.filter("doc_id is not null").unionByName(lost).withColumn("near_key", F.coalesce(F.col("doc_id").cast("long"), hashed))
@@ -35,7 +36,8 @@ def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a word inside a benchmark item's ten-word window go, whatever their doc_id.
+    """Documents with a word inside a benchmark item's ten-word window go, whatever their doc_id. Null and empty texts
+    stay, and so does everything if there is no benchmark.
 
     The verdict hangs on the text alone, so it is carried by a hash of the text."""
     keyed = docs.withColumn("text_key", F.xxhash64("text"))
@@ -45,7 +47,7 @@ def drop_benchmark_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Sequences of at most 1024 tokens; every row is packed, a null or empty text as the end id alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -57,7 +59,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: A trained classifier and a packing have no SQL; the stages are tested against brute force.
+#: A trained classifier and a packing have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
