@@ -79,14 +79,16 @@ def _contract(pairs: DataFrame, single: DataFrame) -> tuple[dict, DataFrame]:
     circling = saved(last.join(own, "to", "left_semi"))
     terminal = saved(last.join(circling.select("v"), "v", "left_anti"))
     # After as many steps as there are vertices all are on their circles; what is not reached then leads to one.
-    around = saved(circling.select(F.col("to").alias("v")).distinct())
-    label = around.select("v", F.col("v").alias("class"))
-    if not around.isEmpty():
+    if circling.isEmpty():
+        done = circling.select("v", F.col("to").alias("class"))
+    else:
+        around = saved(circling.select(F.col("to").alias("v")).distinct())
+        label = around.select("v", F.col("v").alias("class"))
         for jump in jumps:
             ahead = jump.join(around, "v", "left_semi").join(label.select(F.col("v").alias("to"), F.col("class").alias("other")), "to")
             label = saved(label.join(ahead.select("v", "other"), "v").select("v", F.least("class", "other").alias("class")))
-    lone = circling.join(around, "v", "left_anti").select("v", F.col("v").alias("class"))
-    done = saved(label.unionByName(lone))
+        lone = circling.join(around, "v", "left_anti").select("v", F.col("v").alias("class"))
+        done = saved(label.unionByName(lone))
     kept = pairs.join(single.select(F.col("v").alias("src")), "src", "left_anti")
     entries = saved(kept.join(terminal.select(F.col("v").alias("dst"), F.col("to").alias("end")), "dst").select(F.col("src"), F.col("dst").alias("entry"), "end"))
     direct = kept.join(single.select(F.col("v").alias("dst")), "dst", "left_anti").select("src", "dst")

@@ -32,13 +32,24 @@ def _query(sql: str | None = None):
     return add
 
 
-_LAYERS = "u AS (SELECT o_orderkey AS o, o_custkey AS src, CASE o_orderkey % 4 WHEN 0 THEN o_custkey - o_custkey % 7 WHEN 1 THEN least(o_custkey + 1 + o_orderkey // 4 % 2, n - 1) ELSE least(o_custkey + 1 + o_orderkey * 7919 % greatest(n // 10, 1), n - 1) END AS dst FROM orders, (SELECT count(*) AS n FROM customer)), v AS (SELECT c_custkey AS v, CASE WHEN c_custkey % 2 = 0 THEN 'Eve' ELSE 'Adam' END AS owner, c_acctbal AS balance FROM customer)"
+_LAYERS = "u AS (SELECT o_orderkey AS o, o_custkey AS src, CASE o_orderkey % 4 WHEN 0 THEN o_custkey - o_custkey % greatest(n // 8, 1) WHEN 1 THEN least(o_custkey + 1 + o_orderkey // 4 % 2, n - 1) ELSE least(o_custkey + 1 + o_orderkey * 7919 % greatest(n // 10, 1), n - 1) END AS dst FROM orders, (SELECT count(*) AS n FROM customer)), v AS (SELECT c_custkey AS v, CASE WHEN c_custkey % 2 = 0 THEN 'Eve' ELSE 'Adam' END AS owner, c_acctbal AS balance FROM customer)"
 
 
 def _layers(spark, d: str) -> DataFrame:
     return saved(S.layered_arcs(spark, d))
 
 
+_kept: dict = {}
+
+
+def _classes(spark, d: str) -> DataFrame:
+    """Components of the layered graph, a table that the queries of one application share."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _kept:
+        _kept[key] = saved(R.components(S.customer_arena(spark, d), _layers(spark, d)))
+    return _kept[key]
+
+
 def _arcs(spark, d: str) -> DataFrame:
     """All arcs of the order graph, numbered by their order's key."""
     return saved(S.order_arcs(spark, d).select(F.col("o").alias("e"), "src", "dst"))
@@ -167,19 +178,19 @@ _SCC = f"WITH RECURSIVE {_LAYERS}, p AS (SELECT DISTINCT src, dst FROM u), t AS
 
 @_query(f"{_SCC} SELECT v, class FROM c")
 def scc_classes(spark, d):
-    return R.components(S.customer_arena(spark, d), _layers(spark, d))
+    return _classes(spark, d)
 
 
 @_query(f"{_SCC} SELECT class, count(*) AS size, count(*) > 1 OR bool_or(v IN (SELECT src FROM p WHERE src = dst)) AS recurrent FROM c GROUP BY class")
 def recurrent_classes(spark, d):
     arcs = _layers(spark, d)
-    return R.recurrent(saved(R.components(S.customer_arena(spark, d), arcs)), arcs)
+    return R.recurrent(_classes(spark, d), arcs)
 
 
 @_query(f"{_SCC}, k AS (SELECT class FROM c GROUP BY class HAVING count(*) > 1 OR bool_or(v IN (SELECT src FROM p WHERE src = dst))) SELECT DISTINCT a.class AS src_class, b.class AS dst_class FROM p JOIN c a ON a.v = src JOIN c b ON b.v = dst WHERE a.class <> b.class UNION SELECT class, class FROM k")
-def condensation_layers(spark, d):
+def condensation_arcs(spark, d):
     arcs = _layers(spark, d)
-    return R.condensation(saved(R.components(S.customer_arena(spark, d), arcs)), arcs)
+    return R.condensation(_classes(spark, d), arcs)
 
 
 _REACHED = ", s AS (SELECT 1::BIGINT AS v UNION SELECT p.dst FROM s JOIN p ON p.src = s.v)"
@@ -794,18 +805,18 @@ def hyper_arcs_between(spark, d):
 
 @_query(f"{_SCC} SELECT v FROM c WHERE class = (SELECT class FROM c WHERE v = 2)")
 def class_members(spark, d):
-    return R.members(saved(R.components(S.customer_arena(spark, d), _layers(spark, d))), 2)
+    return R.members(_classes(spark, d), 2)
 
 
 @_query(f"{_SCC} SELECT DISTINCT src, dst, coalesce(a.class = b.class, false) AS connected FROM u LEFT JOIN c a ON a.v = src LEFT JOIN c b ON b.v = dst")
 def strongly_connected(spark, d):
     arcs = _layers(spark, d)
-    return R.strongly_connected(arcs.select("src", "dst").distinct(), saved(R.components(S.customer_arena(spark, d), arcs)))
+    return R.strongly_connected(arcs.select("src", "dst").distinct(), _classes(spark, d))
 
 
 @_query(f"{_SCC}, k AS (SELECT count(*) AS n FROM c GROUP BY class) SELECT count(*) AS classes, sum(n)::BIGINT AS members, max(n) AS largest FROM k")
 def class_sizes(spark, d):
-    return R.class_sizes(R.components(S.customer_arena(spark, d), _layers(spark, d)))
+    return R.class_sizes(_classes(spark, d))
 
 
 _FIRST = "f AS (SELECT src AS v, arg_min(dst, o) AS succ FROM arcs GROUP BY src)"

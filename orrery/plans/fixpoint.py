@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -51,8 +52,8 @@ def settle(state: DataFrame, step: Callable[[DataFrame], DataFrame], key: str, v
     """Repeats step on a (key, value) table until no value changes."""
     state = saved(state)
     while True:
-        after = saved(step(state).select(key, value))
-        moved = after.join(state.select(key, state[value].alias("_old")), key).filter(f"not ({value} <=> _old)")
-        state = after
-        if moved.isEmpty():
+        old = state.select(key, F.col(value).alias("_old"))
+        after = saved(step(state).select(key, value).join(old, key).select(key, value, (~F.col(value).eqNullSafe(F.col("_old"))).alias("_moved")))
+        state = after.select(key, value)
+        if after.filter("_moved").isEmpty():
             return state

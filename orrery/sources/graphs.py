@@ -68,12 +68,12 @@ def order_arcs(spark, sf_dir: str) -> DataFrame:
 
 
 def layered_arcs(spark, sf_dir: str) -> DataFrame:
-    """Every order as an arc (e, src, dst) from its customer: back to the first of the customer's block of seven, one or
-    two on, or some way on, by the order's key. Blocks are components or parts of some; between them there is no way back."""
+    """Every order as an arc (e, src, dst) from its customer: back to the first of the customer's block (an eighth of all
+    customers), one or two on, or some way on, by the order's key. Components lie inside blocks; between these there is no way back."""
     orders, customers = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
     n = customers.agg(F.count("*").alias("n"))
     o, src, last = F.col("o_orderkey"), F.col("o_custkey"), F.col("n") - 1
-    dst = F.when(o % 4 == 0, src - src % 7).when(o % 4 == 1, F.least(src + 1 + F.floor(o / 4) % 2, last)).otherwise(F.least(src + 1 + o * 7919 % F.greatest(F.floor(F.col("n") / 10), F.lit(1)), last))
+    dst = F.when(o % 4 == 0, src - src % F.greatest(F.floor(F.col("n") / 8), F.lit(1))).when(o % 4 == 1, F.least(src + 1 + F.floor(o / 4) % 2, last)).otherwise(F.least(src + 1 + o * 7919 % F.greatest(F.floor(F.col("n") / 10), F.lit(1)), last))
     return orders.crossJoin(F.broadcast(n)).select(o.alias("e"), src.alias("src"), dst.alias("dst"))
 
 
