@@ -219,7 +219,7 @@ def parity_emptiness(spark, d):
 
 
 def _attractor_sql(target: str, player: str) -> str:
-    return f"""WITH RECURSIVE {_LAYERS}, st(i, r, n) AS (
+    return f"""WITH RECURSIVE {_GRAPH}, st(i, r, n) AS (
       SELECT 0, list(v), count(*) FROM v WHERE {target}
       UNION ALL
       SELECT i + 1, nr, len(nr) FROM (SELECT i, n, (SELECT list(DISTINCT x) FROM (SELECT unnest(st.r) AS x UNION ALL
@@ -235,13 +235,13 @@ _UNSAFE = "(balance < -600 OR v NOT IN (SELECT src FROM u))"
 @_query(f"{_attractor_sql(_TARGET, 'Eve')} SELECT v FROM reg")
 def attractor_region(spark, d):
     arena = S.customer_arena(spark, d)
-    return games.attractor(arena, _layers(spark, d), arena.filter(_TARGET), "Eve").select("v")
+    return games.attractor(arena, _arcs(spark, d), arena.filter(_TARGET), "Eve").select("v")
 
 
 @_query(f"{_attractor_sql(_TARGET, 'Eve')} SELECT v, true AS wins FROM reg")
 def reach_strategy_wins(spark, d):
     """Where the synthesised strategy wins against every opponent: the whole region, if it is right."""
-    arena, arcs = S.customer_arena(spark, d), _layers(spark, d)
+    arena, arcs = S.customer_arena(spark, d), _arcs(spark, d)
     region = saved(games.attractor(arena, arcs, arena.filter(_TARGET), "Eve"))
     strategy = saved(games.attractor_strategy(arena, arcs, region, "Eve"))
     return games.verify_reach_strategy(arena, arcs, strategy, arena.filter(_TARGET), "Eve").withColumn("wins", F.lit(True))
@@ -250,17 +250,17 @@ def reach_strategy_wins(spark, d):
 @_query(f"{_attractor_sql(_UNSAFE, 'Adam')} SELECT v FROM v WHERE v NOT IN (SELECT v FROM reg)")
 def safety_region(spark, d):
     arena = S.customer_arena(spark, d)
-    return games.safety_region(arena, _layers(spark, d), arena.filter("not balance < -600"), "Eve")
+    return games.safety_region(arena, _arcs(spark, d), arena.filter("not balance < -600"), "Eve")
 
 
 @_query(f"{_attractor_sql(_UNSAFE, 'Adam')}, w AS (SELECT v FROM v WHERE v NOT IN (SELECT v FROM reg)) SELECT src AS v, arg_min(dst, o) AS succ FROM u JOIN v ON v.v = src WHERE owner = 'Eve' AND src IN (SELECT v FROM w) AND dst IN (SELECT v FROM w) GROUP BY src")
 def safety_strategy(spark, d):
-    arena, arcs = S.customer_arena(spark, d), _layers(spark, d)
+    arena, arcs = S.customer_arena(spark, d), _arcs(spark, d)
     region = saved(games.safety_region(arena, arcs, arena.filter("not balance < -600"), "Eve"))
     return games.safety_strategy(arena, arcs, region, "Eve")
 
 
-_BUCHI = f"""WITH RECURSIVE {_LAYERS}, st(i, phase, c, r) AS (
+_BUCHI = f"""WITH RECURSIVE {_GRAPH}, st(i, phase, c, r) AS (
   SELECT 0, 0, (SELECT list(v) FROM v), (SELECT list(v) FROM v WHERE balance > 5000 AND v IN (SELECT src FROM u))
   UNION ALL
   SELECT i + 1,
@@ -278,7 +278,7 @@ SELECT unnest(c) AS v FROM (SELECT c FROM st ORDER BY i DESC LIMIT 1)"""
 @_query(_BUCHI)
 def buchi_region(spark, d):
     arena = S.customer_arena(spark, d)
-    return games.buchi_region(arena, _layers(spark, d), arena.filter("balance > 5000"), "Eve")
+    return games.buchi_region(arena, _arcs(spark, d), arena.filter("balance > 5000"), "Eve")
 
 
 
