@@ -23,9 +23,12 @@ NO_ID = -(1 << 63)
 
 
 def sharded(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(id, text, shard): shards of about SHARD_BYTES text, by a hash of id and length; null ids become NO_ID."""
+    """(id, text, shard): shards of about SHARD_BYTES text, by a hash of id and length; null ids become NO_ID, and rows
+    without an id are dealt by their place."""
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    shard = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.length(F.col(f"`{text}`"))), F.lit(1 + size // SHARD_BYTES)).cast("int")
+    deal = F.xxhash64(F.col(f"`{key}`"), F.length(F.col(f"`{text}`")))
+    lost = F.xxhash64(F.length(F.col(f"`{text}`")), F.monotonically_increasing_id())
+    shard = F.pmod(F.when(F.col(f"`{key}`").isNull(), lost).otherwise(deal), F.lit(1 + size // SHARD_BYTES)).cast("int")
     return docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"), shard.alias("shard"))
 
 

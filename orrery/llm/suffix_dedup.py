@@ -30,17 +30,21 @@ from orrery.llm.storage import written
 from orrery.plans.skew import unique_join
 
 MIN_WORDS, PHRASE = 50, 8
-_SUFFIX = "hash long, after binary, before binary, id long, position int, partner long"
+_SUFFIX = "hash long, after binary, before binary, id long, line long, position int, partner long"
 _MATCH = f"{_SUFFIX}, left int, right int, edge boolean"
-_FIELDS = ["hash", "after", "before", "id", "position"]
+_FIELDS = ["hash", "after", "before", "id", "line", "position"]
+#: What tells a suffix apart.
+_PLACE = ["hash", "id", "line", "position"]
 #: Bytes of a word's keyed hash in a suffix.
 WORD = 6
 
 
 def _copies(rows: DataFrame) -> DataFrame:
-    """(shard, name, first, last) of texts that are listed more than once: the least and the greatest id, by digest."""
+    """(shard, name, first, home, last) of texts that are listed more than once, by digest: the least and the greatest id,
+    and a shard that has the least."""
     named = written(rows.filter("text is not null").select("id", "shard", F.unhex(F.sha2("text", 256)).alias("name")), "names")
-    groups = named.groupBy("name").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    groups = named.groupBy("name").agg(F.min(F.struct("id", "shard")).alias("least"), F.max("id").alias("last"), F.count("*").alias("n")).filter("n > 1")
+    groups = groups.select("name", F.col("least.id").alias("first"), F.col("least.shard").alias("home"), "last")
     return unique_join(named.select("shard", "name").distinct(), groups, "name")
 
 
@@ -48,26 +52,33 @@ def _suffixes(rows: DataFrame, anchors: DataFrame, min_words: int, phrase: int,
     """Suffixes at recurring anchors: words after (and at) and before each, as WORD-byte hashes; before is reversed.
     A text's edge is random words.
 
-    Of equal texts only those under the least id have suffixes. All of them, if long enough, give a row without a hash
-    that holds their number of words and another text's id."""
+    Of equal texts only one under the least id has suffixes. All of them, if long enough, give a row without a hash
+    that holds their number of words and another text's id. line is a digest of the text, so that different texts of one
+    id, or without an id, are told apart."""
     reach = min_words - phrase
 
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
         recurring = np.sort(right.column("hash").drop_null().to_numpy().view(np.uint64))
         copies = right.filter(right.column("name").is_valid())
-        copies = dict(zip(copies.column("name").to_pylist(), zip(copies.column("first").to_pylist(), copies.column("last").to_pylist(), strict=True), strict=True))
+        copies = dict(zip(copies.column("name").to_pylist(), zip(*(copies.column(c).to_pylist() for c in ("first", "home", "last")), strict=True), strict=True))
         out: list[tuple] = []
+        begun = set()
         if (len(recurring) or copies) and left.num_rows:
             left = left.combine_chunks()
-            names, text = left.column("id").to_numpy(), left.column("text")
+            names, text, here = left.column("id").to_numpy(), left.column("text"), left.column("shard")[0].as_py()
             words = K.words_of(text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text, K.NOT_SPACE, seed=seed)
             for i, own in K.per_doc(words):
                 if len(own) < min_words:
                     continue
-                same = copies.get(hashlib.sha256(text[i].as_py().encode()).digest()) if copies else None
+                digest = hashlib.sha256(text[i].as_py().encode()).digest()
+                line = int.from_bytes(digest[:8], "big", signed=True)
+                same = copies.get(digest) if copies else None
                 if same:
-                    out.append((None, None, None, int(names[i]), len(own), same[1] if names[i] == same[0] else same[0]))
-                if not len(recurring) or same and names[i] != same[0]:
+                    out.append((None, None, None, int(names[i]), line, len(own), same[2] if names[i] == same[0] else same[0]))
+                    if (names[i], here) != same[:2] or digest in begun:
+                        continue
+                    begun.add(digest)
+                if not len(recurring):
                     continue
                 hashes = K.grams(own, phrase)
                 _, at = K.minimisers(hashes, min_words - phrase + 1)
@@ -79,14 +90,14 @@ def _suffixes(rows: DataFrame, anchors: DataFrame, min_words: int, phrase: int,
                 padded = padded.view(np.uint8).reshape(-1, 8)[:, :WORD]
                 for p in at.tolist():
                     q = p + reach
-                    out.append((int(hashes[p].view(np.int64)), padded[q : q + min_words].tobytes(), padded[q - reach : q][::-1].tobytes(), int(names[i]), p, None))
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
+                    out.append((int(hashes[p].view(np.int64)), padded[q : q + min_words].tobytes(), padded[q - reach : q][::-1].tobytes(), int(names[i]), line, p, None))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*_FIELDS, "partner"])
 
     none = F.lit(None)
-    told = anchors.select("shard", "hash", none.cast("binary").alias("name"), none.cast("long").alias("first"), none.cast("long").alias("last"))
-    told = told.unionByName(_copies(rows).select("shard", none.cast("long").alias("hash"), "name", "first", "last"))
+    told = anchors.select("shard", "hash", none.cast("binary").alias("name"), none.cast("long").alias("first"), none.cast("int").alias("home"), none.cast("long").alias("last"))
+    told = told.unionByName(_copies(rows).select("shard", none.cast("long").alias("hash"), "name", "first", "home", "last"))
     return rows.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(shard, _SUFFIX)
 
 
@@ -103,7 +114,7 @@ def _common(a: np.ndarray) -> np.ndarray:
 def _compare(batches: Iterator[pa.RecordBatch], min_words: int, phrase: int) -> Iterator[pa.RecordBatch]:
     """Neighbours in the given order with the same anchor, both ways, and the ends of the order as edges."""
     reach = min_words - phrase
-    last = None
+    last, seen = None, 0
     names = [*_FIELDS, "partner", "left", "right", "edge"]
 
     def edge(row: pa.RecordBatch) -> pa.RecordBatch:
@@ -118,6 +129,7 @@ def _compare(batches: Iterator[pa.RecordBatch], min_words: int, phrase: int) ->
             yield edge(batch.slice(0, 1))
         else:
             batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        seen += batch.num_rows
         last = batch.slice(batch.num_rows - 1, 1)
         right, left = _common(_table(batch, "after", min_words)), _common(_table(batch, "before", reach))
         key, name = batch.column("hash").to_numpy(), batch.column("id").to_numpy()
@@ -125,8 +137,9 @@ def _compare(batches: Iterator[pa.RecordBatch], min_words: int, phrase: int) ->
         for mine, other in ((hit, hit + 1), (hit + 1, hit)):
             of = batch.take(pa.array(mine))
             blank = pa.array([None] * len(mine), pa.binary())
-            yield pa.RecordBatch.from_arrays([of.column("hash"), blank, blank, of.column("id"), of.column("position"), pa.array(name[other]), pa.array(left[hit].astype(np.int32)), pa.array(right[hit].astype(np.int32)), pa.array(np.zeros(len(mine), bool))], names)
-    if last is not None:
+            yield pa.RecordBatch.from_arrays([of.column("hash"), blank, blank, of.column("id"), of.column("line"), of.column("position"), pa.array(name[other]), pa.array(left[hit].astype(np.int32)), pa.array(right[hit].astype(np.int32)), pa.array(np.zeros(len(mine), bool))], names)
+    # A single row is both ends of the order, once.
+    if seen > 1:
         yield edge(last)
 
 
@@ -137,24 +150,24 @@ def _neighbours(suffixes: DataFrame, order: list[str], min_words: int, phrase: i
     inner = written(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _MATCH), "matches")
     # Two rows a partition: the borders between partitions, compared in one small task.
     edges = inner.filter("edge").select(*_FIELDS).coalesce(1).sortWithinPartitions(*order)
-    return inner.filter("not edge").unionByName(edges.mapInArrow(run, _MATCH).filter("not edge")).select("hash", "id", "position", "partner", "left", "right")
+    return inner.filter("not edge").unionByName(edges.mapInArrow(run, _MATCH).filter("not edge")).select(*_PLACE, "partner", "left", "right")
 
 
 def _gaps(by_after: DataFrame, by_before: DataFrame, min_words: int) -> DataFrame:
     """(hash, offsets): anchors where some suffix may have windows whose partners are no neighbours; bit o of offsets
     tells of windows that begin o words before the anchor."""
-    a = by_after.groupBy("hash", "id", "position").agg(F.max(F.struct("right", "left")).alias("a"))
-    b = by_before.groupBy("hash", "id", "position").agg(F.max(F.struct("left", "right")).alias("b"))
+    a = by_after.groupBy(*_PLACE).agg(F.max(F.struct("right", "left")).alias("a"))
+    b = by_before.groupBy(*_PLACE).agg(F.max(F.struct("left", "right")).alias("b"))
     # The longest to the right covers windows from min_words - right to left words before; the other one likewise.
     low = F.greatest(F.col("a.left") + 1, F.lit(min_words) - F.col("a.right"))
     high = F.least(F.lit(min_words) - F.col("b.right") - 1, F.col("b.left"))
-    both = a.join(b, ["hash", "id", "position"]).select("hash", low.alias("low"), high.alias("high")).filter("low <= high")
+    both = a.join(b, _PLACE).select("hash", low.alias("low"), high.alias("high")).filter("low <= high")
     bits = F.expr("shiftleft(1L, high + 1) - shiftleft(1L, low)")
     return both.groupBy("hash").agg(F.bit_or(bits).alias("offsets"))
 
 
 def _whole_windows(suffixes: DataFrame, gaps: DataFrame, min_words: int, phrase: int, seed: int) -> DataFrame:
-    """(id, start): windows of the anchors in gaps that occur at least twice, compared as wholes by 128 bits."""
+    """(id, line, start): windows of the anchors in gaps that occur at least twice, compared as wholes by 128 bits."""
     reach = min_words - phrase
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +189,14 @@ def _whole_windows(suffixes: DataFrame, gaps: DataFrame, min_words: int, phrase:
             at, offset, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
             _, code = np.unique(one ^ K.mix(two), return_inverse=True)
             index, own, salt, n = told_apart(code, np.arange(len(at)))
-            name = batch.column("id").take(pa.array(at[index]))
+            name, line = (batch.column(c).take(pa.array(at[index])) for c in ("id", "line"))
             start = batch.column("position").to_numpy()[at[index]] - offset[index]
             # Rows that only count for others have no document.
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(one[index])), pa.array(K.signed(two[index])), name, pa.array(start.astype(np.int32)), pa.array(own >= 0), pa.array(np.where(salt > 0, np.arange(len(salt)) + 1, 0).astype(np.int32)), pa.array(n)], ["one", "two", "id", "start", "real", "salt", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(one[index])), pa.array(K.signed(two[index])), name, line, pa.array(start.astype(np.int32)), pa.array(own >= 0), pa.array(np.where(salt > 0, np.arange(len(salt)) + 1, 0).astype(np.int32)), pa.array(n)], ["one", "two", "id", "line", "start", "real", "salt", "n"])
 
-    rows = unique_join(suffixes, gaps, "hash").mapInArrow(run, "one long, two long, id long, start int, real boolean, salt int, n int")
+    rows = unique_join(suffixes, gaps, "hash").mapInArrow(run, "one long, two long, id long, line long, start int, real boolean, salt int, n int")
     total = F.sum("n").over(W.partitionBy("one", "two", "salt"))
-    return rows.withColumn("total", total).filter("total > 1 and real").select("id", "start")
+    return rows.withColumn("total", total).filter("total > 1 and real").select("id", "line", "start")
 
 
 def _wide(table: np.ndarray) -> np.ndarray:
@@ -196,7 +209,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, phrase: int =
     """(doc_id, start, stop, partners): passages, as word positions, of at least min_words words that some other place
     has as well, with the documents they were matched with. Words are runs outside blanks, unchanged.
 
-    Null and empty texts have none; rows that repeat an id or share a null id are compared like other documents.
+    Null and empty texts have none. Documents are told apart by id and text: different texts of one id, or without an id,
+    are documents of their own; rows that repeat both are one document, listed twice, whose whole text is a passage with
+    itself as a partner. A partner without an id is null.
     A passage that recurs within its own document names that document as its partner; partners are the neighbours in
     the two orders, at least one wherever a neighbour shares the passage. Words are compared by keyed hashes of 48 bits.
     Extra columns are left aside; an empty table gives no passage.
@@ -206,24 +221,22 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, phrase: int =
     rows = sharded(docs, text, key)
     seed = K.draw_seed()
     every = written(_suffixes(rows, recurring_anchors(rows, phrase, min_words, seed), min_words, phrase, seed), "suffixes")
-    copied = every.filter("hash is null").select("id", F.lit(0).alias("start"), F.col("position").alias("stop"), "partner")
+    copied = every.filter("hash is null").select("id", "line", F.lit(0).alias("start"), F.col("position").alias("stop"), "partner").distinct()
     suffixes = every.filter("hash is not null").select(*_FIELDS)
-    by_after = _neighbours(suffixes, ["hash", "after", "before", "id", "position"], min_words, phrase)
-    by_before = _neighbours(suffixes, ["hash", "before", "after", "id", "position"], min_words, phrase)
+    by_after = _neighbours(suffixes, ["hash", "after", "before", "id", "line", "position"], min_words, phrase)
+    by_before = _neighbours(suffixes, ["hash", "before", "after", "id", "line", "position"], min_words, phrase)
     gaps = written(_gaps(by_after, by_before, min_words), "gaps")
     found = by_after.unionByName(by_before).filter(F.col("left") + F.col("right") >= min_words)
-    found = found.select("id", (F.col("position") - F.col("left")).alias("start"), (F.col("position") + F.col("right")).alias("stop"), "partner")
+    found = found.select("id", "line", (F.col("position") - F.col("left")).alias("start"), (F.col("position") + F.col("right")).alias("stop"), "partner")
     whole = _whole_windows(suffixes, gaps, min_words, phrase, K.draw_seed() >> 1)
-    found = found.unionByName(copied).unionByName(whole.select("id", "start", (F.col("start") + min_words).alias("stop"), F.lit(None).cast("long").alias("partner")))
-    merged = F.aggregate(
-        F.array_sort(F.collect_set(F.struct("start", "stop"))),
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["stop"] >= x["start"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["start"].alias("start"), F.greatest(F.element_at(a, -1)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(a, F.array(x))),
-    )
-    by_doc = found.groupBy("id").agg(merged.alias("passages"), F.collect_set(F.when(F.col("partner").isNotNull(), F.struct("start", "partner"))).alias("with"))
-    each = by_doc.select("id", F.explode("passages").alias("p"), "with")
-    partners = F.array_sort(F.array_distinct(F.transform(F.filter("with", lambda w: (w["start"] >= F.col("p.start")) & (w["start"] < F.col("p.stop"))), lambda w: F.nullif(w["partner"], F.lit(NO_ID)))))
-    return each.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("p.start").cast("long").alias("start"), F.col("p.stop").cast("long").alias("stop"), partners.alias("partners"))
+    found = found.unionByName(copied).unionByName(whole.select("id", "line", "start", (F.col("start") + min_words).alias("stop"), F.lit(None).cast("long").alias("partner")))
+    # Passages that overlap or touch are one: a new one begins behind all that came before in its text.
+    order = W.partitionBy("id", "line").orderBy("start", "stop")
+    behind = F.max("stop").over(order.rowsBetween(W.unboundedPreceding, -1))
+    found = found.withColumn("new", F.coalesce((F.col("start") > behind).cast("int"), F.lit(1)))
+    each = found.withColumn("passage", F.sum("new").over(order)).groupBy("id", "line", "passage").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.collect_set("partner")).alias("with"))
+    partners = F.transform("with", lambda w: F.nullif(w, F.lit(NO_ID)))
+    return each.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.col("start").cast("long"), F.col("stop").cast("long"), partners.alias("partners"))
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:

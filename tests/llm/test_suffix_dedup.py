@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from orrery.llm import suffix_dedup
 
@@ -35,3 +36,35 @@ def test_head_variants_before_a_hot_body(spark):
         body, heads = fresh(120), [fresh(30) for _ in range(5)]
         texts += [f"{fresh(20)} {heads[i % 5]} {body} {fresh(15)}" for i in range(20)]
     assert found(spark, texts) == covered(texts)
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 200])
+def test_rows_without_an_id_and_of_one_id(spark, partitions):
+    """Different texts of one id, or without an id, are documents of their own, however few suffixes a partition has."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: " ".join(f"u{rng.integers(1 << 40)}" for _ in range(n))
+    a, b, c = fresh(60), fresh(60), fresh(60)
+    rows = [(None, f"{a} {fresh(9)}"), (None, f"{fresh(60)} {b}"), (4, f"{a} {c}"), (4, f"{fresh(7)} {b}"), (5, f"x {c}"), (6, fresh(70)), (7, b), (7, b), (None, None), (8, "")]
+    rows += [(None, c), (None, c)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        frame = spark.createDataFrame([(i, t, "line", 3) for i, t in rows], "doc_id long, text string, line string, shard int")
+        got = sorted(((r.doc_id, r.start, r.stop, r.partners) for r in suffix_dedup.repeated_passages(frame).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    spans = sorted(((d, s, e) for d, s, e, _ in got), key=str)
+    assert spans == sorted([(None, 0, 60), (None, 60, 120), (4, 0, 120), (4, 7, 67), (5, 1, 61), (7, 0, 60), (None, 0, 60)], key=str)
+    with_ = {(d, s, e): set(p) for d, s, e, p in got if d is not None}
+    assert with_[4, 0, 120] <= {None, 5} and with_[5, 1, 61] <= {None, 4} and 7 in with_[7, 0, 60]
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 200])
+def test_two_suffixes_that_are_no_match(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        tail = " ".join(f"t{i}" for i in range(49))
+        assert suffix_dedup.repeated_passages(spark.createDataFrame([(0, f"xa {tail}"), (1, f"xb {tail}")], "doc_id long, text string")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
