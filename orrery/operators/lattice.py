@@ -132,3 +132,109 @@ def meet_all(rows: DataFrame, key: str, group: str, element: str) -> DataFrame:
 def join_all(rows: DataFrame, key: str, element: str) -> DataFrame:
     """(key, element): elements that some group of a key holds."""
     return rows.select(key, element).distinct()
+
+
+# Packed sets: arrays of 64-bit words, bit i of a set in word i / 64. A shorter array stands for zeros behind its end.
+
+
+def _shifted(name: str, x: Column, by: Column) -> Column:
+    return F.call_function(name, x, by.cast("int"))
+
+
+def _one(at: Column) -> Column:
+    return _shifted("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)))
+
+
+def _padded(a: Column, b: Column, f) -> Column:
+    zero = F.lit(0).cast("long")
+    return F.zip_with(a, b, lambda x, y: f(F.coalesce(x, zero), F.coalesce(y, zero)))
+
+
+def words_for(n: int) -> int:
+    """Words that hold n bits."""
+    return (n + 63) // 64
+
+
+def packed(rows: DataFrame, key: str, bit: str, n: int, name: str = "words") -> DataFrame:
+    """(key, name): the set of each key's bits as words for n of them. Bits are or-ed into words before they are sent; null
+    bits and those outside 0 .. n - 1 are left out, a key that has no others has the empty set."""
+    inside = F.col(bit).between(0, n - 1)
+    place = F.when(inside, F.col(bit)).cast("long")
+    each = rows.select(key, F.floor(place / 64).alias("_word"), _one(place).alias("_bit")).groupBy(key, "_word").agg(F.bit_or("_bit").alias("_bits"))
+    return _listed_words(each, key, words_for(n), name)
+
+
+def _listed_words(each: DataFrame, key: str, size: int, name: str) -> DataFrame:
+    found = F.map_from_entries(F.collect_list(F.when(F.col("_word").isNotNull(), F.struct("_word", "_bits"))))
+    at = F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")) if size else F.array().cast("array<bigint>")
+    return each.groupBy(key).agg(found.alias("_map")).select(key, F.transform(at, lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0).cast("long"))).alias(name))
+
+
+def join_words(a: Column, b: Column) -> Column:
+    return _padded(a, b, lambda x, y: x.bitwiseOR(y))
+
+
+def meet_words(a: Column, b: Column) -> Column:
+    return _padded(a, b, lambda x, y: x.bitwiseAND(y))
+
+
+def minus_words(a: Column, b: Column) -> Column:
+    return _padded(a, b, lambda x, y: x.bitwiseAND(F.bitwise_not(y)))
+
+
+def complement_words(a: Column, n: int) -> Column:
+    """In {0 .. n - 1}: bits of the last word behind n stay zero."""
+    last = (1 << n % 64) - 1 if n % 64 else -1
+    return F.transform(a, lambda x, i: F.bitwise_not(x).bitwiseAND(F.when(i == words_for(n) - 1, F.lit(last).cast("long")).otherwise(F.lit(-1).cast("long"))))
+
+
+def count_words(a: Column) -> Column:
+    """Ones of the set."""
+    return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + F.bit_count(x))
+
+
+def no_words(a: Column) -> Column:
+    """Whether the set is empty."""
+    return F.forall(a, lambda x: x == 0)
+
+
+def words_below(a: Column, b: Column) -> Column:
+    """Whether b holds all of a."""
+    return no_words(minus_words(a, b))
+
+
+def compare_words(a: Column, b: Column) -> Column:
+    """-1, 0, 1, or null if neither holds the other."""
+    below, above = words_below(a, b), words_below(b, a)
+    return F.when(below & above, 0).when(below, -1).when(above, 1)
+
+
+def word_bit(a: Column, i: Column) -> Column:
+    """Whether bit i is one; false behind the end, null for negative places."""
+    word = F.coalesce(F.get(a, F.floor(i / 64).cast("int")), F.lit(0).cast("long"))
+    return F.when(i >= 0, word.bitwiseAND(_one(i)) != 0)
+
+
+def set_word_bit(a: Column, i: Column, value: Column) -> Column:
+    """The set with bit i as given; words are added up to it, so growable vectors grow."""
+    at = F.floor(i / 64).cast("int")
+    long = F.concat(a, F.array_repeat(F.lit(0).cast("long"), F.greatest(at + 1 - F.size(a), F.lit(0))))
+    return F.transform(long, lambda x, k: F.when(k != at, x).when(value, x.bitwiseOR(_one(i))).otherwise(x.bitwiseAND(F.bitwise_not(_one(i)))))
+
+
+def places_of(a: Column) -> Column:
+    """The set's bits in order."""
+    bits = F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))
+    return F.flatten(F.transform(a, lambda x, i: F.transform(F.filter(bits, lambda j: x.bitwiseAND(_one(j)) != 0), lambda j: i.cast("long") * 64 + j)))
+
+
+def join_packed(rows: DataFrame, key: str, words: str, size: int) -> DataFrame:
+    """(key, words): the union of each key's sets of `size` words, or-ed word by word before it is sent."""
+    each = rows.select(key, F.posexplode(words).alias("_word", "_bits")).groupBy(key, F.col("_word").cast("long").alias("_word")).agg(F.bit_or("_bits").alias("_bits"))
+    return _listed_words(each, key, size, words)
+
+
+def meet_packed(rows: DataFrame, key: str, words: str, size: int) -> DataFrame:
+    """(key, words): the intersection of each key's sets of `size` words."""
+    each = rows.select(key, F.posexplode(words).alias("_word", "_bits")).groupBy(key, F.col("_word").cast("long").alias("_word")).agg(F.bit_and("_bits").alias("_bits"))
+    return _listed_words(each, key, size, words)

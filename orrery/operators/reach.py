@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.plans.fixpoint import grow, saved, settle
 from orrery.plans.skew import unique_join
+from orrery.sources.graphs import numbered
 
 
 def reach(arcs: DataFrame, start: DataFrame) -> DataFrame:
@@ -189,15 +190,69 @@ def buchi_nonempty(arcs: DataFrame, start: DataFrame, accepting: DataFrame) -> D
 
 def parity_nonempty(arcs: DataFrame, start: DataFrame, priorities: DataFrame, least: bool = True, even: bool = True) -> DataFrame:
     """(priority, class): reachable recurrent components, among states of priorities no stronger than an accepted
-    one, that hold that priority. States without priority (v, priority) lie on no accepted cycle."""
+    one, that hold that priority. States without priority (v, priority) lie on no accepted cycle.
+
+    The graphs of all accepted priorities are laid side by side and their components found in one go, so rounds do
+    not grow with their number. A state is listed once for each accepted priority that is no weaker than its own."""
     there = saved(reach(arcs, start).select("v"))
-    ranked = saved(priorities.join(there, "v", "left_semi"))
-    levels = sorted(r[0] for r in ranked.select("priority").distinct().collect() if r[0] % 2 == (0 if even else 1))
-    found = []
-    for k in levels:
-        weak = saved(ranked.filter(F.col("priority") >= k if least else F.col("priority") <= k))
-        inside = saved(arcs.join(weak.select(F.col("v").alias("src")), "src", "left_semi").join(weak.select(F.col("v").alias("dst")), "dst", "left_semi"))
-        classes = saved(components(weak.select("v"), inside))
-        live = recurrent(classes, inside).filter("recurrent").select("class")
-        found.append(classes.join(weak.filter(F.col("priority") == k).select("v"), "v", "left_semi").join(live, "class", "left_semi").select(F.lit(k).cast("long").alias("priority"), "class").distinct())
-    return _union(found) if found else there.filter("false").select(F.lit(0).cast("long").alias("priority"), F.col("v").alias("class"))
+    ranked = saved(priorities.filter("priority is not null").join(there, "v", "left_semi"))
+    levels = [r[0] for r in ranked.filter(F.abs("priority") % 2 == (0 if even else 1)).select("priority").distinct().orderBy("priority").collect()]
+    if not levels:
+        return there.filter("false").select(F.lit(0).cast("long").alias("priority"), F.col("v").alias("class"))
+    k = len(levels)
+    listed = F.array(*[F.struct(F.lit(i).cast("long").alias("layer"), F.lit(p).cast("long").alias("accepted")) for i, p in enumerate(levels)])
+    weak = F.filter(listed, lambda x: (x["accepted"] <= F.col("priority")) if least else (x["accepted"] >= F.col("priority")))
+    laid = saved(ranked.withColumn("x", F.explode(weak)).select("v", "priority", "x.layer", "x.accepted", (F.col("v") * k + F.col("x.layer")).alias("at")))
+    ends = laid.select("v", "layer", "at")
+    a, b = ends.withColumnsRenamed({"v": "src", "at": "a"}), ends.withColumnsRenamed({"v": "dst", "at": "b"})
+    inside = saved(arcs.select("src", "dst").distinct().join(a, "src").join(b, ["dst", "layer"]).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    classes = saved(components(laid.select(F.col("at").alias("v")), inside))
+    live = recurrent(classes, inside).filter("recurrent").select("class")
+    holders = laid.filter("priority = accepted").select(F.col("at").alias("v"), F.col("accepted").alias("priority"))
+    found = classes.join(holders, "v").join(live, "class", "left_semi")
+    return found.select("priority", F.expr(f"(class - pmod(class, {k})) div {k}").alias("class")).distinct()
+
+
+def class_order(classes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(class, height, number): height is the length of the longest way through other classes, and number counts the
+    classes by height, so every arc between classes goes from a greater number to a lesser one.
+
+    A class's height is the greatest over its successors of theirs and one. Each round settles classes all of whose
+    successors are settled. Where one successor is left open, the height is max(m, w + its height), and such functions are
+    composed by jumps of doubling length, so chains take rounds by the logarithm of their length; what remains then has
+    at least two open successors."""
+    a, b = classes.select(F.col("v").alias("src"), F.col("class").alias("a")), classes.select(F.col("v").alias("dst"), F.col("class").alias("b"))
+    open_ = saved(arcs.select("src", "dst").distinct().join(a, "src").join(b, "dst").filter("a <> b").select("a", "b", F.lit(1).cast("long").alias("w")).distinct())
+    left = saved(classes.select("class").distinct().select(F.col("class").alias("a"), F.lit(0).cast("long").alias("m")))
+    settled, chains = [], []
+    while not left.isEmpty():
+        ready = saved(left.join(open_.select("a"), "a", "left_anti"))
+        settled.append(ready.select(F.col("a").alias("class"), F.col("m").alias("height")))
+        left = left.join(ready.select("a"), "a", "left_anti")
+        known = open_.join(ready.select(F.col("a").alias("b"), F.col("m").alias("of")), "b")
+        raised = known.groupBy("a").agg(F.max(F.col("w") + F.col("of")).alias("up"))
+        left = saved(left.join(raised, "a", "left").select("a", F.greatest("m", F.coalesce("up", F.lit(0))).alias("m")))
+        open_ = saved(open_.join(ready.select(F.col("a").alias("b")), "b", "left_anti").groupBy("a", "b").agg(F.max("w").alias("w")))
+        single = open_.groupBy("a").agg(F.count("*").alias("n"), F.first("b").alias("b"), F.first("w").alias("w")).filter("n = 1")
+        jump = saved(single.join(left, "a").select("a", "b", "w", "m"))
+        if jump.isEmpty():
+            continue
+        own = jump.select(F.col("a").alias("b"))
+        while not jump.join(own, "b", "left_semi").isEmpty():
+            on = jump.select(F.col("a").alias("b"), F.col("b").alias("b2"), F.col("w").alias("w2"), F.col("m").alias("m2"))
+            further = jump.join(on, "b", "left").select("a", F.coalesce("b2", "b").alias("b"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"), F.greatest("m", F.when(F.col("b2").isNotNull(), F.col("w") + F.col("m2")).otherwise(F.col("m"))).alias("m"))
+            jump = saved(further)
+        chains.append(jump)
+        left = left.join(own.withColumnRenamed("b", "a"), "a", "left_anti")
+        into = open_.join(own.withColumnRenamed("b", "a"), "a", "left_anti").join(jump.select(F.col("a").alias("b"), F.col("b").alias("end"), F.col("w").alias("w2"), F.col("m").alias("m2")), "b", "left")
+        into = saved(into)
+        raised = into.filter("end is not null").groupBy("a").agg(F.max(F.col("w") + F.col("m2")).alias("up"))
+        left = saved(left.join(raised, "a", "left").select("a", F.greatest("m", F.coalesce("up", F.lit(0))).alias("m")))
+        open_ = saved(into.select("a", F.coalesce("end", "b").alias("b"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w")).groupBy("a", "b").agg(F.max("w").alias("w")))
+        if len(settled) > 8:
+            settled = [saved(_union(settled))]
+    heights = _union(settled) if settled else classes.select("class", F.lit(0).cast("long").alias("height"))
+    for jump in reversed(chains):
+        ends = heights.select(F.col("class").alias("b"), F.col("height").alias("of"))
+        heights = saved(heights.unionByName(jump.join(ends, "b").select(F.col("a").alias("class"), F.greatest("m", F.col("w") + F.col("of")).alias("height"))))
+    return numbered(heights, ["height", "class"], "number").select("class", "height", "number")

@@ -43,8 +43,9 @@ _kept: dict = {}
 
 
 def _classes(spark, d: str) -> DataFrame:
-    """Components of the layered graph, a table that the queries of one application share."""
-    key = spark.sparkContext.applicationId, d
+    """Components of the layered graph, a table that the queries of one application share while its files stay as they are."""
+    files = [spark.read.parquet(f"{d}/{t}.parquet").agg(F.max("_metadata.file_modification_time"), F.sum("_metadata.file_size"), F.count("*")).first() for t in ("orders", "customer")]
+    key = spark.sparkContext.applicationId, d, *map(tuple, files)
     if key not in _kept:
         _kept[key] = saved(R.components(S.customer_arena(spark, d), _layers(spark, d)))
     return _kept[key]
@@ -71,9 +72,9 @@ def numbered_multigraph(spark, d):
     return S.numbered_arcs(_supply(spark, d))
 
 
-@_query(f"WITH {_ARCS}, t AS (SELECT unnest(range(0, (SELECT max(greatest(src, dst)) FROM arcs) + 1)) AS v) SELECT v, (SELECT count(*) FROM arcs WHERE src = v) AS outgoing, (SELECT count(*) FROM arcs WHERE dst = v) AS incoming, (SELECT count(*) FROM arcs WHERE src = v AND dst = v) AS loops FROM t")
+@_query("WITH a AS (SELECT l_partkey AS src, l_suppkey AS dst FROM lineitem), t AS (SELECT unnest(range(0, (SELECT max(greatest(src, dst)) FROM a) + 1)) AS v), o AS (SELECT src AS v, count(*) AS n, count(*) FILTER (src = dst) AS loops FROM a GROUP BY src), i AS (SELECT dst AS v, count(*) AS n FROM a GROUP BY dst) SELECT v, coalesce(o.n, 0) AS outgoing, coalesce(i.n, 0) AS incoming, coalesce(loops, 0) AS loops FROM t LEFT JOIN o USING (v) LEFT JOIN i USING (v)")
 def degree_table(spark, d):
-    arcs = S.order_arcs(spark, d)
+    arcs = _supply(spark, d)
     return graph.degrees(S.vertex_range(arcs), arcs)
 
 
@@ -151,9 +152,11 @@ def bipartite_violations(spark, d):
     return graph.crossing_violations(S.order_arcs(spark, d).withColumnRenamed("o", "e"), sides)
 
 
-@_query(f"WITH {_GRAPH} SELECT v, v NOT IN (SELECT src FROM u UNION SELECT dst FROM u) AS feasible FROM v")
+@_query(f"WITH {_GRAPH}, a AS (SELECT * FROM u WHERE src % 10 <> 3 AND dst % 10 <> 3) SELECT v, v NOT IN (SELECT src FROM a UNION SELECT dst FROM a) AS feasible FROM v")
 def side_change_feasible(spark, d):
-    return graph.can_change_side(_arcs(spark, d), S.customer_arena(spark, d))
+    """In the graph without the arcs of every tenth customer, who stays as a vertex."""
+    arcs = _arcs(spark, d).filter("src % 10 <> 3 and dst % 10 <> 3")
+    return graph.can_change_side(arcs, S.customer_arena(spark, d))
 
 
 @_query(f"WITH {_GRAPH} SELECT dst AS v, count(*) AS n FROM u JOIN v ON v.v = src WHERE balance < 0 GROUP BY dst")
@@ -379,10 +382,10 @@ def set_lattice(spark, d):
     return _sets(spark, d).select("k", _listed(lattice.join_sets(a, b)).alias("joined"), _listed(lattice.meet_sets(a, b)).alias("met"), _listed(lattice.difference(a, b)).alias("minus"), lattice.is_subset(a, b).alias("below"), lattice.is_disjoint(a, b).alias("apart"), lattice.compare_sets(a, b).alias("compared"))
 
 
-@_query(f"WITH {_SETS} SELECT k, {_text('list_sort(list_distinct(a || [2]))')} AS more, {_text('list_filter(a, lambda y: y <> 2)')} AS less, list_contains(a, 2) AS held, len(a)::INT AS n, len(b) = 0 AS b_bottom, len(b) = 3 AS b_top FROM s")
+@_query(f"WITH {_SETS} SELECT k, {_text('list_sort(list_distinct(a || [2]))')} AS more, {_text('list_filter(a, lambda y: y <> 2)')} AS less, list_contains(a, 2) AS held, len(a)::INT AS n, len(list_intersect(a, b)) = 0 AS met_bottom, len(b) = 3 AS b_top FROM s")
 def set_membership(spark, d):
     a, b, two = F.col("a"), F.col("b"), F.lit(2).cast("long")
-    return _sets(spark, d).select("k", _listed(lattice.with_element(a, two)).alias("more"), _listed(lattice.without_element(a, two)).alias("less"), F.array_contains(a, 2).alias("held"), F.size(a).alias("n"), (b == lattice.bottom_of()).alias("b_bottom"), (b == lattice.top_of(F.lit(3))).alias("b_top"))
+    return _sets(spark, d).select("k", _listed(lattice.with_element(a, two)).alias("more"), _listed(lattice.without_element(a, two)).alias("less"), F.array_contains(a, 2).alias("held"), F.size(a).alias("n"), (lattice.meet_sets(a, b) == lattice.bottom_of()).alias("met_bottom"), (b == lattice.top_of(F.lit(3))).alias("b_top"))
 
 
 @_query(f"WITH {_SETS} SELECT k, {_text('list_filter(range(4), lambda y: NOT list_contains(a, y))')} AS complement, {_text('list_sort(list_distinct(a || b))')} AS joined, list_contains(a, 3) AS third, {_text('list_filter(a, lambda y: y <> 3)')} AS cleared FROM s")
@@ -426,9 +429,9 @@ def join_of_all(spark, d):
     return lattice.join_all(rows, "k", "e")
 
 
-@_query("WITH s AS (SELECT l_suppkey AS k, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_suppkey) SELECT k, (10 - n)::BIGINT AS zeros, n AS ones FROM s")
+@_query("WITH s AS (SELECT l_orderkey AS k, count(DISTINCT l_partkey % 10) AS n FROM lineitem GROUP BY l_orderkey) SELECT k, (10 - n)::BIGINT AS zeros, n AS ones FROM s")
 def bit_array_complement(spark, d):
-    bits = lattice.bit_sets(spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("k"), F.col("l_linenumber").cast("long").alias("bit")), "k", "bit")
+    bits = lattice.bit_sets(spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 10).alias("bit")), "k", "bit")
     return bits.select("k", F.size(lattice.complement(F.col("bits"), F.lit(10))).cast("long").alias("zeros"), F.size("bits").cast("long").alias("ones"))
 
 
@@ -499,15 +502,16 @@ def zone_close(spark, d):
     return _where_consistent(_zones(spark, d).withColumn("consistent", zones.is_consistent(F.col("zone"), 3)))
 
 
-@_query(f"WITH {_ZONE}, big AS (SELECT k, line, (ub >> 1) * 500 * 2 + 1 AS ub, (db >> 1) * 400 * 2 AS db, (lb >> 1) * 2 + 1 AS lb, (yb >> 1) * 200 * 2 + 1 AS yb FROM z WHERE (ub >> 1) * 500 <= 16383 AND (db >> 1) * 400 <= 16383), {_closed_sql(source='big')} SELECT k, line, beyond AS overflow, CASE WHEN NOT beyond THEN m00 END AS m00, CASE WHEN NOT beyond THEN m10 END AS m10 FROM c3")
+@_query(f"WITH {_ZONE}, big AS (SELECT k, line, (ub >> 1) * 500 * 2 + 1 AS ub, (db >> 1) * 400 * 2 AS db, (lb >> 1) * 2 + 1 AS lb, (yb >> 1) * 200 * 2 + 1 AS yb FROM z WHERE (ub >> 1) * 500 <= 16383 AND (db >> 1) * 400 <= 16383), {_closed_sql(source='big')} SELECT k, line, beyond AS overflow, CASE WHEN NOT beyond THEN m00 END AS m00, CASE WHEN NOT beyond THEN m10 END AS m10 FROM c3 UNION ALL SELECT k, line, true, NULL, NULL FROM z WHERE (ub >> 1) * 500 > 16383 OR (db >> 1) * 400 > 16383")
 def zone_overflow(spark, d):
-    """Bounds so large that some sums leave their range; line items whose own bounds would leave it have no zone."""
+    """Bounds so large that some sums leave their range; line items whose own bounds leave it have no zone."""
     z = _bounds(spark, d)
     large = lambda c, by: zones.relation(zones.bound(F.col(c)) * by, zones.is_weak(F.col(c)))
-    z = z.select("k", "line", large("ub", 500).alias("ub"), large("db", 400).alias("db"), "lb", large("yb", 200).alias("yb")).filter("ub is not null and db is not null")
+    z = z.select("k", "line", large("ub", 500).alias("ub"), large("db", 400).alias("db"), "lb", large("yb", 200).alias("yb"))
+    lost = F.col("ub").isNull() | F.col("db").isNull()
     zone = zones.tighten_each(zones.new_zone(3), {(1, 0): F.col("ub"), (1, 2): F.col("db"), (0, 2): F.col("lb"), (2, 0): F.col("yb")}, 3)
-    z = zones.closed(z.select("k", "line", zone.alias("zone")), 3)
-    return z.select("k", "line", "overflow", *_cells(F.col("zone"))[0:1], F.col("zone").getItem(3).cast("int").alias("m10"))
+    z = zones.closed(z.select("k", "line", lost.alias("lost"), F.when(~lost, zone).alias("zone")), 3)
+    return z.select("k", "line", (F.col("overflow") | F.col("lost")).alias("overflow"), *_cells(F.col("zone"))[0:1], F.col("zone").getItem(3).cast("int").alias("m10"))
 
 
 @_query(f"{_CLOSED} SELECT k, line, m00, m01, m02, 32767 AS m10, m11, m12, 32767 AS m20, m21, m22 FROM c3 WHERE {_OK}")
@@ -581,63 +585,6 @@ def formula_normal_forms(spark, d):
     return part.select("k", f.column().alias("given"), B.nnf(f).column().alias("nnf"), B.cnf(f).column().alias("cnf"), B.dnf(f).column().alias("dnf"))
 
 
-#: Normal forms worked out by hand: formula, form, and the form's text or one of its clauses.
-_FORMS = """
-not-or|given|!(a | !b)
-not-or|nnf|!a & b
-not-or|cnf|!a
-not-or|cnf|b
-not-or|dnf|!a & b
-and-or|given|(a & b) | c
-and-or|nnf|(a & b) | c
-and-or|cnf|a | c
-and-or|cnf|b | c
-and-or|dnf|a & b
-and-or|dnf|c
-not-deep|given|!((a & b) | (c & !a))
-not-deep|nnf|(!a | !b) & (!c | a)
-not-deep|cnf|!a | !b
-not-deep|cnf|!c | a
-not-deep|dnf|!a & !c
-not-deep|dnf|!a & a
-not-deep|dnf|!b & !c
-not-deep|dnf|!b & a
-nested|given|a | (b & (c | a))
-nested|nnf|a | (b & (c | a))
-nested|cnf|a | b
-nested|cnf|a | c
-nested|dnf|a
-nested|dnf|b & c
-nested|dnf|b & a
-constant|given|!T | (a & !!b)
-constant|nnf|!T | (a & b)
-constant|cnf|!T | a
-constant|cnf|!T | b
-constant|dnf|!T
-constant|dnf|a & b
-"""
-
-
-def _formulas() -> dict[str, B.Formula]:
-    a, b, c = B.name("a"), B.name("b"), B.name("c")
-    return {"not-or": ~(a | ~b), "and-or": (a & b) | c, "not-deep": ~((a & b) | (c & ~a)), "nested": a | (b & (c | a)), "constant": ~B.embed(True) | (a & ~~b)}
-
-
-def _same_literals(clause: str) -> str:
-    """A clause's literals in order of text, as their order inside a clause is free."""
-    return f"array_to_string(list_sort(string_split(replace({clause}, ' & ', ' | '), ' | ')), ' ')"
-
-
-@_query("SELECT formula, form, CASE WHEN form IN ('cnf', 'dnf') THEN " + _same_literals("t") + " ELSE t END AS text FROM (VALUES " + ", ".join("('" + "', '".join(line.split("|", 2)) + "')" for line in _FORMS.split("\n") if line) + ") AS x(formula, form, t)")
-def formula_forms(spark, d):
-    rows = []
-    for word, f in _formulas().items():
-        rows += [(word, "given", B.text(f)), (word, "nnf", B.text(B.nnf(f)))]
-        for form, whole, parts in (("cnf", B.conjuncts(B.cnf(f)) or (B.cnf(f),), B.disjuncts), ("dnf", B.disjuncts(B.dnf(f)) or (B.dnf(f),), B.conjuncts)):
-            rows += [(word, form, " ".join(sorted(B.text(x) for x in parts(c) or (c,)))) for c in whole]
-    return spark.createDataFrame(rows, "formula string, form string, text string")
-
-
 @_query("SELECT DISTINCT l_partkey AS v, l_orderkey AS e FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1)")
 def hyperedges_incident(spark, d):
     edges = views.hyperedges(spark.read.parquet(f"{d}/lineitem.parquet"), "l_orderkey", "l_partkey")
@@ -704,9 +651,11 @@ def relation_size(spark, d):
     return graph.relation_size(S.order_arcs(spark, d))
 
 
-@_query(f"WITH {_ARCS} SELECT (SELECT count(*) FROM customer) AS vertices, count(*) AS edges, false AS empty FROM arcs")
+@_query(f"WITH {_ARCS} SELECT (SELECT count(*) FROM customer) AS vertices, count(*) AS edges, false AS empty FROM arcs UNION ALL SELECT count(*), 0, count(*) = 0 FROM customer WHERE c_custkey < 0")
 def graph_counts(spark, d):
-    return graph.counts(S.customer_arena(spark, d), S.order_arcs(spark, d))
+    """Of the whole graph, and of the part with negative customer keys, which has no vertices."""
+    arena, arcs = S.customer_arena(spark, d), S.order_arcs(spark, d)
+    return graph.counts(arena, arcs).unionByName(graph.counts(arena.filter("v < 0"), arcs.filter("src < 0 and dst < 0")))
 
 
 @_query(f"WITH {_ARCS} SELECT DISTINCT src AS v, dst AS neighbour, true AS forward FROM arcs UNION ALL SELECT DISTINCT dst, src, false FROM arcs")
@@ -774,11 +723,11 @@ def insert_on_side(spark, d):
     return graph.insert_on_side(graph.insert_on_side(_sides(spark, d), False), True)
 
 
-@_query(f"{_CROSSING}, t AS (SELECT o, src, dst FROM x WHERE crosses AND o % 7 = 0), c AS (SELECT src AS v FROM t UNION SELECT dst FROM t), p AS (SELECT (SELECT min(v) FROM s WHERE v IN (FROM c)) AS bound, (SELECT min(v) FROM s WHERE v NOT IN (FROM c)) AS free) SELECT v, CASE WHEN v = free THEN NOT side ELSE side END AS side, v = bound AS asked FROM s, p")
+@_query(f"{_CROSSING}, y AS (SELECT * FROM s UNION ALL SELECT max(v) + 1, false FROM s), t AS (SELECT o, src, dst FROM x WHERE crosses), c AS (SELECT src AS v FROM t UNION SELECT dst FROM t), p AS (SELECT (SELECT min(v) FROM y WHERE v IN (FROM c)) AS bound, (SELECT min(v) FROM y WHERE v NOT IN (FROM c)) AS free) SELECT v, CASE WHEN v = free THEN NOT side ELSE side END AS side, v = bound AS asked FROM y, p")
 def move_to_side(spark, d):
-    """A vertex with crossing arcs is asked to change sides and stays, one without is asked and moves."""
-    sides = saved(_sides(spark, d))
-    _, taken, _ = S.from_arcs_and_sides(S.order_arcs(spark, d).filter("o % 7 = 0"), sides)
+    """A vertex with crossing arcs is asked to change sides and stays, one without is asked and moves; a new vertex has none."""
+    sides = saved(graph.insert_on_side(_sides(spark, d), False))
+    _, taken, _ = S.from_arcs_and_sides(S.order_arcs(spark, d), sides)
     taken = saved(taken)
     feasible = saved(graph.can_change_side(taken, sides))
     pick = {r.feasible: (r.v, r.side) for r in feasible.join(sides, "v").groupBy("feasible").agg(F.min("v").alias("v"), F.min_by("side", "v").alias("side")).collect()}

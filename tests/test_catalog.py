@@ -3,19 +3,22 @@
 import duckdb
 import pytest
 
-from orrery.plans import catalog
+from orrery.plans import analyses, catalog
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
-@pytest.mark.parametrize("name", catalog.QUERIES)
+QUERIES, ORACLES = catalog.QUERIES | analyses.QUERIES, catalog.ORACLES | analyses.ORACLES
+
+
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
-    df = catalog.QUERIES[name](spark, DIR)
-    result = con.execute(catalog.ORACLES[name])
+    df = QUERIES[name](spark, DIR)
+    result = con.execute(ORACLES[name])
     columns = [c[0] for c in result.description]
     assert sorted(columns) == sorted(df.columns)
     order = sorted(columns)
