@@ -23,11 +23,19 @@ def hot_keys(rows: DataFrame, key: str | list[str]) -> DataFrame | None:
     return rows.sparkSession.createDataFrame(values, found.schema) if values else None
 
 
-def unique_join(rows: DataFrame, facts: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+def unique_join(rows: DataFrame, facts: DataFrame, key: str | list[str], how: str = "inner", counts: str | None = None) -> DataFrame:
     """rows joined with facts, which has one row a key: hot keys' facts are broadcast and their rows stay where they
-    are, the others meet by a shuffle. how is inner or left; in a left join rows with a null key have null facts."""
+    are, the others meet by a shuffle. how is inner or left; in a left join rows with a null key have null facts.
+
+    counts names a column of facts with the rows of each key, where it is known: rows need not be counted then."""
     keys = _named(key)
-    hot = hot_keys(rows, keys)
+    if counts is None:
+        hot = hot_keys(rows, keys)
+    else:
+        total = facts.agg(F.sum(counts)).first()[0] or 0
+        found = facts.filter(F.col(counts) * HOT > total).select(*keys)
+        values = found.collect()
+        hot = rows.sparkSession.createDataFrame(values, found.schema) if values else None
     if hot is None:
         out, missing = rows.dropna(subset=keys).join(facts, keys, how), None
     else:
