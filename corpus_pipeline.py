@@ -24,26 +24,42 @@ def drop_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(docs).filter("kept").select(*docs.columns)
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number of each row's own, and the name of that column: the doc_id where it is there and one row's alone,
+    else a number behind the greatest doc_id (before the least one, if that is near the end of numbers), which is fixed
+    by writing these rows."""
+    key = "row_key"
+    while any(c.lower() == key for c in docs.columns):
+        key = "_" + key
+    several = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select("doc_id"), "several")
+    ends = docs.agg(F.coalesce(F.min("doc_id"), F.lit(0)).cast("long"), F.coalesce(F.max("doc_id"), F.lit(0)).cast("long")).first()
+    lost = docs.filter("doc_id is null")
+    alone = docs.filter("doc_id is not null")
+    if not several.isEmpty():
+        lost = lost.unionByName(alone.join(several, "doc_id", "left_semi"))
+        alone = alone.join(several, "doc_id", "left_anti")
+    place = F.monotonically_increasing_id()
+    numbered = written(lost.withColumn(key, F.lit(ends[1] + 1) + place if ends[1] < 1 << 62 else F.lit(ends[0] - 1) - place), "numbered")
+    return alone.withColumn(key, F.col("doc_id").cast("long")).unionByName(numbered), key
+
+
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the least doc_id stays.
 
-    Texts without words are linked with none and stay. Rows without a doc_id come after all others, in the order of a hash of their text; of equal texts among them one stays."""
-    lost = docs.filter("doc_id is null").dropDuplicates(["text"])
-    hashed = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
-    keyed = docs.filter("doc_id is not null").unionByName(lost).withColumn("near_key", F.coalesce(F.col("doc_id").cast("long"), hashed))
-    gone = near_dedup.near_duplicates(keyed, key="near_key").filter(~F.col("kept")).select(F.col("doc_id").alias("near_key"))
-    return keyed.join(gone, "near_key", "left_anti").select(*docs.columns)
+    Texts without words are linked with none and stay. Rows without a doc_id, and those that share one, come after all
+    others. A pair at the threshold is missed with a probability of 7e-5."""
+    keyed, key = with_row_key(docs)
+    gone = near_dedup.near_duplicates(keyed, key=key).filter(~F.col("kept")).select(F.col("doc_id").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a word inside a benchmark item's ten-word window go, whatever their doc_id. Null and empty texts
-    stay, and so does everything if there is no benchmark.
-
-    The verdict hangs on the text alone, so it is carried by a hash of the text."""
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    found = decontamination.contamination(keyed.select(F.col("text_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.filter("n_hit > 0").select(F.col("doc_id").alias("text_key"))
-    return keyed.join(gone, "text_key", "left_anti").select(*docs.columns)
+    stay, and so does everything if there is no benchmark."""
+    keyed, key = with_row_key(docs)
+    found = decontamination.contamination(keyed.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = found.filter("n_hit > 0").select(F.col("doc_id").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
