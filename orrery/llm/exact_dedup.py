@@ -13,6 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.storage import written
+from orrery.plans.skew import unique_join
+
 MIN_CHUNK, MAX_CHUNK = 512, 4096
 
 
@@ -32,12 +35,15 @@ def collisions(texts: DataFrame, name=identifier) -> DataFrame:
     return each.groupBy("id", "chunk").agg(F.count("*").alias("n")).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
 
 
-def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", name=identifier) -> DataFrame:
+def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", name=identifier, carry: bool = True) -> DataFrame:
     """docs with keep_id, group_size and kept: of equal texts the row with the largest key stays.
 
     Null text counts as empty; empty texts equal each other. Keys that are null count as smallest; rows that
     repeat the largest key and its text are all kept (they are one document listed twice). Other columns stay;
     columns already called keep_id, group_size or kept are replaced. An empty table gives an empty table.
+
+    Groups are found on recipes and keys alone. The rows of a hot group stay where they are, as their group is
+    broadcast. With carry=False the text is left out of the result, and no text is read a second time for it.
     """
     docs = docs.drop("keep_id", "group_size", "kept")
     mark = "_"
@@ -54,16 +60,20 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", name=
         cut = cut.join(doubtful.withColumn(doubt, F.lit(True)), recipe, "left")
         doubted = F.coalesce(F.col(doubt), F.lit(False))
     cut = cut.withColumn(whole, F.when(doubted, source).otherwise(F.lit(""))).drop(doubt)
-    groups = cut.groupBy(recipe, whole).agg(F.max(f"`{key}`").alias("keep_id"), F.count("*").alias("group_size"))
-    joined = cut.join(groups, [recipe, whole]).drop(recipe, whole)
+    if not carry:
+        cut = written(cut.drop(text), "recipes")
+        slim = cut.select(recipe, whole, F.col(f"`{key}`").alias(value))
+    else:
+        slim = written(cut.select(recipe, whole, F.col(f"`{key}`").alias(value)), "recipes")
+    groups = written(slim.groupBy(recipe, whole).agg(F.max(value).alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    joined = unique_join(cut, groups, [recipe, whole], counts="group_size").drop(recipe, whole)
     return joined.withColumn("kept", F.col(f"`{key}`").eqNullSafe(F.col("keep_id")))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     hashed = F.sha2(F.coalesce("text", F.lit("")), 256)
-    # The text's own hash is taken before grouping, so that the text itself need not be carried along.
-    slim = exact_groups(docs.withColumn("text_sha256", hashed))
+    slim = exact_groups(docs.withColumn("text_sha256", hashed), carry=False)
     return slim.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
