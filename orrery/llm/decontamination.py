@@ -25,6 +25,8 @@ from orrery.llm.storage import written
 WINDOW = 10
 #: Bytes of benchmark text that are sent to tasks at once.
 BLOCK_BYTES = 8 << 20
+#: Candidate places of windows that a task looks at together.
+CANDIDATES = 1 << 20
 _SEGMENT = "segment long, ids array<long>, first array<int>, terms binary, ends binary, begins binary, positions binary"
 _FOUND = "segment long, row int, item_id long, start int, stop int"
 
@@ -101,16 +103,20 @@ class Segment:
         #: Sorted, as terms ascend and each term's positions do.
         self.keys = (np.repeat(np.arange(len(size)), size) << 32) | self.positions
 
-    def candidates(self, query: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows all of whose terms occur: window, place of its rarest term, and that term's positions, flattened."""
+    def candidates(self, query: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Windows all of whose terms occur: window, place of its rarest term, and that term's positions, flattened, in
+        blocks of at most CANDIDATES, however often the rarest terms occur."""
         counts = np.where(query.table >= 0, self.size[query.table], np.iinfo(np.int64).max)
         place = counts.argmin(1) if counts.size else np.zeros(0, np.int64)
         least = counts[np.arange(len(place)), place]
         live = np.flatnonzero(least > 0)
-        n = least[live]
-        term = query.table[live, place[live]]
-        flat = np.repeat(self.begin[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.repeat(live, n), np.repeat(place[live], n), self.positions[flat]
+        ends = np.cumsum(least[live])
+        first = self.begin[query.table[live, place[live]]] - (ends - least[live])
+        total = int(ends[-1]) if len(ends) else 0
+        for begin in range(0, total, CANDIDATES):
+            flat = np.arange(begin, min(total, begin + CANDIDATES))
+            own = np.searchsorted(ends, flat, "right")
+            yield live[own], place[live[own]], self.positions[first[own] + flat]
 
     def has(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Whether the term has a position in low..high."""
@@ -122,35 +128,37 @@ class Segment:
     def doc_of(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, position, "right") - 1
 
-    def exact(self, query: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Occurrences of windows inside one document: window, first and last word + 1."""
-        window, place, position = self.candidates(query)
-        start = position - place
-        stop = start + query.sizes[window]
-        ok = (start >= 0) & (stop <= self.first[-1])
-        ok[ok] = self.doc_of(start[ok]) == self.doc_of(stop[ok] - 1)
-        window, start = window[ok], start[ok]
-        rarity = np.argsort(np.where(query.table >= 0, self.size[query.table], np.iinfo(np.int64).max), axis=1, kind="stable") if len(window) else None
-        for j in range(1, query.table.shape[1]):
-            if not len(window):
-                break
-            at = rarity[window, j]
-            term = query.table[window, at]
-            ok = (term < 0) | self.has(np.maximum(term, 0), start + at, start + at)
+    def exact(self, query: Phrases) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Occurrences of windows inside one document: window, first and last word + 1, in blocks."""
+        rarity = None
+        for window, place, position in self.candidates(query):
+            start = position - place
+            stop = start + query.sizes[window]
+            ok = (start >= 0) & (stop <= self.first[-1])
+            ok[ok] = self.doc_of(start[ok]) == self.doc_of(stop[ok] - 1)
             window, start = window[ok], start[ok]
-        return window, start, start + query.sizes[window]
-
-    def near(self, query: Phrases, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places where all terms of a window lie, in any order, within `slop` words of its rarest one."""
-        window, place, position = self.candidates(query)
-        doc = self.doc_of(position)
-        low = np.maximum(position - slop, self.first[doc])
-        high = np.minimum(position + slop, self.first[doc + 1] - 1)
-        ok = np.ones(len(window), bool)
-        for j in range(query.table.shape[1]):
-            term = query.table[window, j]
-            ok &= (term < 0) | self.has(np.maximum(term, 0), low, high)
-        return window[ok], low[ok], high[ok] + 1
+            if rarity is None:
+                rarity = np.argsort(np.where(query.table >= 0, self.size[query.table], np.iinfo(np.int64).max), axis=1, kind="stable")
+            for j in range(1, query.table.shape[1]):
+                if not len(window):
+                    break
+                at = rarity[window, j]
+                term = query.table[window, at]
+                ok = (term < 0) | self.has(np.maximum(term, 0), start + at, start + at)
+                window, start = window[ok], start[ok]
+            yield window, start, start + query.sizes[window]
+
+    def near(self, query: Phrases, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places where all terms of a window lie, in any order, within `slop` words of its rarest one, in blocks."""
+        for window, _, position in self.candidates(query):
+            doc = self.doc_of(position)
+            low = np.maximum(position - slop, self.first[doc])
+            high = np.minimum(position + slop, self.first[doc + 1] - 1)
+            ok = np.ones(len(window), bool)
+            for j in range(query.table.shape[1]):
+                term = query.table[window, j]
+                ok &= (term < 0) | self.has(np.maximum(term, 0), low, high)
+            yield window[ok], low[ok], high[ok] + 1
 
 
 def _merged(items: np.ndarray, doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
@@ -183,9 +191,10 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int
             for batch in batches:
                 for i in range(batch.num_rows):
                     segment = Segment(batch.slice(i, 1).to_pylist()[0], query.value)
-                    found, start, stop = segment.exact(query.value) if slop is None else segment.near(query.value, slop)
-                    doc = segment.doc_of(start)
-                    item, doc, start, stop = _merged(query.value.owners[found], doc, start, stop)
+                    spans = [[np.zeros(0, np.int64)] * 4]
+                    for found, start, stop in segment.exact(query.value) if slop is None else segment.near(query.value, slop):
+                        spans.append(_merged(query.value.owners[found], segment.doc_of(start), start, stop))
+                    item, doc, start, stop = _merged(*(np.concatenate(x) for x in zip(*spans, strict=True)))
                     base = segment.first[doc]
                     names = pa.array([query.value.ids[k] for k in item.tolist()], pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), segment.number), pa.int64()), pa.array(doc, pa.int32()), names, pa.array(start - base, pa.int32()), pa.array(stop - base, pa.int32())], ["segment", "row", "item_id", "start", "stop"])

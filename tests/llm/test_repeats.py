@@ -171,3 +171,22 @@ def test_language_scores_are_brute_force(spark):
         means = np.sum([np.array(score(w)) * n for w, n in unique.items()], 0) / len(words)
         assert r.score == pytest.approx(1 / np.exp(means - means.max()).sum(), rel=1e-4)
         assert r.lang_pred == sorted(ends)[int(means.argmax())] or np.isclose(np.sort(means)[-1], np.sort(means)[-2])
+
+
+def test_windows_of_very_frequent_words_go_in_blocks(spark, monkeypatch):
+    """Candidate places beyond a block: the same matches as in one block, which a task would hold at once."""
+    text = "a b " * 300 + "c " + "b a " * 200
+    frame = spark.createDataFrame([(1, text), (2, "a " * 50)], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, "a b a b a b a b a b"), (2, "b c b"), (3, "a " * 12), (4, "b b")], "item_id long, text string")
+    index = decontamination.build_index(frame)
+    seen = [Counter(map(str, decontamination.matches(index, items, slop=slop).collect())) for slop in (None, 3)]
+    query = decontamination.Phrases([(r.item_id, r.text) for r in items.collect()])
+    segment = decontamination.Segment(index.collect()[0].asDict(), query)
+    whole = [np.concatenate(x) for x in zip(*segment.exact(query), strict=True)]
+    monkeypatch.setattr(decontamination, "CANDIDATES", 7)
+    blocks = list(segment.exact(query))
+    assert len(blocks) > 50 and max(len(b[0]) for b in blocks) <= 7
+    assert all((a == b).all() for a, b in zip(whole, (np.concatenate(x) for x in zip(*blocks, strict=True)), strict=True))
+    words = text.split()
+    assert sum(seen[0].values()) == 4 and len(whole[0]) == sum(words[i : i + 10] == ["a", "b"] * 5 for i in range(len(words))) + 1 + 41 * 3
+    assert sum(seen[1].values()) >= 4
