@@ -11,7 +11,7 @@ from orrery.functions import shell, zones
 from orrery.operators import acceptance as A
 from orrery.operators import games, graph, lattice, views
 from orrery.operators import reach as R
-from orrery.plans.fixpoint import saved
+from orrery.plans.fixpoint import clearings, saved
 from orrery.sources import graphs as S
 
 QUERIES: dict = {}
@@ -45,7 +45,7 @@ _kept: dict = {}
 def _classes(spark, d: str) -> DataFrame:
     """Components of the layered graph, a table that the queries of one application share while its files stay as they are."""
     files = [spark.read.parquet(f"{d}/{t}.parquet").agg(F.max("_metadata.file_modification_time"), F.sum("_metadata.file_size"), F.count("*")).first() for t in ("orders", "customer")]
-    key = spark.sparkContext.applicationId, d, *map(tuple, files)
+    key = spark.sparkContext.applicationId, clearings(spark), d, *map(tuple, files)
     if key not in _kept:
         _kept[key] = saved(R.components(S.customer_arena(spark, d), _layers(spark, d)))
     return _kept[key]

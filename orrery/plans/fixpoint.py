@@ -5,12 +5,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+#: Paths of the tables that an application has written and not deleted, in order.
+_tables: dict[str, dict[str, None]] = {}
+_clearings: Counter[str] = Counter()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,14 +31,42 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[key]
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, read again."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: lineage ends there and any executor can read it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/state-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _tables.setdefault(spark.sparkContext.applicationId, {})[path] = None
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read again."""
+    return written(df, "state")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    _tables[context.applicationId].pop(path, None)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables that this application has written for its steps, and gives their number. Results that are read
+    from them must have been read or written elsewhere by then."""
+    paths = list(_tables.get(spark.sparkContext.applicationId, {}))
+    for path in paths:
+        _delete(spark, path)
+    _clearings[spark.sparkContext.applicationId] += 1
+    return len(paths)
+
+
+def clearings(spark: SparkSession) -> int:
+    """How often clear() ran: tables kept for later belong to one such time."""
+    return _clearings[spark.sparkContext.applicationId]
+
+
 def grow(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], keys: list[str]) -> DataFrame:
     """Semi-naive closure: each round's new rows feed the next, until none is new by its keys.
 
@@ -50,10 +82,16 @@ def grow(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], keys: lis
 
 def settle(state: DataFrame, step: Callable[[DataFrame], DataFrame], key: str, value: str) -> DataFrame:
     """Repeats step on a (key, value) table until no value changes."""
+    spark = state.sparkSession
+    latest = lambda: next(reversed(_tables[spark.sparkContext.applicationId]))
     state = saved(state)
+    place = latest()
     while True:
         old = state.select(key, F.col(value).alias("_old"))
         after = saved(step(state).select(key, value).join(old, key).select(key, value, (~F.col(value).eqNullSafe(F.col("_old"))).alias("_moved")))
         state = after.select(key, value)
+        # The round before is read no more.
+        _delete(spark, place)
+        place = latest()
         if after.filter("_moved").isEmpty():
             return state

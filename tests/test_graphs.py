@@ -98,3 +98,18 @@ def test_two_sided_edits(spark):
     assert graph.insert_crossing(arcs, sides, 0, 9).count() == 1
     kept, taken, refused = graphs.from_arcs_and_sides(frame(spark, [(0, 1), (0, 2), (1, 7), (None, 1)]), sides)
     assert (kept.count(), taken.count(), refused.count()) == (3, 1, 3)
+
+
+def test_tables_of_steps_can_be_deleted(spark):
+    from orrery.plans import fixpoint
+
+    before = fixpoint.clearings(spark)
+    table = fixpoint.saved(spark.range(3).toDF("v"))
+    assert table.count() == 3 and fixpoint.clear(spark) > 0 and fixpoint.clear(spark) == 0
+    assert fixpoint.clearings(spark) == before + 2
+    with pytest.raises(Exception, match="(?i)does not exist|not found|no such file"):
+        table.collect()
+    # What settles keeps its last round only.
+    state = spark.createDataFrame([(i, 20 - i) for i in range(20)], "v long, n long")
+    done = fixpoint.settle(state, lambda s: s.select("v", ((s["n"] + 1) / 2).cast("long").alias("n")), "v", "n")
+    assert {r.n for r in done.collect()} == {1} and fixpoint.clear(spark) == 1
