@@ -71,7 +71,6 @@ def _candidates(docs: pa.Table, phrases: pa.Array, window: int, phrase: int, see
     automaton = phrase_automaton(phrases, dictionary, phrase)
     if automaton is None:
         return none
-    again = K.word_hashes(words.data, words.starts, words.ends, seeds[1])
     names, lines = docs.column("id").to_numpy(), docs.column("line").to_numpy()
     out: list[tuple[np.ndarray, ...]] = []
     for i, own in K.per_doc(words):
@@ -89,7 +88,10 @@ def _candidates(docs: pa.Table, phrases: pa.Array, window: int, phrase: int, see
         starts = np.flatnonzero(K.sliding(located, width) == K.sliding(hashes, width))
         if len(starts):
             whole = K.grams(own, window, seed=1)[starts]
-            other = K.grams(again[words.first[i] : words.first[i + 1]], window, seed=2)[starts]
+            # The second hash is for texts with candidates only.
+            begin, end = words.starts[words.first[i] : words.first[i + 1]], words.ends[words.first[i] : words.first[i + 1]]
+            again = K.word_hashes(words.data[begin[0] : end[-1]], begin - begin[0], end - begin[0], seeds[1])
+            other = K.grams(again, window, seed=2)[starts]
             out.append((np.full(len(starts), names[i]), np.full(len(starts), lines[i]), starts.astype(np.int32), whole, other))
     if not out:
         return none

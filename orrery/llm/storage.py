@@ -1,16 +1,5 @@
 """Tables that jobs write between their steps, in the folder that all executors share."""
 
-from __future__ import annotations
+from orrery.plans.fixpoint import written
 
-import uuid
-
-from pyspark.sql import DataFrame
-
-from orrery.plans.fixpoint import shared_dir
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends there and any executor can read it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["written"]
