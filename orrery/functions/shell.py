@@ -17,3 +17,13 @@ def shell_pair(e: Column) -> Column:
     root = F.when(root * root > e, root - 1).when((root + 1) * (root + 1) <= e, root + 1).otherwise(root)
     rest = e - root * root
     return F.struct(F.when(rest <= root, rest).otherwise(root).alias("src"), F.when(rest <= root, root).otherwise(2 * root - rest).alias("dst"))
+
+
+def shell_size(n: Column) -> Column:
+    """Indices of all pairs of n vertices."""
+    return n * n
+
+
+def shell_growth(n: Column) -> Column:
+    """Indices that one more vertex adds behind those of n vertices; none of theirs changes."""
+    return 2 * n + 1

@@ -108,3 +108,10 @@ def parity(runs: DataFrame, priorities: dict[str, int], least: bool = True, even
     extreme = F.min(rank) if least else F.max(rank)
     full = (F.count(rank) == F.count("state")) & (F.count("state") > 0)
     return _decide(runs, full & (extreme % 2 == (0 if even else 1)))
+
+
+def lasso_parts(runs: DataFrame) -> DataFrame:
+    """(run_id, stem, cycle, cycle_index): the states before the cycle and on it, in order, and the cycle's first place; null
+    without a cycle. A run is one row."""
+    listed = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("pos", "state")))), lambda x: x["state"])
+    return runs.groupBy("run_id").agg(listed(~F.col("in_cycle")).alias("stem"), listed(F.col("in_cycle")).alias("cycle"), F.min(F.when(F.col("in_cycle"), F.col("pos"))).alias("cycle_index"))

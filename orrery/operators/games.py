@@ -88,6 +88,31 @@ def buchi_region(vertices: DataFrame, arcs: DataFrame, accepting: DataFrame, pla
         candidate = saved(candidate.join(lost.select("v"), "v", "left_anti"))
 
 
+def buchi_strategy(vertices: DataFrame, arcs: DataFrame, accepting: DataFrame, region: DataFrame, player: str) -> DataFrame:
+    """(v, succ): for the player's vertices of the region that buchi_region gave, moves that visit accepting again and
+    again: at accepting ones the first arc that stays in the region, elsewhere the successor of least (rank, arc id) on
+    the way to the next accepting one."""
+    region = saved(region.select("v"))
+    goal = saved(accepting.select("v").distinct().join(region, "v", "left_semi"))
+    ranked = saved(attractor(vertices, arcs, goal, player, region))
+    there = safety_strategy(vertices, arcs, region, player).join(goal, "v", "left_semi")
+    return attractor_strategy(vertices, arcs, ranked, player).unionByName(there)
+
+
+def winners(vertices: DataFrame, region: DataFrame, player: str) -> DataFrame:
+    """(v, winner) of every vertex: the player in the region, the opponent elsewhere."""
+    won = region.select("v").distinct().withColumn("won", F.lit(True))
+    return vertices.select("v").join(won, "v", "left").select("v", F.when(F.col("won"), player).otherwise(opponent(player)).alias("winner"))
+
+
+def following(vertices: DataFrame, arcs: DataFrame, strategy: DataFrame, player: str) -> DataFrame:
+    """The arcs that are left when the player follows the strategy (v, succ) wherever it tells: parallel arcs to the
+    chosen successor stay, as do all arcs of other vertices."""
+    chosen = strategy.select(F.col("v").alias("src"), F.col("succ").alias("_to"))
+    told = vertices.filter(F.col("owner") == player).select(F.col("v").alias("src")).join(chosen, "src")
+    return arcs.join(told, "src", "left").filter(F.col("_to").isNull() | (F.col("_to") == F.col("dst"))).select(arcs.columns)
+
+
 def insert_choice(strategy: DataFrame, v: int, succ: int) -> DataFrame:
     """The positional strategy (v, succ) with this choice at v, in place of an earlier one."""
     return remove_choice(strategy, v).unionByName(strategy.sparkSession.range(1).select(F.lit(v).cast("long").alias("v"), F.lit(succ).cast("long").alias("succ")))

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orrery.functions import formula as B
-from orrery.functions import zones
-from orrery.operators import alternating, bands, dataflow, edits, formulas, graph, lattice
+from orrery.functions import shell, zones
+from orrery.operators import acceptance, alternating, bands, dataflow, edits, formulas, games, graph, lattice
 from orrery.operators import reach as R
 from orrery.plans import catalog as C
 from orrery.plans.fixpoint import saved
@@ -240,3 +240,89 @@ def zone_meet_of_orders(spark, d):
     """The meet of all zones of an order, closed once; empty ones have no cells."""
     met = zones.closed(zones.meet_of(C._open_zones(spark, d), "k", 3), 3)
     return C._where_consistent(met.withColumn("line", F.lit(0)).withColumn("consistent", zones.is_consistent(F.col("zone"), 3))).drop("line")
+
+
+_REACHED = f"({C._attractor_sql(C._TARGET, 'Eve')} SELECT v FROM reg)"
+_SPOILT = f"({C._attractor_sql(C._UNSAFE, 'Adam')} SELECT v FROM reg)"
+
+
+@_query(f"SELECT c_custkey AS v, CASE WHEN c_custkey IN {_REACHED} THEN 'Eve' ELSE 'Adam' END AS reach, CASE WHEN c_custkey IN {_SPOILT} THEN 'Adam' ELSE 'Eve' END AS safety, CASE WHEN c_custkey IN ({C._BUCHI}) THEN 'Eve' ELSE 'Adam' END AS buchi FROM customer")
+def game_winners(spark, d):
+    """Who wins the reachability, the safety and the Büchi game from every customer."""
+    arena, arcs = S.customer_arena(spark, d), C._arcs(spark, d)
+    regions = {"reach": games.attractor(arena, arcs, arena.filter(C._TARGET), "Eve"), "safety": games.safety_region(arena, arcs, arena.filter("not balance < -600"), "Eve"), "buchi": games.buchi_region(arena, arcs, arena.filter("balance > 5000"), "Eve")}
+    out = arena.select("v")
+    for name, region in regions.items():
+        out = out.join(games.winners(arena, region, "Eve").withColumnRenamed("winner", name), "v")
+    return out
+
+
+@_query(f"{C._BUCHI}")
+def buchi_strategy_wins(spark, d):
+    """Where Eve wins the Büchi game while she follows the strategy: her whole region, if that is right."""
+    arena, arcs = S.customer_arena(spark, d), C._arcs(spark, d)
+    accepting = saved(arena.filter("balance > 5000"))
+    region = saved(games.buchi_region(arena, arcs, accepting, "Eve"))
+    strategy = saved(games.buchi_strategy(arena, arcs, accepting, region, "Eve"))
+    return games.buchi_region(arena, saved(games.following(arena, arcs, strategy, "Eve")), accepting, "Eve")
+
+
+@_query(f"{C._attractor_sql(C._UNSAFE, 'Adam')} SELECT v, true AS spoilt FROM reg")
+def safety_spoiler_wins(spark, d):
+    """Where Adam leaves the safe customers whatever Eve does: the losing side of the safety game, by his strategy."""
+    arena, arcs = S.customer_arena(spark, d), C._arcs(spark, d)
+    unsafe = saved(arena.filter("balance < -600").select("v").unionByName(games.dead_ends(arena, arcs)).distinct())
+    region = saved(games.attractor(arena, arcs, unsafe, "Adam"))
+    strategy = saved(games.attractor_strategy(arena, arcs, region, "Adam"))
+    return games.verify_reach_strategy(arena, arcs, strategy, unsafe, "Adam").withColumn("spoilt", F.lit(True))
+
+
+@_query(f"{C._attractor_sql(C._TARGET, 'Eve')} SELECT v FROM v WHERE v NOT IN (SELECT v FROM reg)")
+def reach_avoider_wins(spark, d):
+    """Where Adam keeps away from the target while he follows the strategy of the losing side of the reachability game."""
+    arena, arcs = S.customer_arena(spark, d), C._arcs(spark, d)
+    target = saved(arena.filter(C._TARGET))
+    away = saved(arena.select("v").join(games.attractor(arena, arcs, target, "Eve").select("v"), "v", "left_anti"))
+    strategy = saved(games.safety_strategy(arena, arcs, away, "Adam"))
+    still = games.attractor(arena, saved(games.following(arena, arcs, strategy, "Adam")), target, "Eve").select("v")
+    return arena.select("v").join(still, "v", "left_anti")
+
+
+@_query(f"WITH {C._RUNS} SELECT run_id, coalesce(string_agg(state, ' ' ORDER BY pos) FILTER (NOT in_cycle), '') AS stem, coalesce(string_agg(state, ' ' ORDER BY pos) FILTER (in_cycle), '') AS cycle, min(pos) FILTER (in_cycle) AS cycle_index FROM runs GROUP BY run_id")
+def lasso_parts(spark, d):
+    return acceptance.lasso_parts(S.user_runs(spark, d)).select("run_id", F.array_join("stem", " ").alias("stem"), F.array_join("cycle", " ").alias("cycle"), "cycle_index")
+
+
+@_query(f"WITH {C._ARCS} SELECT o AS e, src, dst, a.c_mktsegment AS src_property, b.c_mktsegment AS dst_property, o_totalprice AS price FROM arcs LEFT JOIN customer a ON a.c_custkey = src LEFT JOIN customer b ON b.c_custkey = dst JOIN orders ON o_orderkey = o")
+def attributed_graph(spark, d):
+    """Every arc with its own attribute and those of its ends."""
+    prices = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("e"), F.col("o_totalprice").alias("price"))
+    of = lambda end: C._segments(spark, d).withColumnsRenamed({"k": end, "property": f"{end}_property"})
+    arcs = graph.with_properties(C._arcs(spark, d), prices, "e")
+    return graph.with_properties(graph.with_properties(arcs, of("src"), "src"), of("dst"), "dst")
+
+
+@_query("SELECT a.c_custkey AS src, a.c_nationkey::BIGINT AS dst FROM customer a WHERE (c_custkey, c_nationkey) IN (SELECT (o_custkey, o_orderkey * 7 % (SELECT count(*) FROM customer)) FROM orders)")
+def connected_pairs(spark, d):
+    pairs = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").cast("long").alias("dst"))
+    return graph.connected_pairs(pairs, C._arcs(spark, d))
+
+
+@_query("SELECT c_custkey AS n, c_custkey * c_custkey AS size, (c_custkey + 1) * (c_custkey + 1) - c_custkey * c_custkey AS growth FROM customer")
+def shell_sizes(spark, d):
+    """Indices of the complete graph over the customers before each one, and what that one adds."""
+    n = F.col("c_custkey")
+    return spark.read.parquet(f"{d}/customer.parquet").select(n.alias("n"), shell.shell_size(n).alias("size"), shell.shell_growth(n).alias("growth"))
+
+
+@_query("SELECT l_orderkey AS e, list_sort(list(l_partkey)) [1] AS first_tail, list_sort(list(l_suppkey)) [1] AS first_head, count(*) AS tails, (sum(count(*)) OVER (ORDER BY l_orderkey))::BIGINT AS tail_stop, (sum(count(*)) OVER (ORDER BY l_orderkey))::BIGINT AS head_stop FROM lineitem GROUP BY l_orderkey")
+def tail_and_head_ranges(spark, d):
+    """The places of each hyperarc's tail and head members, listed in input order, and the member at the first of them."""
+    h = saved(C._hyper(spark, d))
+    out = h.select("e", F.size("tail").cast("long").alias("tails"))
+    for side in ("tail", "head"):
+        found = saved(bands.in_order(h.select("e", F.size(side).alias("size")), ["e"], "size"))
+        members = h.join(found, "e").select(F.posexplode(side).alias("k", "member"), "first").select((F.col("first") + F.col("k")).alias("at"), "member")
+        first = found.filter("size > 0").select("e", F.col("first").alias("at"), F.col("stop").alias(f"{side}_stop")).join(members, "at").select("e", f"{side}_stop", F.col("member").alias(f"first_{side}"))
+        out = out.join(first, "e")
+    return out
