@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
+from orrery.llm.prefix_trie import CRC32_SQL
 
 MIN_LENGTH, MIN_EXPONENT = 6, 4
 #: Words of a group that recurs inside every run, as 4 q >= 2 q + 4 from q = 2 on and 6 >= 2 + 4.
@@ -249,3 +250,23 @@ def op13_periodic_runs(spark, sf_dir: str) -> DataFrame:
     found = found.withColumn("top", top).withColumn("lines", F.array_join(line, ""))
     period = -F.col("top.period")
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), period.alias("period"), F.floor(1000 * F.col("top.length") / period).alias("exponent_milli"), F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+#: Runs from pairs of equal groups of four words, which every run has at the distance of its period.
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {CRC32_SQL.format("doc_id::VARCHAR")}::BIGINT AS h FROM documents),
+a AS (SELECT doc_id, w, h % 10 = 0 AND len(w) > 0 AS planted, CASE WHEN len(w) > 0 THEN h // 10 % len(w) END AS a, h // 10 AS g FROM d),
+p AS (SELECT *, 1 + (len(w) - a) // (3 + g % 8) AS p FROM a),
+t AS (SELECT doc_id, CASE WHEN planted THEN list_transform(range(len(w)), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE w END AS w FROM p),
+x AS (SELECT doc_id, unnest(range(len(w))) AS i, unnest(w) AS x FROM t),
+f AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o AS g FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT u.doc_id, u.i, v.i - u.i AS q FROM f u JOIN f v ON v.doc_id = u.doc_id AND v.g = u.g AND v.i > u.i WHERE u.g IS NOT NULL),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + 3 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e) GROUP BY doc_id, q, island),
+l AS (SELECT * FROM s WHERE length >= greatest({MIN_LENGTH}, {MIN_EXPONENT} * q)),
+r AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM l y WHERE y.doc_id = l.doc_id AND y.q < l.q AND y.start <= l.start AND y.start + y.length >= l.start + l.length)),
+n AS (SELECT doc_id, count(*) AS n_runs, arg_max({{'start': start, 'length': length, 'period': q}}, (length, -start, -q)) AS top, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS lines FROM r GROUP BY doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM r),
+k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM x ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.length AS length, top.period AS period, 1000 * top.length // top.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

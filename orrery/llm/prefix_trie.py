@@ -250,10 +250,11 @@ def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("saved", "saved_tokens")
 
 
-_CRC32 = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda ch: ord(ch)::UBIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)), 4294967295::UBIGINT)"
+#: CRC-32 of a text of ASCII characters; its polynomial is a fixed value.
+CRC32_SQL = "xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({0}, ''), lambda ch: ord(ch)::UBIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]), lambda v, i: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::UBIGINT) ELSE v >> 1 END)), 4294967295::UBIGINT)"
 OP12_SQL = f"""
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations WHERE conv_id IS NOT NULL),
-c AS (SELECT conv_id, n, conv_id - conv_id % 5 AS base, ({_CRC32.format("conv_id::VARCHAR")} % 9)::BIGINT AS h FROM (SELECT DISTINCT conv_id, n FROM t)),
+c AS (SELECT conv_id, n, conv_id - conv_id % 5 AS base, ({CRC32_SQL.format("conv_id::VARCHAR")} % 9)::BIGINT AS h FROM (SELECT DISTINCT conv_id, n FROM t)),
 x AS (SELECT c.conv_id, t.p, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.p <= c.h
   UNION ALL SELECT c.conv_id, t.p + least(c.h, coalesce(b.n, 0)) - c.h, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.p > c.h LEFT JOIN c b ON b.conv_id = c.base),
 i AS (SELECT conv_id, p, strlen(text)::BIGINT AS bytes, dense_rank() OVER (ORDER BY role, text) AS id FROM x),

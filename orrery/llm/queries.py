@@ -30,4 +30,5 @@ ORACLES = {
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_mixing_sources": mixing.OP11_SQL,
     "op12_prefix_trie": prefix_trie.OP12_SQL,
+    "op13_periodic_runs": periodic_runs.OP13_SQL,
 }
