@@ -149,7 +149,7 @@ def _neighbours(suffixes: DataFrame, order: list[str], min_words: int, phrase: i
     run = lambda batches: _compare(batches, min_words, phrase)
     inner = written(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _MATCH), "matches")
     # Two rows a partition: the borders between partitions, compared in one small task.
-    edges = inner.filter("edge").select(*_FIELDS).coalesce(1).sortWithinPartitions(*order)
+    edges = inner.filter("edge").select(*_FIELDS).repartition(1).sortWithinPartitions(*order)
     return inner.filter("not edge").unionByName(edges.mapInArrow(run, _MATCH).filter("not edge")).select(*_PLACE, "partner", "left", "right")
 
 
