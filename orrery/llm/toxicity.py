@@ -6,7 +6,7 @@ learnt, and two words are confused only if all hashes collide. Filters of severa
 vectors, each filter keeps its greatest response in the whole text (max pooling), and a logistic layer scores
 them. Training reads at most max_train labelled documents (drawn by a hash of their id) on the
 driver; a share of them is held back to place the score's midpoint and, by language, the thresholds above
-which a document counts as toxic. Training and scoring read every text whole, in runs of RUN words, since pooling
+which a document counts as toxic. Bounds of the sample: MAX_TRAIN documents and MAX_TRAIN_BYTES of text. Training and scoring read every text whole, in runs of RUN words, since pooling
 needs only the winning positions; scoring needs no shuffle.
 """
 
@@ -20,12 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
+from orrery.llm.storage import written
 
 #: Each table has 2 ** BITS rows of SIZE numbers.
 BITS, SIZE, WIDTHS, FILTERS = 17, 6, (1, 2, 3), 16
 STEMS = (None, 4, 6)
 DIM = SIZE * len(STEMS)
 MAX_TRAIN = 6000
+#: Bytes of training texts on the driver. Drawn documents that would go beyond it are left out, whole.
+MAX_TRAIN_BYTES = 96 << 20
 #: Document visits in training.
 VISITS = 14_000
 RUN = 1 << 15
@@ -130,13 +133,31 @@ def _best_threshold(scores: np.ndarray, labels: np.ndarray) -> float | None:
     return float(low + high) / 2
 
 
-def train(labelled: DataFrame, max_train: int = MAX_TRAIN, visits: int = VISITS, seed: int = 5) -> Cnn:
+def _within(sizes: list[int], most: int) -> list[int]:
+    """Places of the sizes that fit into `most` one after the other; what doesn't fit is passed over."""
+    kept, total = [], 0
+    for i, n in enumerate(sizes):
+        if total + n <= most:
+            kept.append(i)
+            total += n
+    return kept
+
+
+def train(labelled: DataFrame, max_train: int = MAX_TRAIN, visits: int = VISITS, seed: int = 5, max_bytes: int = MAX_TRAIN_BYTES) -> Cnn:
     """A classifier from columns doc_id, text, toxic and, for thresholds alone, lang.
 
     Rows without a label, and null texts, are left out; of rows that repeat a document the largest label counts.
     Without rows of both labels the classifier scores everything 0 (or 1, if all are toxic)."""
     rows = labelled.filter("toxic is not null and text is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"), F.min("lang").alias("lang"))
-    got = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).toArrow().combine_chunks()
+    rows = written(rows, "labelled")
+    # Numbers first: at most max_train ids with their texts' sizes come to the driver, then the texts that fit.
+    drawn = rows.select("doc_id", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("draw")).orderBy("draw", "doc_id").limit(max_train).collect()
+    kept = [(drawn[i].doc_id,) for i in _within([r.bytes for r in drawn], max_bytes)]
+    chosen = labelled.sparkSession.createDataFrame(kept, rows.select("doc_id").schema)
+    order = {doc_id: i for i, (doc_id,) in enumerate(kept)}
+    # A null doc_id is one document, as it is one group.
+    got = rows.join(F.broadcast(chosen.withColumnRenamed("doc_id", "own")), rows["doc_id"].eqNullSafe(F.col("own"))).drop("own").toArrow()
+    got = got.take(np.argsort([order[x] for x in got.column("doc_id").to_pylist()])).combine_chunks()
     model = Cnn(seed)
     label = np.array([int(v > 0) for v in got.column("toxic").to_pylist()], np.int64)
     if len(set(label.tolist())) < 2:
