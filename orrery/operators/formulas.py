@@ -31,6 +31,44 @@ def rows_of(formulas: dict[str, Formula]) -> list[tuple[str, int, int | None, st
     return out
 
 
+def combined(left: DataFrame, right: DataFrame, kind: str) -> DataFrame:
+    """The formulas (left kind right) of those that both tables have by name. Parts of the same kind are taken up as they are:
+    (a & b) & c is one `and` of three."""
+    both = left.select("formula").distinct().join(right.select("formula").distinct(), "formula")
+    out = both.select("formula", F.lit(-1).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("label"))
+    for side, rows in enumerate((left, right)):
+        rows = rows.join(both, "formula", "left_semi")
+        same = rows.filter(F.col("parent").isNull() & (F.col("kind") == kind)).select("formula", F.col("node").alias("root"))
+        own = lambda c: F.col(c) * 2 + side
+        held = rows.join(same, "formula", "left").filter(F.col("root").isNull() | (F.col("node") != F.col("root")))
+        parent = F.when(F.col("parent").isNull() | (F.col("parent") == F.col("root")), F.lit(-1)).otherwise(own("parent"))
+        out = out.unionByName(held.select("formula", own("node").alias("node"), parent.cast("long").alias("parent"), "kind", "label"))
+    return out
+
+
+def negated(nodes: DataFrame) -> DataFrame:
+    """The negations of the formulas."""
+    top = nodes.select("formula").distinct().select("formula", F.lit(-1).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit("not").alias("kind"), F.lit(None).cast("string").alias("label"))
+    return top.unionByName(nodes.select("formula", "node", F.coalesce("parent", F.lit(-1)).cast("long").alias("parent"), "kind", "label"))
+
+
+def parts_of(nodes: DataFrame, kind: str) -> DataFrame:
+    """(formula, node): the parts of formulas that are an `and`, an `or` or a negation as a whole; others have none."""
+    roots = nodes.filter(F.col("parent").isNull() & (F.col("kind") == kind)).select("formula", F.col("node").alias("parent"))
+    return nodes.join(roots, ["formula", "parent"], "left_semi").select("formula", "node")
+
+
+def truth(found: DataFrame, values: DataFrame) -> DataFrame:
+    """(formula, value) of disjunctive clauses (formula, clause) under values (formula, label, value): whether some clause's
+    literals are all true. T is true and F false; a clause with a name that has no value, or a null one, is not true."""
+    each = found.distinct().select("formula", F.col("clause").alias("at"), F.explode("clause").alias("literal"))
+    label = F.regexp_replace("literal", "^!", "")
+    known = each.select("formula", "at", label.alias("label"), F.col("literal").startswith("!").alias("turned")).join(values, ["formula", "label"], "left")
+    value = F.when(F.col("label") == "T", True).when(F.col("label") == "F", False).otherwise(F.col("value"))
+    good = F.coalesce(value != F.col("turned"), F.lit(False))
+    return known.groupBy("formula", "at").agg(F.bool_and(good).alias("good")).groupBy("formula").agg(F.bool_or("good").alias("value"))
+
+
 def negation_normal(nodes: DataFrame) -> DataFrame:
     """The formulas without negations: and and or below an odd number of them change places, names and values there are
     labelled with a `!` in front (De Morgan's laws, all formulas a level at a time). Children of a negation move up."""

@@ -88,6 +88,22 @@ def buchi_region(vertices: DataFrame, arcs: DataFrame, accepting: DataFrame, pla
         candidate = saved(candidate.join(lost.select("v"), "v", "left_anti"))
 
 
+def expanded(region: DataFrame, more: DataFrame) -> DataFrame:
+    """The region (v) with more vertices (v)."""
+    return region.select("v").unionByName(more.select("v")).distinct()
+
+
+def contracted(region: DataFrame, fewer: DataFrame) -> DataFrame:
+    """The region without some vertices (v)."""
+    return region.select("v").join(fewer.select("v"), "v", "left_anti")
+
+
+def included(vertices: DataFrame, region: DataFrame) -> DataFrame:
+    """(v, inside) of every vertex."""
+    mark = region.select("v").distinct().withColumn("inside", F.lit(True))
+    return vertices.select("v").join(mark, "v", "left").fillna(False, ["inside"])
+
+
 def buchi_strategy(vertices: DataFrame, arcs: DataFrame, accepting: DataFrame, region: DataFrame, player: str) -> DataFrame:
     """(v, succ): for the player's vertices of the region that buchi_region gave, moves that visit accepting again and
     again: at accepting ones the first arc that stays in the region, elsewhere the successor of least (rank, arc id) on

@@ -108,29 +108,29 @@ def class_numbers(spark, d):
     return R.class_order(C._classes(spark, d), C._layers(spark, d))
 
 
-_PACKED = "x AS (SELECT l_suppkey AS k, coalesce(list_sort(list(DISTINCT l_partkey) FILTER (l_returnflag = 'R')), []) AS a, coalesce(list_sort(list(DISTINCT l_partkey) FILTER (l_quantity > 25)), []) AS b FROM lineitem GROUP BY l_suppkey), n AS (SELECT max(l_partkey) + 1 AS n FROM lineitem)"
+_PACKED = "x AS (SELECT l_suppkey AS k, coalesce(list_sort(list(DISTINCT l_partkey) FILTER (l_returnflag = 'R' AND (l_suppkey % 2 = 1 OR l_quantity > 25))), []) AS a, coalesce(list_sort(list(DISTINCT l_partkey) FILTER (l_quantity > 25)), []) AS b FROM lineitem GROUP BY l_suppkey), n AS (SELECT max(l_partkey) + 1 AS n FROM lineitem)"
 
 
 @_query(f"WITH {_PACKED}, y AS (SELECT *, list_intersect(a, b) AS m FROM x, n) SELECT k, len(a)::BIGINT AS ones, (n - len(a))::BIGINT AS zeros, len(list_distinct(a || b))::BIGINT AS joined, len(m)::BIGINT AS met, md5(array_to_string(list_sort(m), ',')) AS met_places, md5(array_to_string(list_filter(a, lambda z: NOT list_contains(b, z)), ',')) AS minus_places, len(m) = len(a) AS below, CASE WHEN len(m) = len(a) AND len(m) = len(b) THEN 0 WHEN len(m) = len(a) THEN -1 WHEN len(m) = len(b) THEN 1 END AS compared, list_contains(a, 70) AS bit, len(list_distinct(a || [n + 100]))::BIGINT AS more FROM y")
 def packed_bit_lattice(spark, d):
-    """Each supplier's parts, sent back or sold in numbers, as packed sets."""
+    """Each supplier's parts, sent back (with even keys those in numbers) or sold in numbers, as packed sets."""
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("part"), "l_returnflag", "l_quantity")
     n = rows.agg(F.max("part")).first()[0] + 1
     of = lambda cond, name: lattice.packed(rows.select("k", F.when(cond, F.col("part")).alias("part")), "k", "part", n, name)
-    both = saved(of(F.col("l_returnflag") == "R", "a").join(of(F.col("l_quantity") > 25, "b"), "k"))
+    both = saved(of((F.col("l_returnflag") == "R") & ((F.col("k") % 2 == 1) | (F.col("l_quantity") > 25)), "a").join(of(F.col("l_quantity") > 25, "b"), "k"))
     a, b = F.col("a"), F.col("b")
     text = lambda c: F.md5(C._listed(lattice.places_of(c)).cast("binary"))
     more = lattice.set_word_bit(a, F.lit(n + 100), F.lit(True))
     return both.select("k", lattice.count_words(a).alias("ones"), lattice.count_words(lattice.complement_words(a, n)).alias("zeros"), lattice.count_words(lattice.join_words(a, b)).alias("joined"), lattice.count_words(lattice.meet_words(a, b)).alias("met"), text(lattice.meet_words(a, b)).alias("met_places"), text(lattice.minus_words(a, b)).alias("minus_places"), lattice.words_below(a, b).alias("below"), lattice.compare_words(a, b).alias("compared"), lattice.word_bit(a, F.lit(70)).alias("bit"), lattice.count_words(more).alias("more"))
 
 
-@_query("WITH s AS (SELECT DISTINCT l_suppkey % 10 AS g, l_suppkey AS k, l_partkey % 200 AS p FROM lineitem), n AS (SELECT g, count(DISTINCT k) AS n FROM s GROUP BY g), c AS (SELECT g, p, count(*) AS c FROM s GROUP BY g, p) SELECT g, count(*) AS joined, count(*) FILTER (c = n) AS met FROM c JOIN n USING (g) GROUP BY g")
+@_query("WITH s AS (SELECT l_suppkey % 10 AS g, l_suppkey AS k, l_partkey % 200 AS p, bool_or(l_quantity > 49) AS many FROM lineitem GROUP BY ALL), n AS (SELECT g, count(DISTINCT k) AS n FROM s GROUP BY g), c AS (SELECT g, p, count(*) AS c, bool_or(many) AS many FROM s GROUP BY g, p) SELECT g, count(*) FILTER (many) AS joined, count(*) FILTER (c = n) AS met FROM c JOIN n USING (g) GROUP BY g")
 def packed_aggregates(spark, d):
-    """Unions and intersections of the packed sets of suppliers whose keys end alike."""
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 200).alias("part"))
-    sets = saved(lattice.packed(rows, "k", "part", 200).withColumn("g", F.col("k") % 10))
+    """Unions (of parts sold in great numbers) and intersections of the packed sets of suppliers whose keys end alike."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("k"), (F.col("l_partkey") % 200).alias("part"), F.when(F.col("l_quantity") > 49, F.col("l_partkey") % 200).alias("many"))
     size = lattice.words_for(200)
-    joined = lattice.join_packed(sets, "g", "words", size).select("g", lattice.count_words(F.col("words")).alias("joined"))
+    sets = saved(lattice.packed(rows, "k", "part", 200).join(lattice.packed(rows, "k", "many", 200, "large"), "k").withColumn("g", F.col("k") % 10))
+    joined = lattice.join_packed(sets.select("g", F.col("large").alias("words")), "g", "words", size).select("g", lattice.count_words(F.col("words")).alias("joined"))
     return joined.join(lattice.meet_packed(sets, "g", "words", size).select("g", lattice.count_words(F.col("words")).alias("met")), "g")
 
 
@@ -167,12 +167,12 @@ def _shapes() -> dict[str, B.Formula]:
     return {"not-or": ~(a | ~b), "and-or": (a & b) | c, "not-deep": ~((a & b) | (c & ~a)), "nested": a | (b & (c | a)), "constant": ~B.embed(True) | (a & ~~b)}
 
 
-def _part_formulas(spark, d):
+def _part_formulas(spark, d, turn: int = 0):
     shapes = formulas.rows_of(_shapes())
     templates = spark.createDataFrame(shapes, "shape string, node long, parent long, kind string, label string")
     name = lambda c: F.concat(F.lit("p"), (c % 4).cast("string"))
     key = F.col("p_partkey")
-    parts = spark.read.parquet(f"{d}/part.parquet").select(key.alias("formula"), F.element_at(F.array(*map(F.lit, _SHAPES)), (key % 5 + 1).cast("int")).alias("shape"), name(F.col("p_size")).alias("a"), name(F.floor(key / 5)).alias("b"), name(F.floor(F.col("p_retailprice"))).alias("c"))
+    parts = spark.read.parquet(f"{d}/part.parquet").select(key.alias("formula"), F.element_at(F.array(*map(F.lit, _SHAPES)), ((key + turn) % 5 + 1).cast("int")).alias("shape"), name(F.col("p_size")).alias("a"), name(F.floor(key / 5)).alias("b"), name(F.floor(F.col("p_retailprice"))).alias("c"))
     own = F.when(F.col("label") == "a", F.col("a")).when(F.col("label") == "b", F.col("b")).when(F.col("label") == "c", F.col("c")).otherwise(F.col("label"))
     return parts.join(F.broadcast(templates), "shape").select("formula", "node", "parent", "kind", own.alias("label"))
 
@@ -326,3 +326,46 @@ def tail_and_head_ranges(spark, d):
         first = found.filter("size > 0").select("e", F.col("first").alias("at"), F.col("stop").alias(f"{side}_stop")).join(members, "at").select("e", f"{side}_stop", F.col("member").alias(f"first_{side}"))
         out = out.join(first, "e")
     return out
+
+
+_NAMES = "p AS (SELECT p_partkey AS k, p_partkey % 5 AS s, p_partkey // (p_size % 4 + 2) % 2 = 0 AS a, p_partkey // (p_partkey // 5 % 4 + 2) % 2 = 0 AS b, p_partkey // (floor(p_retailprice)::BIGINT % 4 + 2) % 2 = 0 AS c FROM part)"
+_WORTH = "CASE {0} WHEN 0 THEN NOT (a OR NOT b) WHEN 1 THEN (a AND b) OR c WHEN 2 THEN NOT ((a AND b) OR (c AND NOT a)) WHEN 3 THEN a OR (b AND (c OR a)) ELSE a AND b END"
+
+
+@_query(f"WITH {_NAMES}, w AS (SELECT k, {_WORTH.format('s')} AS f, {_WORTH.format('(s + 1) % 5')} AS g FROM p) SELECT k AS formula, f AS plain, f AND g AS product, f OR g AS total, NOT f AS complement FROM w")
+def formula_algebra(spark, d):
+    """Products, sums and complements of two formulas for each part, and what they are worth under the part's own values."""
+    f = saved(_part_formulas(spark, d))
+    g = saved(_part_formulas(spark, d, 1))
+    part = spark.read.parquet(f"{d}/part.parquet")
+    key, four = F.col("p_partkey"), F.array(*[F.lit(i) for i in range(4)])
+    made = {"plain": f, "product": formulas.combined(f, g, "and"), "total": formulas.combined(f, g, "or"), "complement": formulas.negated(f)}
+    # All of them are worked on together, each under a name of its own.
+    named = [nodes.withColumn("formula", F.concat(F.lit(f"{name} "), F.col("formula").cast("string"))) for name, nodes in made.items()]
+    nodes = named[0].unionByName(named[1]).unionByName(named[2]).unionByName(named[3])
+    values = part.select(key, F.explode(F.array(*map(F.lit, made))).alias("name")).select(key, F.concat("name", F.lit(" "), key.cast("string")).alias("formula"), F.explode(four).alias("i"))
+    values = values.select("formula", F.concat(F.lit("p"), F.col("i").cast("string")).alias("label"), (F.floor(key / (F.col("i") + 2)) % 2 == 0).alias("value"))
+    worth = formulas.truth(formulas.clauses(nodes, "or"), values)
+    of = lambda name: F.bool_or(F.when(F.col("formula").startswith(f"{name} "), F.col("value"))).alias(name)
+    return worth.groupBy(F.substring_index("formula", " ", -1).cast("long").alias("k")).agg(*[of(name) for name in made]).withColumnRenamed("k", "formula")
+
+
+# Fixed values, by hand: shape, `and` nodes, `or` nodes, literals and summands as a whole.
+_KINDS = "(VALUES (0, 1, 0, 'b !a', 0), (1, 1, 1, 'a b c', 2), (2, 1, 2, 'a !a !b !c', 0), (3, 1, 2, 'a a b c', 2), (4, 1, 1, 'a b !T', 2))"
+
+
+@_query(f"WITH {_NAMES}, n AS (SELECT p_partkey AS k, MAP {{'a': 'p' || p_size % 4, 'b': 'p' || p_partkey // 5 % 4, 'c': 'p' || floor(p_retailprice)::BIGINT % 4, 'T': 'T'}} AS names FROM part), t(s, ands, ors, literals, summands) AS {_KINDS} SELECT k AS formula, ands, ors, array_to_string(list_sort(list_transform(string_split(literals, ' '), lambda x: CASE WHEN x[1] = '!' THEN '!' || names[x[2:]] ELSE names[x] END)), ' ') AS literals, summands FROM p JOIN n USING (k) JOIN t USING (s)")
+def formula_negation_normal(spark, d):
+    """What nodes each part's formula has once negations are at names only, and how many summands it had as a whole."""
+    nodes = saved(_part_formulas(spark, d))
+    flat = formulas.negation_normal(nodes).groupBy("formula").agg(F.count_if(F.col("kind") == "and").alias("ands"), F.count_if(F.col("kind") == "or").alias("ors"), F.array_join(F.array_sort(F.collect_list("label")), " ").alias("literals"))
+    parts = formulas.parts_of(nodes, "or").groupBy("formula").agg(F.count("*").alias("summands"))
+    return flat.join(parts, "formula", "left").fillna(0, ["summands"])
+
+
+@_query(f"{C._attractor_sql(C._TARGET, 'Eve')} SELECT v, (v IN (SELECT v FROM reg) OR v % 2 = 0) AND v % 3 <> 0 AS inside FROM v")
+def region_edits(spark, d):
+    """Eve's region with all even customers, without every third."""
+    arena = S.customer_arena(spark, d)
+    region = games.attractor(arena, C._arcs(spark, d), arena.filter(C._TARGET), "Eve")
+    return games.included(arena, games.contracted(games.expanded(region, arena.filter("v % 2 = 0")), arena.filter("v % 3 = 0")))

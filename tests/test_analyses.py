@@ -194,6 +194,23 @@ def test_clauses_of_many_formulas(spark):
     assert formulas.clauses(nodes.filter("false")).count() == 0
 
 
+def test_algebra_of_formulas(spark):
+    rng = random.Random(8)
+    kind = "formula string, node long, parent long, kind string, label string"
+    f, g = ({f"f{i}": drawn(rng, 2) for i in range(25)} for _ in range(2))
+    a, b = (spark.createDataFrame(formulas.rows_of(x), kind) for x in (f, g))
+    value = {x: rng.random() < 0.5 for x in "abcd"}
+    values = spark.createDataFrame([(w, x, v) for w in f for x, v in value.items()], "formula string, label string, value boolean")
+    worth = lambda t: t.args[0] if t.kind == "value" else value[t.args[0]] if t.kind == "name" else not worth(t.args[0]) if t.kind == "not" else (all if t.kind == "and" else any)(worth(x) for x in t.args)
+    made = {"and": formulas.combined(a, b, "and"), "or": formulas.combined(a, b, "or"), "not": formulas.negated(a)}
+    want = {"and": {w: f[w] & g[w] for w in f}, "or": {w: f[w] | g[w] for w in f}, "not": {w: ~f[w] for w in f}}
+    for op, nodes in made.items():
+        got = {r.formula: r.value for r in formulas.truth(formulas.clauses(nodes, "or"), values).collect()}
+        assert got == {w: worth(t) for w, t in want[op].items()}
+        parts = {r.formula: r.n for r in formulas.parts_of(nodes, op).groupBy("formula").agg(F.count("*").alias("n")).collect()}
+        assert parts == {w: len(t.args) for w, t in want[op].items()}
+
+
 def one_by_one(arcs, sequence, vertices):
     arcs = list(arcs)
     for kind, e, src, dst in sequence:
