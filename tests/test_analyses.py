@@ -138,7 +138,7 @@ def heights(arcs, n):
     return found
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_class_order_of_acyclic_graphs(spark, seed):
     rng = random.Random(seed)
     n = 40
