@@ -4,14 +4,15 @@ Words (ASCII lower-cased letters and digits) are hashed into three embedding tab
 its first 4 and 6 bytes, whose rows are put side by side: inflected forms share what their stem has
 learnt, and two words are confused only if all hashes collide. Filters of several widths run over the word
 vectors, each filter keeps its greatest response in the whole text (max pooling), and a logistic layer scores
-them. Training reads at most max_train labelled documents (drawn by a hash of their id) on the
-driver; a share of them is held back to place the score's midpoint and, by language, the thresholds above
+them. Training reads at most max_train labelled documents (drawn by a hash of their id) in one
+task; a share of them is held back to place the score's midpoint and, by language, the thresholds above
 which a document counts as toxic. Bounds of the sample: MAX_TRAIN documents and MAX_TRAIN_BYTES of text. Training and scoring read every text whole, in runs of RUN words, since pooling
 needs only the winning positions; scoring needs no shuffle.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ BITS, SIZE, WIDTHS, FILTERS = 17, 6, (1, 2, 3), 16
 STEMS = (None, 4, 6)
 DIM = SIZE * len(STEMS)
 MAX_TRAIN = 6000
-#: Bytes of training texts on the driver. Drawn documents that would go beyond it are left out, whole.
+#: Bytes of training texts in that task. Drawn documents that would go beyond it are left out, whole.
 MAX_TRAIN_BYTES = 96 << 20
 #: Document visits in training.
 VISITS = 14_000
@@ -143,31 +144,50 @@ def _within(sizes: list[int], most: int) -> list[int]:
     return kept
 
 
-def train(labelled: DataFrame, max_train: int = MAX_TRAIN, visits: int = VISITS, seed: int = 5, max_bytes: int = MAX_TRAIN_BYTES) -> Cnn:
-    """A classifier from columns doc_id, text, toxic and, for thresholds alone, lang.
+def training_sample(labelled: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
+    """(place, text, lang, toxic) of at most max_train documents with max_bytes of text, drawn by a hash of their id.
 
-    Rows without a label, and null texts, are left out; of rows that repeat a document the largest label counts.
-    Without rows of both labels the classifier scores everything 0 (or 1, if all are toxic)."""
+    Rows without a label, and null texts, are left out; of rows that repeat a document the largest label counts."""
     rows = labelled.filter("toxic is not null and text is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"), F.min("lang").alias("lang"))
     rows = written(rows, "labelled")
-    # Numbers first: at most max_train ids with their texts' sizes come to the driver, then the texts that fit.
+    # Numbers first: at most max_train ids with their texts' sizes come to the driver, then the texts that fit are picked.
     drawn = rows.select("doc_id", F.octet_length("text").alias("bytes"), F.xxhash64("doc_id").alias("draw")).orderBy("draw", "doc_id").limit(max_train).collect()
-    kept = [(drawn[i].doc_id,) for i in _within([r.bytes for r in drawn], max_bytes)]
-    chosen = labelled.sparkSession.createDataFrame(kept, rows.select("doc_id").schema)
-    order = {doc_id: i for i, (doc_id,) in enumerate(kept)}
+    kept = [(drawn[i].doc_id, place) for place, i in enumerate(_within([r.bytes for r in drawn], max_bytes))]
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    chosen = labelled.sparkSession.createDataFrame(kept, f"own {kind}, place long")
     # A null doc_id is one document, as it is one group.
-    got = rows.join(F.broadcast(chosen.withColumnRenamed("doc_id", "own")), rows["doc_id"].eqNullSafe(F.col("own"))).drop("own").toArrow()
-    got = got.take(np.argsort([order[x] for x in got.column("doc_id").to_pylist()])).combine_chunks()
+    return rows.join(F.broadcast(chosen), rows["doc_id"].eqNullSafe(F.col("own"))).select("place", "text", "lang", "toxic")
+
+
+def train(labelled: DataFrame, max_train: int = MAX_TRAIN, visits: int = VISITS, seed: int = 5, max_bytes: int = MAX_TRAIN_BYTES) -> Cnn:
+    """A classifier from columns doc_id, text, toxic and, for thresholds alone, lang, of training_sample's rows.
+
+    One task trains on the sample, which has a bound, and sends back the model; if its executor is lost, another one does.
+    Without rows of both labels the classifier scores everything 0 (or 1, if all are toxic)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, lang, label = [], [], []
+        for batch in batches:
+            for part in K.slices(batch):
+                texts += word_rows(part.column("text"))
+            lang += batch.column("lang").to_pylist()
+            label += [int(v > 0) for v in batch.column("toxic").to_pylist()]
+        model = fit(texts, np.array(label, np.int64), lang, visits, seed)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    sample = training_sample(labelled, max_train, max_bytes).repartition(1).sortWithinPartitions("place")
+    made = sample.mapInArrow(run, "model binary").first()
+    # No rows may be no task.
+    return pickle.loads(made.model) if made else fit([], np.zeros(0, np.int64), [], visits, seed)
+
+
+def fit(texts: list[np.ndarray], label: np.ndarray, lang: list[str | None], visits: int, seed: int) -> Cnn:
+    """The classifier of word rows, labels and languages."""
     model = Cnn(seed)
-    label = np.array([int(v > 0) for v in got.column("toxic").to_pylist()], np.int64)
     if len(set(label.tolist())) < 2:
         model.out[:] = 0
         model.base = np.float32(30 if label.any() else -30)
         return model
-    texts = []
-    for batch in got.to_batches():
-        texts += [r for part in K.slices(batch) for r in word_rows(part.column("text"))]
-    lang = got.column("lang").to_pylist()
     rng = np.random.default_rng(seed)
     held = np.arange(len(label)) % 7 == 3
     order = np.flatnonzero(~held)
