@@ -12,6 +12,8 @@ needs only the winning positions; scoring needs no shuffle.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 from collections.abc import Iterator
 
@@ -144,6 +146,15 @@ def _within(sizes: list[int], most: int) -> list[int]:
     return kept
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system, as far as that can be asked for: the worker goes on to other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def training_sample(labelled: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
     """(place, text, lang, toxic) of at most max_train documents with max_bytes of text, drawn by a hash of their id.
 
@@ -168,12 +179,14 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, visits: int = VISITS,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, lang, label = [], [], []
         for batch in batches:
-            for part in K.slices(batch):
+            for part in K.slices(batch, limit=1 << 19):
                 texts += word_rows(part.column("text"))
             lang += batch.column("lang").to_pylist()
             label += [int(v > 0) for v in batch.column("toxic").to_pylist()]
-        model = fit(texts, np.array(label, np.int64), lang, visits, seed)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+        model = pickle.dumps(fit(texts, np.array(label, np.int64), lang, visits, seed))
+        texts.clear()
+        _give_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     sample = training_sample(labelled, max_train, max_bytes).repartition(1).sortWithinPartitions("place")
     made = sample.mapInArrow(run, "model binary").first()
