@@ -40,7 +40,9 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
         alone = alone.join(several, "doc_id", "left_anti")
     place = F.monotonically_increasing_id()
     numbered = written(lost.withColumn(key, F.lit(ends[1] + 1) + place if ends[1] < 1 << 62 else F.lit(ends[0] - 1) - place), "numbered")
-    return alone.withColumn(key, F.col("doc_id").cast("long")).unionByName(numbered), key
+    alone = alone.withColumn(key, F.col("doc_id").cast("long"))
+    # Most tables have no such rows: plans that read the rows stay small.
+    return (alone if numbered.isEmpty() else alone.unionByName(numbered)), key
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
