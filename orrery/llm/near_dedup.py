@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
 from orrery.llm.storage import written
-from orrery.plans.skew import unique_join
+from orrery.plans.skew import hot_keys, unique_join
 
 SHINGLE, SIMILARITY = 5, 80
 BANDS, ROWS, BITS = 24, 5, 512
@@ -138,22 +138,28 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, text: str, key: str, seed:
     return found.dropDuplicates(["class"]).join(wanted.select("class", "v"), "class").select("v", "shingles")
 
 
-def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(v, component): the least node that each node reaches over edges (a, b).
+def connected(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(v, component): the least node that each node reaches over edges (a, b). Without nodes: the ends of the edges.
 
-    Every round takes the least label among neighbours and then the label's own label; it ends when none changes.
+    Every round takes the least label among neighbours and then the label's own label; it ends when none changes. Nodes
+    without edges have no part in the rounds. Edges stay as they are, so their hot ends are counted once.
     """
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(nodes.select("v", F.col("v").alias("component")), "labels")
-    while True:
-        near = unique_join(both, labels.withColumnRenamed("v", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        least = labels.join(near.withColumnRenamed("a", "v"), "v", "left").select("v", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
+    labels = written(both.select(F.col("a").alias("v")).distinct().withColumn("component", F.col("v")), "labels")
+    ends, total = hot_keys(both, "b"), labels.count()
+    while total:
+        near = unique_join(both, labels.withColumnRenamed("v", "b"), "b", known=ends).groupBy("a").agg(F.min("component").alias("near"))
+        least = labels.join(near.withColumnRenamed("a", "v"), "v").select("v", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         least = written(least, "least")
         jump = least.select(F.col("v").alias("component"), F.col("component").alias("further"))
-        after = written(unique_join(least, jump, "component").select("v", "old", F.col("further").alias("component")), "labels")
+        heads = hot_keys(least, "component", total)
+        after = written(unique_join(least, jump, "component", known=heads).select("v", "old", F.col("further").alias("component")), "labels")
         labels = after.select("v", "component")
         if after.filter("old <> component").isEmpty():
-            return labels
+            break
+    if nodes is None:
+        return labels
+    return written(nodes.select("v").join(labels, "v", "left").select("v", F.coalesce("component", "v").alias("component")), "labels")
 
 
 def _pivots(buckets: DataFrame, similarity: int) -> DataFrame:
@@ -295,7 +301,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similarity: int = SIMILAR
     if not more.isEmpty():
         of = lambda side: labels.select(F.col("v").alias(side), F.col("component").alias(f"{side}_"))
         arcs = written(more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b")).filter("a <> b").distinct(), "arcs")
-        joined = connected(arcs, arcs.select(F.col("a").alias("v")).unionByName(arcs.select(F.col("b").alias("v"))).distinct())
+        joined = connected(arcs)
         joined = joined.select(F.col("v").alias("component"), F.col("component").alias("further"))
         labels = written(unique_join(labels, joined, "component", "left").select("v", F.coalesce("further", "component").alias("component")), "labels")
     named = written(heads.select("v", "class", "least").join(labels, "v"), "named")
