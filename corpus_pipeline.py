@@ -10,6 +10,10 @@ from orrery.llm import decontamination, exact_dedup, near_dedup, packing, toxici
 from orrery.llm.storage import written
 
 
+#: Keys of dropped rows that are sent to all tasks; where there are more, rows and keys are shuffled.
+SENT_KEYS = 1 << 17
+
+
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents at or above their language's threshold go. Labels come from the table labels. Null and empty texts are
     scored as texts without words; rows that repeat are judged alike; no documents, no rows."""
@@ -45,6 +49,12 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     return (alone if numbered.isEmpty() else alone.unionByName(numbered)), key
 
 
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """docs less the rows whose key is in gone. Rows stay where they are, texts and all, unless gone has over SENT_KEYS."""
+    gone = written(gone, "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= SENT_KEYS else gone, key, "left_anti")
+
+
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the least doc_id stays.
 
@@ -52,7 +62,7 @@ def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     others. A pair at the threshold is missed with a probability of 7e-5."""
     keyed, key = with_row_key(docs)
     gone = near_dedup.near_duplicates(keyed, key=key).filter(~F.col("kept")).select(F.col("doc_id").alias(key))
-    return keyed.join(gone, key, "left_anti").select(*docs.columns)
+    return without(keyed, gone, key).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +71,7 @@ def drop_benchmark_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed, key = with_row_key(docs)
     found = decontamination.contamination(keyed.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     gone = found.filter("n_hit > 0").select(F.col("doc_id").alias(key))
-    return keyed.join(gone, key, "left_anti").select(*docs.columns)
+    return without(keyed, gone, key).select(*docs.columns)
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

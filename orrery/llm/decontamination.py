@@ -50,7 +50,7 @@ def build_index(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 4), strict=True)], ["segment", "ids", "first", "terms", "ends", "begins", "positions"])
                 number += 1
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(segments, _SEGMENT)
+    return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(K.tidy(segments), _SEGMENT)
 
 
 def indexed_documents(index: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def matches(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int
                     names = pa.array([query.value.ids[k] for k in item.tolist()], pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(item), segment.number), pa.int64()), pa.array(doc, pa.int32()), names, pa.array(start - base, pa.int32()), pa.array(stop - base, pa.int32())], ["segment", "row", "item_id", "start", "stop"])
 
-        found = index.select("segment", "first", "terms", "ends", "begins", "positions").mapInArrow(search, _FOUND)
+        found = index.select("segment", "first", "terms", "ends", "begins", "positions").mapInArrow(K.tidy(search), _FOUND)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -6,9 +6,12 @@ by hashes draw the seed once for each job; models, which only bin words, use see
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import hashlib
 import secrets
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +42,28 @@ def draw_seed() -> int:
     return secrets.randbits(63)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, as far as that can be asked for: the worker goes on to other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The task over batches, which gives back its memory when it ends: else idle workers hold it beside later stages."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `limit` text bytes, each of at least one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

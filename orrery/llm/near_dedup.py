@@ -120,7 +120,7 @@ def signatures(docs: DataFrame, k: int, text: str, key: str, seed: int) -> DataF
                 types = (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "class", "n_shingles", "bands", "sketch"])
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, _SIGNATURE)
+    return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(K.tidy(run), _SIGNATURE)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, text: str, key: str, seed: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, text: str, key: str, seed:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([K.signed(x) for x in found.values()], pa.list_(pa.int64()))], ["class", "shingles"])
 
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("least"), F.col(f"`{text}`").alias("text"))
-    found = rows.join(wanted.select("least").distinct(), "least", "left_semi").mapInArrow(run, "class binary, shingles array<long>")
+    found = rows.join(wanted.select("least").distinct(), "least", "left_semi").mapInArrow(K.tidy(run), "class binary, shingles array<long>")
     return found.dropDuplicates(["class"]).join(wanted.select("class", "v"), "class").select("v", "shingles")
 
 

@@ -123,7 +123,7 @@ def cut_pieces(docs: DataFrame, ranks_path: str, max_tokens: int = MAX_TOKENS, t
                 types = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "bucket"])
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(run, _PIECE)
+    return docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").alias("text")).mapInArrow(K.tidy(run), _PIECE)
 
 
 def knapsack(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -244,7 +244,7 @@ def pack(docs: DataFrame, ranks_path: str, max_tokens: int = MAX_TOKENS, text: s
             size, at = batch.column("class").to_numpy(), batch.column("rank").to_numpy()
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places.value.sequence_of(size, at))], [*batch.schema.names, "sequence_id"])
 
-    placed = ranked.mapInArrow(assign, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, rank long, sequence_id long")
+    placed = ranked.mapInArrow(K.tidy(assign), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, rank long, sequence_id long")
     order = W.partitionBy("sequence_id").orderBy(F.desc("class"), "rank")
     offset = F.sum("length").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("length")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset.alias("offset"))

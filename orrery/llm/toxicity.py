@@ -12,8 +12,6 @@ needs only the winning positions; scoring needs no shuffle.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import pickle
 from collections.abc import Iterator
 
@@ -146,15 +144,6 @@ def _within(sizes: list[int], most: int) -> list[int]:
     return kept
 
 
-def _give_back() -> None:
-    """Freed memory goes back to the system, as far as that can be asked for: the worker goes on to other tasks."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
 def training_sample(labelled: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
     """(place, text, lang, toxic) of at most max_train documents with max_bytes of text, drawn by a hash of their id.
 
@@ -184,12 +173,10 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, visits: int = VISITS,
             lang += batch.column("lang").to_pylist()
             label += [int(v > 0) for v in batch.column("toxic").to_pylist()]
         model = pickle.dumps(fit(texts, np.array(label, np.int64), lang, visits, seed))
-        texts.clear()
-        _give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     sample = training_sample(labelled, max_train, max_bytes).repartition(1).sortWithinPartitions("place")
-    made = sample.mapInArrow(run, "model binary").first()
+    made = sample.mapInArrow(K.tidy(run), "model binary").first()
     # No rows may be no task.
     return pickle.loads(made.model) if made else fit([], np.zeros(0, np.int64), [], visits, seed)
 
@@ -229,15 +216,16 @@ def score_texts(docs: DataFrame, model: Cnn, text: str = "text", lang: str | Non
     docs = docs.drop("score", *(["toxic_flag"] if lang else []))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scores(texts):
-        import pandas as pd
-
-        batch = pa.RecordBatch.from_arrays([pa.Array.from_pandas(texts, type=pa.large_string())], ["text"])
-        out = []
-        for part in K.slices(batch, limit=1 << 22):
-            out += [shared.value.score(rows) for rows in word_rows(part.column("text"))]
-        return pd.Series(out, dtype=float)
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                out = []
+                for part in K.slices(pa.RecordBatch.from_arrays([texts], ["text"]), limit=1 << 20):
+                    out += [shared.value.score(rows) for rows in word_rows(part.column("text"))]
+                yield pa.array(out, pa.float64())
+        finally:
+            K.give_back()
 
     docs = docs.withColumn("score", scores(F.col(f"`{text}`")))
     if lang:
