@@ -1,12 +1,13 @@
 """Substring dedup by repeated-phrase automata.
 
-Of every window the words with the least hash are its anchor phrase. Phrases that occur more than once in the corpus
-are confirmed as words, and go to the shards (some megabytes of whole documents) that have them. Each shard compiles
-its confirmed phrases into one Aho-Corasick automaton (words coded as a few letters each, so the automaton
-compares whole words) and streams its documents through it, which locates every occurrence. Windows whose anchor
-phrase was located are the candidates: they are compared across shards by 96 bits of two keyed hashes, the first in a
-shard speaking for the others, and every window but the earliest of its kind is removed. Later copies of whole texts
-are known by their digests and need no windows.
+Of every window the words with the least hash are its anchor phrase. Phrases are counted by their keyed hashes, so no
+words are shuffled for that; the hashes of those that occur more than once in the corpus go to the shards (some megabytes
+of whole documents) that have them. Each shard compiles its own phrases of these hashes into one Aho-Corasick automaton
+(words coded as a few letters each, so the automaton compares whole words) and streams its documents through it, which
+locates every occurrence. Windows whose anchor phrase was located are the candidates (a clash of hashes would only add
+some): they are compared across shards by 96 bits of two keyed hashes, the first in a shard speaking for the others, and
+every window but the earliest of its kind is removed. Later copies of whole texts are known by their digests and need no
+windows.
 """
 
 from __future__ import annotations
@@ -16,13 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.llm import kernels as K
-from orrery.llm.recurring import NO_ID, SHARD_BYTES, recurring_phrases
+from orrery.llm.recurring import NO_ID, SHARD_BYTES, recurring_anchors
 from orrery.llm.storage import written
 from orrery.plans.skew import unique_join
 
@@ -41,19 +41,15 @@ def coded(ids: np.ndarray, distinct: int) -> tuple[str, int]:
     return letters.tobytes().decode("utf-16-le"), places
 
 
-def phrase_automaton(phrases: pa.Array, dictionary: pa.Array, phrase: int):
-    """The automaton of the phrases (of `phrase` words joined by a blank), coded by the dictionary of the words that
-    will be searched; None without phrases. A phrase with a word outside the dictionary occurs nowhere."""
+def phrase_automaton(phrases: np.ndarray, distinct: int):
+    """The automaton of the phrases, given as rows of word numbers below distinct, coded like the texts that will be
+    searched; None without phrases."""
     import ahocorasick
 
-    data, offsets = K.text_bytes(phrases)
-    words = K.words_in(data, offsets, K.NOT_SPACE, hashes=False)
-    ids = pc.index_in(K.binary_array(data, words.starts, words.ends), value_set=dictionary)
-    known = ids.is_valid().to_numpy(zero_copy_only=False).reshape(-1, phrase).all(1)
-    if not known.any():
+    if not len(phrases):
         return None
-    code, places = coded(pc.fill_null(ids, 0).to_numpy().astype(np.int64).reshape(-1, phrase)[known].ravel(), len(dictionary))
-    step = phrase * places
+    code, places = coded(phrases.ravel().astype(np.int64), distinct)
+    step = phrases.shape[1] * places
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for at in range(0, len(code), step):
         automaton.add_word(code[at : at + step])
@@ -61,14 +57,31 @@ def phrase_automaton(phrases: pa.Array, dictionary: pa.Array, phrase: int):
     return automaton
 
 
-def _candidates(docs: pa.Table, phrases: pa.Array, window: int, phrase: int, seeds: tuple[int, int]) -> tuple[np.ndarray, ...]:
+def _phrases(words: K.Words, ids: np.ndarray, recurring: np.ndarray, window: int, phrase: int) -> np.ndarray:
+    """The anchor phrases of these texts whose hashes are in recurring (sorted), as rows of word numbers."""
+    at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for i, own in K.per_doc(words):
+        if len(own) >= window:
+            hashes = K.grams(own, phrase)
+            _, p = K.minimisers(hashes, window - phrase + 1)
+            at.append(p + words.first[i])
+            found.append(hashes[p])
+    at, found = np.concatenate(at), np.concatenate(found)
+    same = recurring[np.minimum(np.searchsorted(recurring, found), len(recurring) - 1)] == found
+    rows = ids[at[same][:, None] + np.arange(phrase)].astype(np.int32)
+    # Each phrase once, told apart by its words.
+    whole = np.ascontiguousarray(rows).view(np.dtype((np.void, 4 * phrase))).ravel()
+    return rows[np.unique(whole, return_index=True)[1]]
+
+
+def _candidates(docs: pa.Table, recurring: np.ndarray, window: int, phrase: int, seeds: tuple[int, int]) -> tuple[np.ndarray, ...]:
     """(id, line, position, two hashes, whether an earlier equal window is in the shard) of the shard's candidate windows."""
     none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.uint64, np.uint64, bool))
     order = np.lexsort((docs.column("line").to_numpy(), docs.column("id").to_numpy()))
     docs = docs.take(pa.array(order)).combine_chunks()
     words = K.words_of(docs.column("text").combine_chunks() if isinstance(docs.column("text"), pa.ChunkedArray) else docs.column("text"), K.NOT_SPACE, seed=seeds[0])
     dictionary, ids = K.distinct_words(words.data, words.starts, words.ends)
-    automaton = phrase_automaton(phrases, dictionary, phrase)
+    automaton = phrase_automaton(_phrases(words, ids, recurring, window, phrase), len(dictionary))
     if automaton is None:
         return none
     names, lines = docs.column("id").to_numpy(), docs.column("line").to_numpy()
@@ -128,24 +141,24 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     rows = docs.withColumn("shard", F.pmod(deal, F.lit(1 + size // SHARD_BYTES)).cast("int"))
     none = F.lit(None).cast("long")
     seeds = K.draw_seed(), K.draw_seed()
-    no_phrase = F.lit(None).cast("binary").alias("phrase")
-    phrases = recurring_phrases(rows, phrase, window, seeds[0]).select("shard", "phrase", none.alias("copy"), none.alias("copy_line"), none.alias("clash"))
+    no_hash = none.alias("hash")
+    anchors = recurring_anchors(rows, phrase, window, seeds[0]).select("shard", "hash", none.alias("copy"), none.alias("copy_line"), none.alias("clash"))
     named = rows.select("id", "line", "shard", F.unhex(F.sha2("text", 256)).alias("name")).filter("name is not null")
     # Ids that are listed with several texts.
     several = named.filter(F.col("id") != NO_ID).groupBy("id").agg(F.min("name").alias("least"), F.max("name").alias("most")).filter("least <> most").select("id", F.lit(True).alias("several"))
     named = named.join(several, "id", "left")
     line = F.when(F.col("several"), F.conv(F.hex(F.substring("name", 1, 8)), 16, -10).cast("long")).otherwise(F.col("line"))
     named = written(named.withColumn("line", line), "names")
-    clashes = named.filter("several").select("shard", no_phrase, none.alias("copy"), none.alias("copy_line"), F.col("id").alias("clash")).distinct()
+    clashes = named.filter("several").select("shard", no_hash, none.alias("copy"), none.alias("copy_line"), F.col("id").alias("clash")).distinct()
     # Later copies of whole texts repeat in all their windows; only their ids and lines need to be known.
     earliest = named.groupBy("name").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = unique_join(named, earliest, "name").filter(F.struct("id", "line") != F.col("first")).select("shard", no_phrase, F.col("id").alias("copy"), F.col("line").alias("copy_line"), none.alias("clash"))
+    copies = unique_join(named, earliest, "name").filter(F.struct("id", "line") != F.col("first")).select("shard", no_hash, F.col("id").alias("copy"), F.col("line").alias("copy_line"), none.alias("clash"))
 
     def shard(left: pa.Table, right: pa.Table) -> pa.Table:
         name, line, start, one, two, stop = _shard_windows(left, right, window, phrase, seeds)
         return pa.table([pa.array(name, pa.int64()), pa.array(line, pa.int64()), pa.array(start, pa.int32()), pa.array(K.signed(one)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(stop, pa.int32())], ["id", "line", "start", "one", "two", "stop"])
 
-    found = rows.groupBy("shard").cogroup(phrases.unionByName(copies).unionByName(clashes).groupBy("shard")).applyInArrow(shard, "id long, line long, start int, one long, two int, stop int")
+    found = rows.groupBy("shard").cogroup(anchors.unionByName(copies).unionByName(clashes).groupBy("shard")).applyInArrow(shard, "id long, line long, start int, one long, two int, stop int")
     # rank, not row_number: the same position of a repeated row is no repeat of itself.
     place = F.rank().over(W.partitionBy("one", "two").orderBy("id", "line", "start"))
     repeats = found.withColumn("place", place).filter("stop > start or place > 1")
@@ -163,8 +176,8 @@ def _shard_windows(left: pa.Table, right: pa.Table, window: int, phrase: int, se
     copies = set(zip(right.column("copy").drop_null().to_pylist(), right.column("copy_line").drop_null().to_pylist(), strict=True))
     known = np.fromiter((v in copies for v in zip(ids.tolist(), lines.tolist(), strict=True)), bool, len(ids))
     fresh = left.filter(pa.array(~known))
-    phrases = pc.unique(right.column("phrase").drop_null().cast(pa.large_binary()))
-    name, line, start, one, two, later = _candidates(fresh, phrases, window, phrase, seeds) if fresh.num_rows and len(phrases) else none
+    recurring = np.unique(right.column("hash").drop_null().to_numpy().view(np.uint64))
+    name, line, start, one, two, later = _candidates(fresh, recurring, window, phrase, seeds) if fresh.num_rows and len(recurring) else none
     stop = np.zeros(len(name), np.int64)
     if later.any():
         # Neighbouring repeats of one document become one run.

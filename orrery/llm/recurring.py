@@ -32,19 +32,18 @@ def sharded(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     return docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_ID)).alias("id"), F.col(f"`{text}`").alias("text"), shard.alias("shard"))
 
 
-def _anchors(part: pa.RecordBatch, k: int, window: int, seed: int) -> tuple[K.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of a slice, and of its anchors the first word, the shard and the hash."""
+def _anchors(part: pa.RecordBatch, k: int, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard and hash of a slice's anchors."""
     words = K.words_of(part.column("text"), K.NOT_SPACE, seed=seed)
     shard = part.column("shard").to_numpy()
-    at, owner, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
+    owner, found = [np.zeros(0, np.int32)], [np.zeros(0, np.uint64)]
     for i, own in K.per_doc(words):
         if len(own) >= window:
             hashes = K.grams(own, k)
             _, p = K.minimisers(hashes, window - k + 1)
-            at.append(p + words.first[i])
             owner.append(np.full(len(p), shard[i], np.int32))
             found.append(hashes[p])
-    return words, *(np.concatenate(x) for x in (at, owner, found))
+    return np.concatenate(owner), np.concatenate(found)
 
 
 def told_apart(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -66,39 +65,16 @@ def told_apart(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
     return index, shard.astype(np.int32), salt.astype(np.int32), np.concatenate([np.minimum(n, 1 << 30), np.full(len(each), 2)]).astype(np.int32)
 
 
-def _recurring(anchors: DataFrame, name: str) -> DataFrame:
-    total = F.sum("n").over(W.partitionBy(name, "salt"))
-    return anchors.withColumn("total", total).filter("total > 1 and shard >= 0").select("shard", name)
-
-
 def recurring_anchors(rows: DataFrame, k: int, window: int, seed: int) -> DataFrame:
     """(shard, hash) of the anchors whose hash occurs at least twice in the corpus, for every shard that has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch, limit=1 << 23):
-                _, _, owner, found = _anchors(part, k, window, seed)
+                owner, found = _anchors(part, k, window, seed)
                 index, *rest = told_apart(found, owner)
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(found[index])), *map(pa.array, rest)], ["hash", "shard", "salt", "n"])
 
-    return _recurring(rows.mapInArrow(run, "hash long, shard int, salt int, n int"), "hash")
-
-
-def recurring_phrases(rows: DataFrame, k: int, window: int, seed: int) -> DataFrame:
-    """(shard, phrase) of the anchor phrases that occur at least twice in the corpus, compared as words (joined by a
-    blank), for every shard that has them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in K.slices(batch, limit=1 << 23):
-                words, at, owner, _ = _anchors(part, k, window, seed)
-                size = words.ends - words.starts + 1
-                begin = np.concatenate([[0], np.cumsum(size)])
-                # Every word, with a blank behind it.
-                text = words.data[np.minimum(K.ragged(words.starts, size), max(0, len(words.data) - 1))]
-                text[begin[1:] - 1] = 0x20
-                phrases, code = K.distinct_words(text, begin[at], begin[at + k] - 1)
-                index, *rest = told_apart(code, owner)
-                yield pa.RecordBatch.from_arrays([phrases.take(pa.array(code[index])).cast(pa.binary()), *map(pa.array, rest)], ["phrase", "shard", "salt", "n"])
-
-    return _recurring(rows.mapInArrow(run, "phrase binary, shard int, salt int, n int"), "phrase")
+    anchors = rows.mapInArrow(run, "hash long, shard int, salt int, n int")
+    total = F.sum("n").over(W.partitionBy("hash", "salt"))
+    return anchors.withColumn("total", total).filter("total > 1 and shard >= 0").select("shard", "hash")
