@@ -27,6 +27,9 @@ WINDOW = 10
 BLOCK_BYTES = 8 << 20
 #: Candidate places of windows that a task looks at together.
 CANDIDATES = 1 << 20
+#: Rows of the index are megabytes each. Left alone, Parquet looks at sizes every 100 rows, so that one page holds a
+#: whole file, which writers and readers then have in memory several times.
+PAGES = {"parquet.page.row.count.limit": 1, "parquet.block.row.count.limit": 2}
 _SEGMENT = "segment long, ids array<long>, first array<int>, terms binary, ends binary, begins binary, positions binary"
 _FOUND = "segment long, row int, item_id long, start int, stop int"
 
@@ -210,7 +213,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     One row for each row of docs, whose other columns are left aside; null keys and repeated rows are documents like
     others. Words that items without an id hit count, but such items are not listed. No documents, no rows; no items,
     no hits."""
-    index = written(build_index(docs), "postings")
+    index = written(build_index(docs), "postings", PAGES)
     found = matches(index, items, window)
     covered = F.aggregate(
         F.array_sort(F.collect_list(F.struct("start", "stop"))),

@@ -146,14 +146,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: in
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices starts[i] .. starts[i] + sizes[i] of all i in a row."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    out = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    out += np.arange(len(out))
+    return out
 
 
 def binary_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     """data[starts[i]:ends[i]] of all i as Arrow binaries."""
     sizes = ends - starts
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[ragged(starts, sizes)])])
+    if (sizes > 0).all() and (starts[1:] >= ends[:-1]).all():
+        # Words one after the other: a flag for each byte, not a number of eight bytes.
+        edges = np.zeros(len(data) + 1, np.int8)
+        edges[starts] += 1
+        edges[ends] -= 1
+        kept = data[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
+    else:
+        kept = data[ragged(starts, sizes)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
 
 
 def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
