@@ -65,12 +65,13 @@ def told_apart(code: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
     return index, shard.astype(np.int32), salt.astype(np.int32), np.concatenate([np.minimum(n, 1 << 30), np.full(len(each), 2)]).astype(np.int32)
 
 
-def recurring_anchors(rows: DataFrame, k: int, window: int, seed: int) -> DataFrame:
-    """(shard, hash) of the anchors whose hash occurs at least twice in the corpus, for every shard that has them."""
+def recurring_anchors(rows: DataFrame, k: int, window: int, seed: int, limit: int = 1 << 23) -> DataFrame:
+    """(shard, hash) of the anchors whose hash occurs at least twice in the corpus, for every shard that has them. A task
+    takes apart about limit bytes of texts at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.slices(batch, limit=1 << 23):
+            for part in K.slices(batch, limit=limit):
                 owner, found = _anchors(part, k, window, seed)
                 index, *rest = told_apart(found, owner)
                 yield pa.RecordBatch.from_arrays([pa.array(K.signed(found[index])), *map(pa.array, rest)], ["hash", "shard", "salt", "n"])

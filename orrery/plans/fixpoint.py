@@ -47,7 +47,7 @@ def tidy(spark: SparkSession) -> None:
     _tidied[key] = time.monotonic()
 
 
-def written(df: DataFrame, name: str, options: dict[str, int] | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, options: dict[str, int | str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends there and any executor can read it. Options
     are those of the Parquet writer."""
     spark = df.sparkSession
