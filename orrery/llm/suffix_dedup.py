@@ -44,6 +44,8 @@ WORD = 6
 PACKED = {"compression": "zstd"}
 #: Bytes of texts that a task takes apart at once.
 SLICE_BYTES = 1 << 20
+#: Windows of an anchor are matched in so many spans of their offsets.
+SPANS = 8
 
 
 def _copies(rows: DataFrame) -> DataFrame:
@@ -197,8 +199,22 @@ def _whole_windows(met: DataFrame, min_words: int, phrase: int, seed: int) -> Da
     with the windows of their anchor that may be equal."""
     reach = min_words - phrase
     able, open_ = _windows(min_words, phrase)
-    gaps = written(met.select("hash", open_.alias("open")).filter("open != 0").groupBy("hash").agg(F.bit_or("open").alias("offsets")), "gaps")
-    able = met.select(*_FIELDS, able.alias("able"), open_.alias("open")).filter("able != 0")
+    held = met.select(*_FIELDS, able.alias("able"), open_.alias("open")).filter("able != 0")
+    gaps = held.filter("open != 0")
+    anchors = written(gaps.groupBy("hash").agg(F.bit_or("open").alias("offsets")), "gaps")
+    # Windows of few offsets share most of their words: those that all of them hold tell which can be equal at all.
+    ends = np.linspace(0, reach + 1, SPANS + 1).astype(int).tolist()
+    spans = []
+    for lo, hi in zip(ends, ends[1:], strict=False):
+        if lo < hi:
+            common = F.xxhash64("hash", F.lit(lo), F.substring("after", 1, (min_words - hi + 1) * WORD), F.substring("before", 1, lo * WORD))
+            mask = F.lit((1 << hi) - (1 << lo))
+            spans.append(F.struct(common.alias("common"), F.col("able").bitwiseAND(mask).alias("able"), F.col("open").bitwiseAND(mask).alias("open")))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.select(*_FIELDS, F.explode(F.array(*spans)).alias("span")).select(*_FIELDS, "span.*").filter("able != 0")
+
+    offsets = written(dealt(gaps).filter("open != 0").groupBy("common").agg(F.bit_or("open").alias("offsets")), "gaps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +241,9 @@ def _whole_windows(met: DataFrame, min_words: int, phrase: int, seed: int) -> Da
             start = batch.column("position").to_numpy()[at[index]] - offset[index]
             yield pa.RecordBatch.from_arrays([pa.array(K.signed(one[index])), pa.array(K.signed(two[index])), name, line, pa.array(start.astype(np.int32)), pa.array(real), pa.array(np.where(salt > 0, np.arange(len(salt)) + 1, 0).astype(np.int32)), pa.array(n)], ["one", "two", "id", "line", "start", "real", "salt", "n"])
 
-    rows = unique_join(able, gaps, "hash").withColumn("offsets", F.col("offsets").bitwiseAND(F.col("able"))).filter("offsets != 0")
+    both = F.col("offsets").bitwiseAND(F.col("able"))
+    near = unique_join(held, anchors, "hash").withColumn("able", both).filter("able != 0")
+    rows = unique_join(written(dealt(near), "near", PACKED), offsets, "common").withColumn("offsets", both).filter("offsets != 0")
     rows = rows.mapInArrow(K.tidy(run), "one long, two long, id long, line long, start int, real boolean, salt int, n int")
     total = F.sum("n").over(W.partitionBy("one", "two", "salt"))
     return rows.withColumn("total", total).filter("total > 1 and real").select("id", "line", "start")
