@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators import bounded
 from orrery.plans.fixpoint import grow, saved, settle
 from orrery.plans.skew import unique_join
 from orrery.sources.graphs import numbered
@@ -18,6 +19,21 @@ def reach(arcs: DataFrame, start: DataFrame) -> DataFrame:
     return grow(seed, ahead, ["v"])
 
 
+def reached(arcs: DataFrame, start: DataFrame) -> DataFrame:
+    """(v): the start vertices (v) and those that they lead to, null ones aside; in one task where the graph fits it."""
+    arcs = saved(arcs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).dropna())
+    start = start.select(F.col("v").cast("long").alias("v")).filter("v is not null").distinct()
+    every = saved(arcs.select(F.explode(F.array("src", "dst")).alias("v")).unionByName(start).distinct())
+    n = every.count()
+    if not bounded.fits(n + 1, arcs.count() + n):
+        return reach(arcs, start).select("v")
+    ids = bounded.numbers(every)
+    # One more vertex leads to all starts.
+    begun = ids.join(start, "v", "left_semi").select(F.lit(n).cast("long").alias("i"), F.col("i").alias("j"))
+    found = bounded.solved(bounded.between(ids, arcs).unionByName(begun), n + 1, bounded.depths)
+    return ids.join(found, "i", "left_semi").select("v")
+
+
 def components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
     """(v, class): strongly connected components, named by their least member. Null vertices and arcs with a null end
     are left out; an arc's end that is not listed as a vertex is none. Repeated rows count once.
@@ -28,9 +44,14 @@ def components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
     every vertex, labels jumping over labels: a vertex with its own label is the least of its component, and what
     reaches it among vertices of its label is that component. Labels are drawn by a hash, and arcs between vertices of
     different labels lie in no component and go, so rounds are expected to halve what is connected. Contracted vertices
-    are placed at the end."""
+    are placed at the end.
+
+    As soon as what is left fits one task, it is finished there."""
     left = saved(vertices.select(F.col("v").cast("long").alias("v")).filter("v is not null").distinct())
-    pairs = arcs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst").distinct()
+    pairs = arcs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).filter("src <> dst")
+    if bounded.fits(left.count(), pairs.count()):
+        return _bounded_components(left, pairs)
+    pairs = pairs.distinct()
     pairs = saved(pairs.join(left.withColumnRenamed("v", "src"), "src", "left_semi").join(left.withColumnRenamed("v", "dst"), "dst", "left_semi"))
     found, chains = [], []
     while not left.isEmpty():
@@ -40,6 +61,9 @@ def components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
         found.append(done)
         if left.isEmpty():
             break
+        if bounded.fits(left.count(), pairs.count()):
+            found.append(_bounded_components(left, pairs))
+            break
         single = saved(pairs.groupBy(F.col("src").alias("v")).agg(F.min("dst").alias("to"), F.count("*").alias("n")).filter("n = 1").select("v", "to"))
         if not single.isEmpty():
             chain, done = _contract(pairs, single)
@@ -59,6 +83,14 @@ def components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
     return unique_join(classes, names, "class").select("v", F.col("name").alias("class"))
 
 
+def _bounded_components(left: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(v, class) of a graph that fits one task, by the least members."""
+    ids = bounded.numbers(left)
+    least = bounded.solved(bounded.between(ids, pairs), ids.count(), bounded.least_members)
+    moved = least.join(ids, "i").select("v", F.col("value").alias("i")).join(ids.withColumnRenamed("v", "least"), "i").select("v", "least")
+    return saved(ids.select("v").join(moved, "v", "left").select("v", F.coalesce("least", "v").alias("class")))
+
+
 def _without(left: DataFrame, pairs: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
     if done.isEmpty():
         return left, pairs
@@ -181,7 +213,7 @@ def condensation(classes: DataFrame, arcs: DataFrame) -> DataFrame:
 
 def buchi_nonempty(arcs: DataFrame, start: DataFrame, accepting: DataFrame) -> DataFrame:
     """(class): recurrent components reachable from start that hold an accepting state (v)."""
-    there = saved(reach(arcs, start).select("v"))
+    there = saved(reached(arcs, start))
     inside = saved(arcs.join(there.withColumnRenamed("v", "src"), "src", "left_semi"))
     classes = saved(components(there, inside))
     live = recurrent(classes, inside).filter("recurrent").select("class")
@@ -194,7 +226,7 @@ def parity_nonempty(arcs: DataFrame, start: DataFrame, priorities: DataFrame, le
 
     The graphs of all accepted priorities are laid side by side and their components found in one go, so rounds do
     not grow with their number. A state is listed once for each accepted priority that is no weaker than its own."""
-    there = saved(reach(arcs, start).select("v"))
+    there = saved(reached(arcs, start))
     ranked = saved(priorities.filter("priority is not null").join(there, "v", "left_semi"))
     levels = [r[0] for r in ranked.filter(F.abs("priority") % 2 == (0 if even else 1)).select("priority").distinct().orderBy("priority").collect()]
     if not levels:
@@ -225,6 +257,13 @@ def class_order(classes: DataFrame, arcs: DataFrame) -> DataFrame:
     open_ = saved(arcs.select("src", "dst").distinct().join(a, "src").join(b, "dst").filter("a <> b").select("a", "b", F.lit(1).cast("long").alias("w")).distinct())
     left = saved(classes.select("class").distinct().select(F.col("class").alias("a"), F.lit(0).cast("long").alias("m")))
     settled, chains = [], []
+    n = left.count()
+    if bounded.fits(n, open_.count()):
+        ids = bounded.numbers(left.select(F.col("a").alias("v")))
+        # Heights grow against the arcs.
+        found = bounded.solved(bounded.between(ids, open_.select(F.col("b").alias("src"), F.col("a").alias("dst"))), n, bounded.heights)
+        high = ids.join(found, "i", "left").select(F.col("v").alias("class"), F.coalesce("value", F.lit(0).cast("long")).alias("height"))
+        return numbered(high, ["height", "class"], "number").select("class", "height", "number")
     while not left.isEmpty():
         ready = saved(left.join(open_.select("a"), "a", "left_anti"))
         settled.append(ready.select(F.col("a").alias("class"), F.col("m").alias("height")))
