@@ -170,6 +170,23 @@ def _listed_words(each: DataFrame, key: str, size: int, name: str) -> DataFrame:
     return each.groupBy(key).agg(found.alias("_map")).select(key, F.transform(at, lambda i: F.coalesce(F.try_element_at("_map", i), F.lit(0).cast("long"))).alias(name))
 
 
+def packed_rows(rows: DataFrame, key: str, bit: str, n: int, **sets: Column) -> DataFrame:
+    """(key, word, *sets): sets of each key's bits side by side, word by word, as bit sets of wide universes mostly have empty
+    words: a word that is empty in all sets has no row. Each set has the bits where its condition holds. What is in no set
+    stands in one row a key, with a null word and empty sets, so that no key is missing."""
+    place = F.when(F.col(bit).between(0, n - 1), F.col(bit)).cast("long")
+    held = rows.select(key, place.alias("_place"), *[c.alias(name) for name, c in sets.items()])
+    some = F.greatest(*[F.coalesce(F.col(name), F.lit(False)) for name in sets])
+    each = held.select(key, F.when(some, F.floor(F.col("_place") / 64)).alias("word"), _one(F.col("_place")).alias("_bit"), *sets)
+    return each.groupBy(key, "word").agg(*[F.coalesce(F.bit_or(F.when(F.col(name), F.col("_bit"))), F.lit(0).cast("long")).alias(name) for name in sets])
+
+
+def places_in(words: Column) -> Column:
+    """The bits, in order, of a set as an array of struct(word, bits)."""
+    bits = F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))
+    return F.flatten(F.transform(F.array_sort(words), lambda x: F.transform(F.filter(bits, lambda j: x["bits"].bitwiseAND(_one(j)) != 0), lambda j: x["word"] * 64 + j)))
+
+
 def join_words(a: Column, b: Column) -> Column:
     return _padded(a, b, lambda x, y: x.bitwiseOR(y))
 
