@@ -7,12 +7,22 @@ empty regions."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.operators import bounded
 from orrery.plans.fixpoint import saved
 
+#: A strategy with so many vertices at most is sent to all tasks, some 20 bytes each.
+SENT = 4_000_000
+#: Rows of plays that a task gives, about, and that it holds at once.
+TASK_ROWS, HELD_ROWS = 4_000_000, 1 << 17
+
 
 def opponent(player: str) -> str:
     return "Adam" if player == "Eve" else "Eve"
@@ -142,8 +152,52 @@ def plays(starts: DataFrame, strategy: DataFrame) -> DataFrame:
     """(start, pos, v): from every start (v) the play that follows the strategy (v, succ; one choice a vertex) until
     there is no choice or a vertex comes again, which is the play's last row.
 
-    Moves of 1, 2, 4, ... steps come from joining the strategy with itself, so rounds grow with the logarithm of the
-    longest play. Starts that repeat play once, null ones not at all."""
+    A strategy of up to SENT vertices goes to all tasks, which follow it from their starts and hold a few rows of the plays at
+    a time; how far each play goes is found beforehand, in one task. A larger one is joined with itself, see
+    doubled_plays. Starts that repeat play once, null ones not at all."""
+    begun = saved(starts.filter("v is not null").select("v").distinct())
+    moves = saved(strategy.filter("v is not null").select("v", "succ"))
+    every = saved(moves.select(F.explode(F.array("v", "succ")).alias("v")).unionByName(begun).distinct())
+    n = every.count()
+    if n > SENT:
+        return doubled_plays(starts, strategy)
+    ids = bounded.numbers(every)
+    # A choice may lead to null, where a play ends.
+    to = ids.select(F.col("v").alias("_to"), F.col("i").alias("j"))
+    arcs = saved(moves.join(ids, "v").join(to, F.col("succ").eqNullSafe(F.col("_to"))).select("i", "j"))
+    far = bounded.solved(arcs, n, bounded.walk_lengths).withColumnRenamed("value", "moves")
+    placed = saved(begun.join(ids, "v").join(far, "i", "left").select(F.col("i"), F.coalesce("moves", F.lit(0).cast("long")).alias("moves")))
+    known = ids.join(arcs, "i", "left").select("i", "v", F.coalesce("j", F.lit(-1)).cast("int").alias("succ")).orderBy("i").select("v", "succ").toArrow()
+    names, succ = known.column("v").combine_chunks(), known.column("succ").to_numpy()
+    sent = starts.sparkSession.sparkContext.broadcast((names, succ))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, succ = sent.value
+        for batch in batches:
+            i, moves = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.argsort(-moves, kind="stable")
+            i, ends = i[order], -moves[order]
+            at, pos, held, rows = i, 0, [], 0
+            while len(at):
+                held.append((i[: len(at)], np.full(len(at), pos, np.int64), at))
+                rows += len(at)
+                pos += 1
+                # Plays that go on are in front.
+                at = succ[at[: np.searchsorted(ends, -pos, "right")]]
+                if rows >= HELD_ROWS or not len(at):
+                    start, place, v = (np.concatenate(x) for x in zip(*held, strict=True))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(start)), pa.array(place), names.take(pa.array(v))], ["start", "pos", "v"])
+                    held, rows = [], 0
+
+    total = placed.agg(F.sum(F.col("moves") + 1)).first()[0] or 0
+    tasks = max(starts.sparkSession.sparkContext.defaultParallelism, total // TASK_ROWS + 1)
+    kind = ids.schema["v"].dataType.simpleString()
+    return placed.repartition(tasks).mapInArrow(run, f"start {kind}, pos long, v {kind}")
+
+
+def doubled_plays(starts: DataFrame, strategy: DataFrame) -> DataFrame:
+    """As plays, for a strategy of any size: moves of 1, 2, 4, ... steps come from joining it with itself, so rounds grow
+    with the logarithm of the longest play."""
     jump = saved(strategy.select("v", F.col("succ").alias("to")))
     path = saved(starts.filter("v is not null").select(F.col("v").alias("start"), F.lit(0).cast("long").alias("pos"), "v").distinct())
     size = 1
