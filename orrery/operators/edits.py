@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.plans.fixpoint import saved
+from orrery.plans.fixpoint import delete, latest, saved
 from orrery.sources.graphs import numbered
 
-CHUNK = 10_000
+CHUNK = 250_000
 
 
 def resolve(edits: list[tuple[str, int | None, int | None, int | None]], gaps: dict[int, int], size: int) -> tuple[list[int], list[tuple[int, int, int]]]:
@@ -79,7 +79,8 @@ def _applied(arcs: DataFrame, edits: list, size: int) -> tuple[DataFrame, int]:
 
     old = arcs.mapInArrow(run, "e long, src long, dst long")
     places = gap - np.searchsorted(gone, gap) + np.arange(len(gap))
-    new = arcs.sparkSession.createDataFrame([(int(p), src, dst) for p, (_, src, dst) in zip(places, added, strict=True)], "e long, src long, dst long")
+    ends = [pa.array([a[k] for a in added], pa.int64()) for k in (1, 2)]
+    new = arcs.sparkSession.createDataFrame(pa.table([pa.array(places, pa.int64()), *ends], ["e", "src", "dst"]), "e long, src long, dst long")
     return saved(old.unionByName(new)), size - len(removed) + len(added)
 
 
@@ -89,11 +90,16 @@ def edited(arcs: DataFrame, edits: DataFrame, vertices: int, chunk: int = CHUNK)
     `insert` adds src -> dst last among src's own arcs and moves later ids up; `remove` takes out the arc with the id e at
     that time and moves later ids down. Insertions at vertices outside 0 .. vertices - 1 and removals of ids that do not
     exist change nothing. Edits of equal t are taken by kind, e, src and dst."""
+    spark = arcs.sparkSession
     arcs = saved(arcs.select(*(F.col(c).cast("long").alias(c) for c in ("e", "src", "dst"))))
+    place = latest(spark)
     fits = (F.col("kind") == "remove") | (F.col("src").between(0, vertices - 1) & F.col("dst").between(0, vertices - 1))
     listed = saved(numbered(edits.select("t", "kind", "e", "src", "dst").filter(fits).withColumnRenamed("e", "of"), ["t", "kind", "of", "src", "dst"], "turn"))
     size, n = arcs.count(), listed.count()
     for at in range(0, n, chunk):
-        rows = listed.filter((F.col("turn") >= at) & (F.col("turn") < at + chunk)).orderBy("turn").collect()
-        arcs, size = _applied(arcs, [(r.kind, r.of, r.src, r.dst) for r in rows], size)
+        rows = listed.filter((F.col("turn") >= at) & (F.col("turn") < at + chunk)).orderBy("turn").select("kind", "of", "src", "dst").toArrow()
+        arcs, size = _applied(arcs, list(zip(*(c.to_pylist() for c in rows.columns), strict=True)), size)
+        # The arcs before the chunk are read no more.
+        delete(spark, place)
+        place = latest(spark)
     return arcs

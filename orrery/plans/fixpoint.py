@@ -63,7 +63,13 @@ def saved(df: DataFrame) -> DataFrame:
     return written(df, "state")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def latest(spark: SparkSession) -> str:
+    """Where the table lies that was written last."""
+    return next(reversed(_tables[spark.sparkContext.applicationId]))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table that is read no more."""
     context = spark.sparkContext
     where = context._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
@@ -75,7 +81,7 @@ def clear(spark: SparkSession) -> int:
     from them must have been read or written elsewhere by then."""
     paths = list(_tables.get(spark.sparkContext.applicationId, {}))
     for path in paths:
-        _delete(spark, path)
+        delete(spark, path)
     _clearings[spark.sparkContext.applicationId] += 1
     return len(paths)
 
@@ -101,15 +107,14 @@ def grow(seed: DataFrame, step: Callable[[DataFrame, int], DataFrame], keys: lis
 def settle(state: DataFrame, step: Callable[[DataFrame], DataFrame], key: str, value: str) -> DataFrame:
     """Repeats step on a (key, value) table until no value changes."""
     spark = state.sparkSession
-    latest = lambda: next(reversed(_tables[spark.sparkContext.applicationId]))
     state = saved(state)
-    place = latest()
+    place = latest(spark)
     while True:
         old = state.select(key, F.col(value).alias("_old"))
         after = saved(step(state).select(key, value).join(old, key).select(key, value, (~F.col(value).eqNullSafe(F.col("_old"))).alias("_moved")))
         state = after.select(key, value)
         # The round before is read no more.
-        _delete(spark, place)
-        place = latest()
+        delete(spark, place)
+        place = latest(spark)
         if after.filter("_moved").isEmpty():
             return state
